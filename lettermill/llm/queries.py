@@ -6,15 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lettermill.llm import bktree
+from lettermill.llm import bktree, licenses, maxscore, packing, pieces, token_counts, url_filter
 from lettermill.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, default="allow")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=4096)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_dedup(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op10_simhash_near_dedup,)
+    f.__name__: f for f in (op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_maxscore_top_k": maxscore.oracle_sql(),
+    "op4_license_scan": licenses.oracle_sql(),
+    "op7_url_filter": url_filter.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
