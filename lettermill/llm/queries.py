@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lettermill.llm import bktree, licenses, maxscore, packing, pieces, token_counts, url_filter
+from lettermill.llm import bktree, licenses, maxscore, packing, pieces, simhash, token_counts, toxicity, url_filter
 from lettermill.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_likeness(table(spark, sf_dir, "documents"), radius=3)
+
+
 def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
     return maxscore.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -30,6 +34,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, default="allow")
@@ -48,7 +57,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_simhash_fingerprints, op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_maxscore_top_k": maxscore.oracle_sql(),
