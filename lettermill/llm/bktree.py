@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, U64, cut, parts, text_bytes, tune
+from lettermill.llm.common import NULL_ID, U64, cut, mix64, parts, text_bytes, tune
 
 #: Fingerprints in one tree; larger shards are split.
 SHARD_ROWS = 4096
@@ -165,26 +165,29 @@ def block_masks(radius: int, bits: int = 64) -> list[int]:
     return [signed(x | y) for x, y in combinations(block, 2)]
 
 
-def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b): ids of fingerprint classes that differ in at most `radius` bits; a spanning forest of each task's links.
+def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, reach: int | None = None, check: int | None = None) -> DataFrame:
+    """(a, b): ids of rows whose fingerprints differ in at most `radius` bits; a spanning forest of each task's links.
 
-    classes: (id long, fp long), fingerprints distinct. A shard with more than `shard_rows` rows is cut into `t` parts by
+    classes: (id long, fp long). reach: search the trees up to so many bits; beyond the radius this finds those that share
+    a shard. check: classes also has (v1 long, v2 long), and only rows count whose 128 bits differ in at most so many. A shard with more than `shard_rows` rows is cut into `t` parts by
     a hash; part i goes to the cells (i, j) and (j, i) of every j, where the tree of one is searched with the other.
     """
     spark = classes.sparkSession
     tune(spark)
-    keyed = classes.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(radius)])).alias("m", "key"))
-    keyed = keyed.select("id", "fp", F.xxhash64("m", "key").alias("shard"))
+    reach = radius if reach is None else reach
+    more = [] if check is None else ["v1", "v2"]
+    keyed = classes.select("id", "fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(radius)])).alias("m", "key"))
+    keyed = keyed.select("id", "fp", *more, F.xxhash64("m", "key").alias("shard"))
     sizes = keyed.groupBy("shard").count()
     hot = sizes.filter(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("t"))
     crowded = sizes.filter((F.col("count") > 1) & (F.col("count") <= shard_rows)).select("shard", F.lit(1).alias("t"))
     rows = keyed.join(crowded.unionByName(hot), "shard")
-    part = F.pmod(F.xxhash64("fp"), F.col("t")).cast("int")
+    part = F.pmod(F.xxhash64("fp", "id"), F.col("t")).cast("int")
     cells = F.when(F.col("t") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
     )
-    rows = rows.select("id", "fp", "shard", part.alias("part"), F.explode(cells).alias("c"))
-    rows = rows.select("id", "fp", F.xxhash64("shard", "c.i", "c.j").alias("cell"), F.when(F.col("part") == F.col("c.i"), 0).otherwise(1).alias("side"))
+    rows = rows.select("id", "fp", *more, "shard", part.alias("part"), F.explode(cells).alias("c"))
+    rows = rows.select("id", "fp", *more, F.xxhash64("shard", "c.i", "c.j").alias("cell"), F.when(F.col("part") == F.col("c.i"), 0).otherwise(1).alias("side"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -194,16 +197,25 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) ->
             t = pa.Table.from_batches(some)
             ids, cell, side = (t.column(c).to_numpy() for c in ("id", "cell", "side"))
             fp = t.column("fp").to_numpy().view(U64)
+            v = [t.column(c).to_numpy().view(U64) for c in more]
+
+            def true(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return a != b if check is None else (a != b) & (sum(popcount(x[a] ^ x[b]) for x in v) <= check)
+
+            # equal fingerprints of a cell stand in a row and are one node
+            o = np.lexsort((side, fp, cell))
+            same = (cell[o][1:] == cell[o][:-1]) & (fp[o][1:] == fp[o][:-1])
+            alike = (o[:-1][same], o[1:][same])
             tree = side == 0
-            nodes = np.flatnonzero(tree)
+            nodes = o[np.r_[True, ~same] & tree[o]]
             # where a cell has two sides, the second searches the first; else the cell searches itself
             two = np.unique(cell[~tree])
             asks = np.flatnonzero(~tree | ~np.isin(cell, two))
             forest, union = Forest(cell[nodes], fp[nodes]), Union(len(ids))
             out: list[tuple[int, int]] = []
-            for q, node in forest.search(cell[asks], fp[asks], radius):
-                a, b = asks[q], nodes[node]
-                keep = a != b
+            pairs = ((asks[q], nodes[node]) for q, node in forest.search(cell[asks], fp[asks], reach))
+            for a, b in (alike, *pairs) if len(alike[0]) else pairs:
+                keep = true(a, b)
                 out += union.add(a[keep], b[keep])
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
@@ -253,6 +265,60 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+#: Independent fingerprints of a text's words that bring candidates together, the bits in which one of them may differ,
+#: and the width of the shingles whose 128-bit fingerprint decides.
+WORD_PRINTS, WORD_REACH, SHINGLE = 3, 8, 5
+
+
+def differing_bits(similarity: float, bits: int = 128) -> int:
+    """Bits in which fingerprints of shingle sets of that Jaccard similarity differ on average: the angle of the sets' vectors."""
+    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def _print(hashes: np.ndarray, seed: int) -> int:
+    return majority(mix64(hashes + U64(seed * 0x9E3779B97F4A7C15 % 2**64)))
+
+
+def near_groups(docs: DataFrame, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id, component): the ids that have a near copy with a smaller id, and the smallest id of their group.
+
+    Texts are near copies if their sets of five-word shingles have the Jaccard similarity or more, as 128-bit SimHashes of
+    the sets tell. Candidates: WORD_PRINTS independent 64-bit SimHashes of the distinct words, which a few edits hardly
+    change, are searched in BK-trees of block shards. Equal texts are one class first. Null text: as empty; empty texts
+    are alike. Null id: NULL_ID. Rows of one id are one document.
+    """
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t in b.column("text").to_pylist():
+                words = np.array([xxhash.xxh64_intdigest(w) for w in set(t.lower().split())], U64)
+                shingles = np.unique(shingle_hashes(t, SHINGLE))
+                rows.append([_print(shingles, 1), _print(shingles, 2), *(_print(words, 3 + k) for k in range(WORD_PRINTS))])
+            x = np.array(rows, np.int64).reshape(-1, 2 + WORD_PRINTS)
+            prints = pa.FixedSizeListArray.from_arrays(pa.array(x[:, 2:].ravel()), WORD_PRINTS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), prints], names=["id", "v1", "v2", "prints"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text"))
+    found = cut(rows.mapInArrow(run, "id long, v1 long, v2 long, prints array<long>"))
+    classes = cut(found.groupBy("v1", "v2", "prints").agg(F.min("id").alias("id")))
+    near = None
+    for k in range(WORD_PRINTS):
+        some = links(classes.select("id", "v1", "v2", F.col("prints")[k].alias("fp")), 3, shard_rows, WORD_REACH, differing_bits(similarity))
+        near = some if near is None else near.unionByName(some)
+    joined = components(near)
+    copies = found.join(classes.withColumnRenamed("id", "first"), ["v1", "v2", "prints"]).select("id", "first")
+    label = copies.join(joined.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    return label.filter("id <> component").distinct()
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """docs without the rows that have a near copy with a smaller id (`near_groups`)."""
+    more = near_groups(docs, similarity, shard_rows).select(F.col("id").alias("_near_copy"))
+    return docs.join(more, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == more["_near_copy"], "left_anti")
+
+
 def near_dedup(docs: DataFrame, width: int = 3, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lettermill.llm import bktree, licenses, maxscore, packing, pieces, simhash, token_counts, toxicity, url_filter
+from lettermill.llm import bktree, licenses, maxscore, packing, pieces, simhash, suffix, token_counts, toxicity, url_filter
 from lettermill.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, sf_dir, "documents"), radius=3)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"), span=100)
+
+
 def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
     return maxscore.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -57,7 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_fingerprints, op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_simhash_fingerprints, op2_suffix_dedup, op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_maxscore_top_k": maxscore.oracle_sql(),

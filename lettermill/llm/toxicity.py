@@ -327,3 +327,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts toxic; columns as they are."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = reader(model.terms)
+        for b in batches:
+            s = model.score(np.array([r.features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, FEATURES))
+            yield b.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
