@@ -24,10 +24,10 @@ def seeded_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 def trimmed_median(micros: Column) -> Column:
     """Median of an array of integers less one smallest and one largest if there are three or more; null if empty. Halves are kept as doubles."""
     ordered = F.array_sort(F.filter(micros, lambda x: x.isNotNull()))
-    kept = F.when(F.size(ordered) >= 3, F.slice(ordered, F.lit(2), F.size(ordered) - 2)).otherwise(ordered)
+    kept = F.when(F.size(ordered) >= 3, F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 2, F.lit(0)))).otherwise(ordered)
     n = F.size(kept)
     at = lambda i: F.try_element_at(kept, i).cast("double")
-    return (at(F.floor((n + 1) / 2).cast("int")) + at(F.floor(n / 2).cast("int") + 1)) / 2
+    return (at(F.greatest(F.floor((n + 1) / 2).cast("int"), F.lit(1))) + at(F.floor(n / 2).cast("int") + 1)) / 2
 
 
 def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
