@@ -39,3 +39,58 @@ def manifest_lines(files: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, order: str, per_file: int = 100_000) -> None:
     """One folder for each part, CRLF line ends, a header, and no overwriting."""
     split_rows(rows, order, per_file).write.mode("errorifexists").option("header", True).option("lineSep", "\r\n").partitionBy("file").csv(path)
+
+
+def mailbox_name(date, category):
+    """`1999-Archive1.mbox` of a date and category; quarantined mail goes to one file of its own."""
+    return F.when(category == "INFECTED", F.lit("INFECTED1.mbox")).otherwise(F.concat(F.year(date).cast("string"), F.lit("-"), category, F.lit("1.mbox")))
+
+
+def framed(messages: DataFrame) -> DataFrame:
+    """messages (position, date, category, sender, raw[, envelope]) with `mailbox` and `record`, the bytes to be stored."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from lettermill.functions.storage import envelope, stored
+
+    rows = messages.withColumn("mailbox", mailbox_name(F.col("date"), F.col("category"))).withColumn("record", F.lit(None).cast("binary"))
+    given = "envelope" in messages.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("envelope").to_pylist() if given else [None] * b.num_rows
+            out = [stored(raw, e or envelope(raw, date, sender)) for raw, e, date, sender in zip(b.column("raw").to_pylist(), held, b.column("date").to_pylist(), b.column("sender").to_pylist(), strict=True)]
+            yield b.set_column(b.schema.get_field_index("record"), "record", pa.array(out, pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def locations(records: DataFrame) -> DataFrame:
+    """(mailbox, position, ordinal, byte_offset, byte_length): where each record stands when a mailbox's records follow one another, a blank line between."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("mailbox").orderBy("position")
+    n = F.length("record").cast("long")
+    before = F.coalesce(F.sum(n + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return records.select("mailbox", "position", F.row_number().over(w).alias("ordinal"), before.alias("byte_offset"), n.alias("byte_length"))
+
+
+def write_mailboxes(records: DataFrame, path: str) -> None:
+    """A folder for each mailbox; its part files, put together in order of their names, are the mailbox. Nothing is overwritten."""
+    ordered = records.repartitionByRange("mailbox", "position").sortWithinPartitions("mailbox", "position")
+    ordered.select("mailbox", F.col("record").cast("string").alias("value")).write.mode("errorifexists").partitionBy("mailbox").text(path)
+
+
+def integrity_rows(records: DataFrame) -> DataFrame:
+    """(mailbox, ordinal, line): a tab-separated manifest row of each record (position, message_id, sha256, semantic_sha256)."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("mailbox").orderBy("position"))
+    rows = records.select("mailbox", nth.alias("ordinal"), "message_id", "sha256", "semantic_sha256")
+    return rows.select("mailbox", "ordinal", F.concat_ws("\t", F.col("ordinal").cast("string"), F.to_json(F.array("message_id")).substr(F.lit(2), F.length(F.to_json(F.array("message_id"))) - 2), F.concat(F.lit("h2:"), "sha256"), F.concat(F.lit("h3:"), "semantic_sha256")).alias("line"))
+
+
+def oxum(files: DataFrame) -> DataFrame:
+    """(oxum): bytes and number of payload files (path, length), as `bytes.files`."""
+    return files.agg(F.concat_ws(".", F.coalesce(F.sum("length"), F.lit(0)).cast("string"), F.count(F.lit(1)).cast("string")).alias("oxum"))
