@@ -39,13 +39,15 @@ def observe(containers: DataFrame, archive: DataFrame, batch: int, permissive: b
 
 
 def pending(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Containers of `discover` that must be read: with `start` behind what is known of a grown mailbox, 0 for new and changed ones."""
+    """Containers of `discover` that must be read: with `start` behind what is known of a mailbox that grew by whole records, 0 for all others."""
     last = known.groupBy("path").agg(F.max(F.struct("batch", "kind", "length", "sha256")).alias("k")).select("path", "k.kind", "k.length", "k.sha256")
     was = last.select("path", F.col("length").alias("was"))
     files = found.filter("disposition = 'mail'").join(was, "path", "left")
     hashed = files.withColumn("sha256", F.sha2("content", 256)).withColumn("prefix_sha256", F.sha2(F.substring("content", F.lit(1), F.coalesce(F.col("was"), F.lit(0)).cast("int")), 256))
     plan = decide(hashed, last)
-    start = F.when((F.col("decision") == "resume") & (F.col("kind") == "mbox"), F.col("was")).otherwise(F.lit(0))
+    ended = F.substring("content", F.col("was").cast("int"), F.lit(1)) == F.lit(b"\n")
+    begins = F.substring("content", F.col("was").cast("int") + 1, F.lit(5)) == F.lit(b"From ")
+    start = F.when((F.col("decision") == "resume") & (F.col("kind") == "mbox") & ended & begins, F.col("was")).otherwise(F.lit(0))
     return hashed.join(plan, "path").filter("decision <> 'skip'").select("path", "kind", "length", "sha256", "content", start.cast("long").alias("start"))
 
 
