@@ -50,6 +50,20 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit("").cast("binary"))
 
 
+_held: dict = {}
+
+
+def worker_state(operator: str, key, make, most: int = 2):
+    """What a Python worker keeps between batches and tasks: only the present operator's, and at most so many of them, so that workers stay small."""
+    if _held and next(iter(_held))[0] != operator:
+        _held.clear()
+    if (operator, key) not in _held:
+        if len(_held) >= most:
+            _held.clear()
+        _held[operator, key] = make()
+    return _held[operator, key]
+
+
 U64 = np.uint64
 
 

@@ -9,30 +9,52 @@ together with what other shards left.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import cut, tune
+from lettermill.llm.common import cut, tune, worker_state
 
 #: Pieces that one task packs, shards whose open bins are packed again together, and the share of the capacity up to which a bin is open.
 SHARD_ROWS, MERGE_SHARDS, OPEN_FILL = 4096, 512, 0.98
-#: Entries of a worker's word table, and the longest word that it keeps.
-TABLE_ROWS, TABLE_CHARS = 600_000, 48
+#: Entries of a worker's table of parts.
+PART_ROWS = 800_000
 #: Bins that the search tries for each document of the bin that it drains, and pairs of documents it weighs in each.
 TRIED_BINS, TRIED_PAIRS = 64, 512
+#: Rounds over the other bins, for each bin, after which the search ends in any case.
+SEARCH_STEPS = 24
 
 
-class WordTable:
-    """Token ids (little-endian, 32 bits) of each distinct word between blanks, which no token of this kind of model crosses."""
+def _letters(*kinds: str) -> str:
+    """A character class of the characters of these categories below PLAIN."""
+    return "".join(re.escape(chr(c)) for c in range(PLAIN) if unicodedata.category(chr(c))[0] in kinds)
 
-    BLANKS = str.maketrans("\t\n\r", "   ")
+
+#: Scripts below this code point are split here, texts with others word by word by the library.
+PLAIN = 0x530
+_L, _N = _letters("L"), _letters("N")
+# Fixed value: the pattern in the tokenizer's file, with the letters and numbers below PLAIN spelled out
+PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+#: Characters that this splitting leaves to the library.
+_STRANGE = re.compile(f"[\x1c-\x1f{chr(PLAIN)}-\U0010ffff]")
+
+
+class PartTable:
+    """Token ids (little-endian, 32 bits) of each distinct part of lower-case text: a run of letters, a digit, a run of other signs.
+
+    The model splits text into these parts and drops white space, so no token crosses them; every missing part is encoded
+    once, many in one call, and a text's ids are its parts' ids by position. Texts that this splitting can't vouch for
+    (other scripts, text not in NFC, special strings) go word by word through the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,26 +66,51 @@ class WordTable:
         one = lambda x: self.t.encode(x, add_special_tokens=False).ids
         if one("a b\n\nc") != one("a") + one("b") + one("c"):
             raise ValueError("the tokenizer keeps white space: words are not independent")
-        self.known: dict[str, bytes] = {"": b""}
+        self.by_parts = one("Don't12..é") == one("don") + one("'t") + one("1") + one("2") + one("..") + one("é")
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(self.BLANKS).split(" ") for t in texts]
-        known = self.known
-        if len(known) >= TABLE_ROWS:
-            known.clear()
-            known[""] = b""
-        missing = list({w for words in split for w in words if w not in known})
-        extra: dict[str, bytes] = {}
+    def plain(self, text: str) -> bool:
+        return self.by_parts and not _STRANGE.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text)) and "<|" not in text
+
+    def each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(self, missing: list[str]) -> None:
+        if len(self.known) > PART_ROWS:
+            self.known.clear()
         for at in range(0, len(missing), 4096):
             some = missing[at : at + 4096]
-            for w, e in zip(some, self.t.encode_batch(some, add_special_tokens=False), strict=True):
-                (known if len(w) <= TABLE_CHARS else extra)[w] = pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b""
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
+            e = self.t.encode(" ".join(some), add_special_tokens=False)
+            word = np.array(e.word_ids, np.int64)
+            if len(word) and word[-1] == len(some) - 1 and (np.diff(word) >= 0).all():
+                ids = np.array(e.ids, "<u4").tobytes()
+                bounds = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+                found = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            else:
+                found = self.each(some)
+            self.known.update(zip(some, found, strict=True))
 
-_tables: dict[str, WordTable] = {}
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [PART.findall(t.replace("Σ", "σ").lower()) if self.plain(t) else None for t in texts]
+        distinct = set().union(*[p for p in split if p])
+        known = self.known
+        missing = [p for p in distinct if p not in known]
+        if len(known) + len(missing) > PART_ROWS:
+            known.clear()
+            missing = list(distinct)
+        self.learn(missing)
+        out = []
+        for t, parts in zip(texts, split, strict=True):
+            if parts is None:
+                words = t.split(" ")
+                parts_of = {}
+                uniq = list(set(words))
+                for at in range(0, len(uniq), 1024):
+                    parts_of.update(zip(uniq[at : at + 1024], self.each(uniq[at : at + 1024]), strict=True))
+                out.append(b"".join([parts_of[w] for w in words]))
+            else:
+                out.append(b"".join(map(known.__getitem__, parts)))
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -71,9 +118,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tables:
-            _tables[tokenizer] = WordTable(tokenizer)
-        table, end, step = _tables[tokenizer], end_id.to_bytes(4, "little"), 4 * capacity
+        table = worker_state("packing", tokenizer, lambda: PartTable(tokenizer))
+        end, step = end_id.to_bytes(4, "little"), 4 * capacity
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -117,19 +163,21 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
 
     Steps between the drained bin (fill f) and another (fill g >= f): move a document over; exchange one for one, two for
     one or one for two such that more goes over than comes back. The other's fill grows by what the drained one loses,
-    and as g >= f squares grow. Stops when the bins are as few as the total needs or a drained bin admits no step.
+    and as g >= f squares grow. Stops when the bins are as few as the total needs or no bin admits a step.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     live = len(bins)
     stuck: set[int] = set()
-    while live > least:
+    steps = SEARCH_STEPS * live
+    while live > least and steps > 0:
         source = min((k for k in range(len(bins)) if bins[k] and k not in stuck), key=fill.__getitem__, default=None)
         if source is None:
             break
-        moved = True
+        moved, any_ = True, False
         while bins[source] and moved:
             moved = False
+            steps -= 1
             others = sorted((k for k in range(len(bins)) if k != source and bins[k] and fill[source] <= fill[k] < capacity), key=fill.__getitem__)
             for k in others[:TRIED_BINS]:
                 if step := best_step(bins[source], bins[k], lengths, capacity - fill[k]):
@@ -139,14 +187,14 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
                     bins[k] = [i for i in bins[k] if i not in back] + list(out)
                     fill[source] -= gain
                     fill[k] += gain
-                    moved = True
+                    moved = any_ = True
                     if not bins[source]:
                         break
+        live -= not bins[source]
+        if any_:  # others may have room now
+            stuck.clear()
         if bins[source]:
             stuck.add(source)
-        else:
-            live -= 1
-            stuck.clear()
     return [b for b in bins if b]
 
 
