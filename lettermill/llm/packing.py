@@ -27,11 +27,11 @@ from lettermill.llm.common import cut, tune, worker_state
 #: Pieces that one task packs, shards whose open bins are packed again together, and the share of the capacity up to which a bin is open.
 SHARD_ROWS, MERGE_SHARDS, OPEN_FILL = 4096, 512, 0.98
 #: Entries of a worker's table of parts.
-PART_ROWS = 800_000
+PART_ROWS = 1_200_000
 #: Bins that the search tries for each document of the bin that it drains, and pairs of documents it weighs in each.
 TRIED_BINS, TRIED_PAIRS = 64, 512
 #: Rounds over the other bins, for each bin, after which the search ends in any case.
-SEARCH_STEPS = 24
+SEARCH_STEPS = 12
 
 
 def _letters(*kinds: str) -> str:
@@ -169,12 +169,15 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
     least = -(-sum(fill) // capacity)
     live = len(bins)
     stuck: set[int] = set()
-    steps = SEARCH_STEPS * live
+    steps, progress = SEARCH_STEPS * live, False
     while live > least and steps > 0:
         source = min((k for k in range(len(bins)) if bins[k] and k not in stuck), key=fill.__getitem__, default=None)
         if source is None:
-            break
-        moved, any_ = True, False
+            if not progress:
+                break
+            stuck, progress = set(), False  # what moved may have made room
+            continue
+        moved = True
         while bins[source] and moved:
             moved = False
             steps -= 1
@@ -187,14 +190,11 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
                     bins[k] = [i for i in bins[k] if i not in back] + list(out)
                     fill[source] -= gain
                     fill[k] += gain
-                    moved = any_ = True
+                    moved = progress = True
                     if not bins[source]:
                         break
         live -= not bins[source]
-        if any_:  # others may have room now
-            stuck.clear()
-        if bins[source]:
-            stuck.add(source)
+        stuck.add(source)
     return [b for b in bins if b]
 
 
