@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import tune
+from lettermill.llm.common import tune, worker_state
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -80,14 +80,9 @@ class PieceTable:
         return b"".join([row[2] for row in rows])[1:]
 
 
-_tables: dict[str, PieceTable] = {}
-
-
 def piece_table(model: str) -> PieceTable:
     """This worker's table for a model."""
-    if model not in _tables:
-        _tables[model] = PieceTable(model)
-    return _tables[model]
+    return worker_state("pieces", model, lambda: PieceTable(model))
 
 
 def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:

@@ -22,28 +22,26 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, U64, cut, mix64, tune
+from lettermill.llm.common import NULL_ID, U64, cut, mix64, tune, worker_state
 
 BITS = 128
 #: Entries of a worker's table of word hashes.
-TABLE_ROWS = 1_000_000
+TABLE_ROWS = 400_000
 #: Documents in a range of ids, and the most ranges (beyond that, ranges grow; they are sorted and may spill).
 RANGE_ROWS, MOST_RANGES = 500, 20_000
 
-_words: dict[str, int] = {}
-
-
 def term_hashes(text: str) -> np.ndarray:
     words = text.lower().split()
+    known = worker_state("simhash", "words", dict)
     try:
-        h = [_words[w] for w in words]
+        h = [known[w] for w in words]
     except KeyError:
-        if len(_words) > TABLE_ROWS:
-            _words.clear()
+        if len(known) > TABLE_ROWS:
+            known.clear()
         for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w)
-        h = [_words[w] for w in words]
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        h = [known[w] for w in words]
     h = np.array(h, U64)
     return mix64(h[:-1] * U64(0xC2B2AE3D27D4EB4F) + (h[1:] ^ (h[1:] >> U64(33)))) if len(h) > 1 else h
 

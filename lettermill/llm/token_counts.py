@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, cut, shared_folder, text_bytes, tune
+from lettermill.llm.common import NULL_ID, cut, shared_folder, text_bytes, tune, worker_state
 from lettermill.llm.pieces import piece_table
 
 CACHE = "content binary, tokenizer string, n_tokens long"
@@ -29,7 +29,14 @@ def tokenizer_digest(path: str) -> str:
     return h.hexdigest()
 
 
-_counters: dict[str, object] = {}
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
 
 
 def count_tokens(path: str, texts: list[str]) -> list[int]:
@@ -37,15 +44,7 @@ def count_tokens(path: str, texts: list[str]) -> list[int]:
     if path.endswith(".model"):
         t = piece_table(path)
         return [t.count(x) for x in texts]
-    if path not in _counters:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(path)
-        made.no_truncation()
-        made.no_padding()
-        _counters[path] = made
-    return [len(e.ids) for e in _counters[path].encode_batch(texts, add_special_tokens=False)]
+    return [len(e.ids) for e in worker_state("token_counts", path, lambda: _library(path)).encode_batch(texts, add_special_tokens=False)]
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limit: int = 4096) -> DataFrame:
@@ -75,7 +74,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     fresh = rows.join(misses, ["id", "content"]).select("content", "bytes").mapInArrow(encode, "content binary, n_tokens long")
     fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(mark).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    # two runs may have appended the same text: one row a digest
-    counts = spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == mark).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # two runs may have appended the same text: one row a digest. Written, so that the join reads both sides as they are and can split a digest that very many rows share
+    counts = cut(spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == mark).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
     own = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
     return keys.join(counts, "content").select(own, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

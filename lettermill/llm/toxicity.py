@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import cut, tune
+from lettermill.llm.common import cut, tune, worker_state
 
 #: Labelled rows that the model is fitted on at most (those with the smallest hashes), and terms in the lexicon at most.
 SAMPLE_ROWS, LEXICON_ROWS = 20_000, 2_000
 #: Terms that may be chosen by chance alone (of all that are weighed), toxic documents that a term must be in, and how much likelier it must be in them.
 FALSE_TERMS, LEAST_DOCS, LEAST_LIFT = 10, 3, 8.0
 #: Lengths of word beginnings, of words; tokens on either side of a hit; entries of a worker's table.
-STEMS, WORDS, WINDOW, TABLE_ROWS = range(4, 8), range(3, 41), 6, 500_000
+STEMS, WORDS, WINDOW, TABLE_ROWS = range(4, 8), range(3, 41), 6, 200_000
 
 TOKEN = re.compile(r"[\w*@$!+]+")
 EDGE = "*@$!+_"
@@ -53,7 +53,7 @@ def allowed(term: str) -> int:
 class Automaton:
     """The determinised Levenshtein automaton over a lexicon's trie. States are made as words need them."""
 
-    MOST_STATES = 50_000
+    MOST_STATES = 20_000
 
     def __init__(self, terms: list[str]):
         self.child: list[dict[str, int]] = [{}]
@@ -188,16 +188,8 @@ class Reader:
         return [*np.log1p([*abuse, *quotes, 100 * a / len(tokens)]).tolist(), a / (a + q)]
 
 
-_readers: dict[tuple, Reader] = {}
-
-
 def reader(terms: list[str]) -> Reader:
-    key = tuple(terms)
-    if key not in _readers:
-        if len(_readers) > 3:
-            _readers.clear()
-        _readers[key] = Reader(terms)
-    return _readers[key]
+    return worker_state("toxicity", tuple(terms), lambda: Reader(terms))
 
 
 def held_out(doc_id: str = "doc_id"):
