@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from lettermill.operators import reports, search
-from lettermill.plans import queries, views
+from lettermill.plans import export_queries, mail_queries, queries, views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
