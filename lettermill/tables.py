@@ -19,7 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet and read again."""
+    """The rows written to the shared folder as Parquet and read again: lineage ends there, and a lost executor costs no earlier stage.
+
+    The files stay until the folder is emptied, as other jobs of the session may still read them.
+    """
     path = f"{shared_folder(df.sparkSession)}/lettermill/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
