@@ -1,15 +1,13 @@
-"""What the corpus operators share: table access, shared-folder tables, session settings."""
+"""What the corpus operators share: table access, session settings, worker state."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.tables import cut, shared_folder  # noqa: F401  the operators have them from here
+
 #: Stands for a null document id inside the operators; nulls sort before every id.
 NULL_ID = -(2**63)
 
@@ -24,23 +22,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "lettermill-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder as Parquet and read again: lineage ends there, and a lost executor costs no earlier stage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lettermill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
