@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def allowed(term: str) -> int:
 class Automaton:
     """The determinised Levenshtein automaton over a lexicon's trie. States are made as words need them."""
 
-    MOST_STATES = 20_000
+    MOST_STATES = 40_000
 
     def __init__(self, terms: list[str]):
         self.child: list[dict[str, int]] = [{}]
@@ -207,21 +208,39 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(term, half, toxic, n): documents that hold a term; summed in each batch before the shuffle."""
+    """(term, half, toxic, n, seen): documents that hold a term, and a sketch of the words before it (a bit for each of 64 hashes); summed in each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter = Counter()
+            n: Counter = Counter()
+            seen: Counter = Counter()
             for text, toxic, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
-                words = {w for t in set(TOKEN.findall(text.lower())) if len(w := normal(t)) in WORDS and w.isalpha()}
-                stems = {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
-                found.update((t, half, toxic) for t in words | stems)
-                found[("", half, toxic)] += 1
-            cols = list(zip(*[(*k, n) for k, n in found.items()], strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["term", "half", "toxic", "n"])
-
-    kinds = "term string, half int, toxic int, n long"
-    return rows.mapInArrow(run, kinds).groupBy("term", "half", "toxic").agg(F.sum("n").alias("n"))
+                before, bit = {}, 1
+                for t in TOKEN.findall(text.lower()):
+                    before[t] = before.get(t, 0) | bit
+                    bit = 1 << (xxhash.xxh32_intdigest(t) & 63)
+                held: dict[str, int] = {}
+                for t, bits in before.items():
+                    w = normal(t)
+                    if len(w) in WORDS and w.isalpha():
+                        for term in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k)):
+                            held[term] = held.get(term, 0) | bits
+                held[""] = 0
+                for term, bits in held.items():
+                    n[term, half, toxic] += 1
+                    seen[term, half, toxic] |= bits
+            cols = list(zip(*[(*k, c, seen[k] - (1 << 64) if seen[k] >> 63 else seen[k]) for k, c in n.items()], strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["term", "half", "toxic", "n", "seen"])
+
+    kinds = "term string, half int, toxic int, n long, seen long"
+    return rows.mapInArrow(run, kinds).groupBy("term", "half", "toxic").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
+
+
+def independent(n: int, seen: int) -> int:
+    """At most as many documents as there are different words before the term: copies of one text tell no more than one."""
+    bits = (seen & (2**64 - 1)).bit_count()
+    return n if bits > 48 else min(n, round(-64 * np.log(1 - bits / 64)))
 
 
 def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, chance: float) -> list[str]:
@@ -233,9 +252,11 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, chance: f
     for term, a, b in counts:
         lift = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
         # relative entropy bounds the chance of so many toxic ones among a + b documents
-        p = a / (a + b)
+        p = a / (a + b) if a else 0.0
+        if a < LEAST_DOCS or lift < LEAST_LIFT or p <= base:
+            continue
         gain = a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0.0)
-        if a >= LEAST_DOCS and lift >= LEAST_LIFT and p > base and np.exp(-gain) <= chance:
+        if np.exp(-gain) <= chance:
             sure.append((-gain, -len(term), term))
     sure.sort()
     chosen: list[str] = []
@@ -250,17 +271,24 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, chance: f
 
 def lexicons(counts: DataFrame) -> list[list[str]]:
     """Those of half 0, of half 1 and of both. Only terms that can be chosen come to the driver."""
-    sums = counts.groupBy("term").agg(*[F.coalesce(F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n"))), F.lit(0)).alias(f"{'ba'[t]}{h}") for h in (0, 1) for t in (0, 1)])
+    is_ = lambda h, t: (F.col("half") == h) & (F.col("toxic") == t)
+    sums = counts.groupBy("term").agg(
+        *[F.coalesce(F.sum(F.when(is_(h, t), F.col("n"))), F.lit(0)).alias(f"{'ba'[t]}{h}") for h in (0, 1) for t in (0, 1)],
+        *[F.coalesce(F.max(F.when(is_(h, 1), F.col("seen"))), F.lit(0)).alias(f"seen{h}") for h in (0, 1)],
+    )
+    sums = cut(sums)
     total = sums.filter("term = ''").first()
     if total is None:
         return [[], [], []]
     toxic, clean = total["a0"] + total["a1"], total["b0"] + total["b1"]
     a, b = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1")
     lift = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
-    found = sums.filter((F.col("term") != "") & (a >= LEAST_DOCS) & (lift >= LEAST_LIFT / 2)).orderBy(F.desc(a - b), "term").limit(16 * LEXICON_ROWS).collect()
+    spread = F.bit_count(F.col("seen0").bitwiseOR(F.col("seen1")))
+    found = sums.filter((F.col("term") != "") & (a >= LEAST_DOCS) & (spread >= LEAST_DOCS - 1) & (lift >= LEAST_LIFT / 2))
+    found = found.orderBy(F.desc(spread), F.desc(a - b), "term").limit(16 * LEXICON_ROWS).collect()
     chance = FALSE_TERMS / max(1, sums.filter(a + b >= LEAST_DOCS).count())
-    halves = [choose([(r["term"], r[f"a{h}"], r[f"b{h}"]) for r in found if r[f"a{h}"]], total[f"a{h}"], total[f"b{h}"], chance) for h in (0, 1)]
-    return [*halves, choose([(r["term"], r["a0"] + r["a1"], r["b0"] + r["b1"]) for r in found], toxic, clean, chance)]
+    halves = [choose([(r["term"], independent(r[f"a{h}"], r[f"seen{h}"]), r[f"b{h}"]) for r in found], total[f"a{h}"], total[f"b{h}"], chance) for h in (0, 1)]
+    return [*halves, choose([(r["term"], independent(r["a0"] + r["a1"], r["seen0"] | r["seen1"]), r["b0"] + r["b1"]) for r in found], toxic, clean, chance)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> list[float]:
