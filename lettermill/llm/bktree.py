@@ -85,23 +85,33 @@ class Forest:
         parent[order] = np.repeat(self.roots, np.diff(np.r_[np.flatnonzero(first), n]))
         waiting = np.setdiff1d(np.arange(n), self.roots)
         edges = []
+        self.up = np.full(n, -1)  # each node's parent
         while len(waiting):
             at = parent[waiting]
             key = at * 128 + popcount(fp[waiting] ^ fp[at])
             o = np.argsort(key, kind="stable")
             head = np.r_[True, key[o][1:] != key[o][:-1]]
             child = waiting[o][head]
+            self.up[child] = at[o][head]
             edges.append(np.stack([key[o][head], child]))
             below = np.repeat(child, np.diff(np.r_[np.flatnonzero(head), len(o)]))
             rest = ~head
             parent[waiting[o][rest]] = below[rest]
             waiting = waiting[o][rest]
+        self.levels = [e[1] for e in edges]
         found = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
         found = found[:, np.argsort(found[0], kind="stable")]
         self.key, self.child = found
 
-    def search(self, tree: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) within the radius, some at a time; a query walks the tree it names."""
+    def one_kind(self, label: np.ndarray) -> np.ndarray:
+        """For each node its label if all nodes below it have the same, else -1."""
+        same = label.copy()
+        for level in reversed(self.levels):
+            same[self.up[level[same[level] != label[self.up[level]]]]] = -1
+        return same
+
+    def search(self, tree: np.ndarray, fp: np.ndarray, radius: int, done: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) within the radius, some at a time; a query walks the tree it names. done: labels of queries and of nodes (`one_kind`); a query passes by what has its own label throughout."""
         at = np.searchsorted(self.trees, tree)
         ok = at < len(self.trees)
         ok[ok] = self.trees[at[ok]] == tree[ok]
@@ -111,6 +121,9 @@ class Forest:
             if len(q) > FRONTIER:
                 stack.append((q[FRONTIER:], node[FRONTIER:]))
                 q, node = q[:FRONTIER], node[:FRONTIER]
+            if done is not None:
+                open_ = done[0][q] != done[1][node]
+                q, node = q[open_], node[open_]
             d = popcount(fp[q] ^ self.fp[node])
             near = d <= radius
             if near.any():
@@ -213,10 +226,22 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, rea
             asks = np.flatnonzero(~tree | ~np.isin(cell, two))
             forest, union = Forest(cell[nodes], fp[nodes]), Union(len(ids))
             out: list[tuple[int, int]] = []
-            pairs = ((asks[q], nodes[node]) for q, node in forest.search(cell[asks], fp[asks], reach))
-            for a, b in (alike, *pairs) if len(alike[0]) else pairs:
+
+            def join(a: np.ndarray, b: np.ndarray) -> None:
                 keep = true(a, b)
-                out += union.add(a[keep], b[keep])
+                out.extend(union.add(a[keep], b[keep]))
+
+            if len(alike[0]):
+                join(*alike)
+            # links along the trees' own edges come first: a crowd of near copies is then one set, which its members pass by
+            below = np.flatnonzero(forest.up >= 0)
+            above = forest.up[below]
+            near = popcount(forest.fp[below] ^ forest.fp[above]) <= reach
+            if near.any():
+                join(nodes[below[near]], nodes[above[near]])
+            label = union.roots(np.arange(len(ids)))
+            for q, node in forest.search(cell[asks], fp[asks], reach, (label[asks], forest.one_kind(label[nodes]))):
+                join(asks[q], nodes[node])
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
