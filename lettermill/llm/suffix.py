@@ -187,7 +187,7 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
             o, again = _repeats(m, c, i, s)
             n = np.where(again[np.argsort(o)], n, n + PERIODIC * periodic)
             cols = {"m": m[o].view(np.int64), "c": c[o].view(np.int64), "i": i[o], "s": s[o], "n": n[o], "h": h[o]}
-            part = ((m[o] >> U64(32)) * U64(n_parts) >> U64(32)).astype(np.int64)
+            part = (mix64(m[o]) % U64(n_parts)).astype(np.int64)  # anchors are minima: mixed, lest they crowd at zero
             first = {k: v[~again] for k, v in cols.items()}
             yield _list_batch(part[~again], first, n_parts)
             if again.any():  # settled here; a digest of 0 says so. Neighbouring runs of a document become one
@@ -444,7 +444,7 @@ def kept_bytes(text: bytes, marks: list[dict] | None, span: int) -> tuple[bytes,
     return kept, len(text) - len(kept), len(lo)
 
 
-def _marked(docs: DataFrame, span: int, hot_runs: int, *more: str) -> DataFrame:
+def _marked(docs: DataFrame, span: int, hot_runs: int, *more) -> DataFrame:
     rows = docs.select(*_identified(docs), text_bytes().alias("text"), *more)
     return rows.join(repeats(docs, span, hot_runs), ["id", "h"], "left")
 
@@ -476,12 +476,13 @@ def without_repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = [kept_bytes(t, m, span)[0].decode("utf-8", "ignore") for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(kept, pa.string()), *(b.column(c) for c in others)], names=["doc_id", "text", *others])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(kept, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(["doc_id long", "text string", *(f"`{c}` {kinds[c]}" for c in others)])
-    found = _marked(docs, span, hot_runs, *others).select("id", "text", "marks", *others).mapInArrow(run, schema)
-    found = found.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    rest = F.struct(*others, F.lit(0).alias("_")).alias("rest")
+    schema = docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("text"), rest).schema
+    found = _marked(docs, span, hot_runs, rest).select("id", "text", "marks", "rest").mapInArrow(run, schema)
+    own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
+    column = {"doc_id": own, "text": F.col("text"), **{c: F.col("rest")[c] for c in others}}
     if "n_chars" in others:
-        found = found.withColumn("n_chars", F.length("text").cast(kinds["n_chars"]))
-    return found.select(docs.columns)
+        column["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[column[c].alias(c) for c in docs.columns])
