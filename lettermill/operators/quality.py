@@ -88,3 +88,38 @@ def name_benchmark(cases: DataFrame) -> DataFrame:
     """(cases, covered, exact, groups) of cases (observed array<string>, expected, grp): covered if any name is non-empty, exact if the first such equals the expected."""
     first = F.try_element_at(F.filter("observed", lambda x: x != ""), F.lit(1))
     return cases.agg(F.count(F.lit(1)).alias("cases"), F.count_if(first.isNotNull()).alias("covered"), F.count_if(F.coalesce(first == F.col("expected"), F.lit(False))).alias("exact"), F.count_distinct("grp").alias("groups"))
+
+
+# What wrongly decoded text looks like, and the field names that are counted.
+MOJIBAKE = ("Ã", "Â", "â€", "ðŸ")
+MAIL_FIELDS = "from|to|cc|bcc|subject|date|sent"
+_WS = r"\t-\r\x1C- \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
+def text_metrics(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with the counts that tell how well a text was read, and the weighted artifacts for each million characters. Null text: null counts."""
+    t = F.col(text)
+    n = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    times = lambda s: F.floor((F.length(t) - F.length(F.replace(t, F.lit(s), F.lit("")))) / len(s))
+    strip = lambda x: F.regexp_replace(x, f"^[{_WS}]+|[{_WS}]+$", "")
+    lines = F.split(t, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    heavy = lambda x: (F.length(strip(x)) >= 8) & (F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "")) < 0.2 * F.length(strip(x)))
+    counts = {
+        "byte_count": F.octet_length(t).cast("long"),
+        "character_count": F.length(t).cast("long"),
+        "line_count": (F.size(lines) - F.when(F.element_at(lines, -1) == "", 1).otherwise(0)).cast("long"),
+        "word_count": n(f"[^{_WS}]+"),
+        "page_break_count": n(r"\f"),
+        "email_address_count": n(r"(?iU)\b[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+\.[a-z]{2,}\b"),
+        "mail_header_count": n(f"(?imd)^[{_WS}]*(?:{MAIL_FIELDS}):[{_WS}]*[^{_WS}]"),
+        "replacement_count": n("\ufffd"),
+        "mojibake_count": sum((times(s) for s in MOJIBAKE[1:]), times(MOJIBAKE[0])).cast("long"),
+        "control_count": n(r"[\x00-\x08\x0B\x0E-\x1F]"),
+        "repeated_glyph_runs": n(f"([^{_WS}])\\1{{5,}}"),
+        "very_long_tokens": n(f"[^{_WS}]{{81,}}"),
+        "symbol_heavy_lines": F.size(F.filter(lines, heavy)).cast("long"),
+    }
+    weights = {"replacement_count": 10, "mojibake_count": 5, "control_count": 20, "repeated_glyph_runs": 5, "very_long_tokens": 2, "symbol_heavy_lines": 1}
+    rows = texts.withColumns({k: F.when(t.isNotNull(), v) for k, v in counts.items()})
+    artifacts = sum((F.col(k) * w for k, w in weights.items()), F.lit(0))
+    return rows.withColumn("artifact_rate_per_million", artifacts * 1_000_000.0 / F.greatest(F.col("character_count"), F.lit(1)))

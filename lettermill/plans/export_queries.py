@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.operators import export, provenance
+from lettermill.functions import view
+from lettermill.operators import export, printed, provenance, quality
 from lettermill.plans import views as V
 from lettermill.plans.queries import query
 from lettermill.plans.views import table
@@ -68,3 +69,42 @@ h AS (SELECT volume, parent FROM p WHERE depth > 0 GROUP BY volume, parent HAVIN
 SELECT volume, path, depth, messages FROM p WHERE (volume, parent) NOT IN (SELECT volume, parent FROM h)""")
 def i39_collapsed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.collapsed(provenance.tree(V.paths(spark, sf_dir)))
+
+
+@query("""SELECT doc_id, octet_length(encode(text)) AS byte_count, length(text) AS character_count, len(regexp_extract_all(text, '[^\\s\\x{A0}\\x{85}\\x{0B}]+')) AS word_count, len(regexp_extract_all(text, '(?im)^\\s*(?:from|to|cc|bcc|subject|date|sent):\\s*\\S')) AS mail_header_count,
+length(text) - length(replace(text, chr(65533), '')) AS replacement_count, (length(text) - length(replace(text, 'Ã', ''))) + (length(text) - length(replace(text, 'Â', ''))) + (length(text) - length(replace(text, 'â€', ''))) // 2 + (length(text) - length(replace(text, 'ðŸ', ''))) // 2 AS mojibake_count,
+len(list_filter(regexp_split_to_array(text, '[\\s\\x{A0}]+'), lambda w: length(w) > 80)) AS very_long_tokens FROM documents""")
+def p19_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.text_metrics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "byte_count", "character_count", "word_count", "mail_header_count", "replacement_count", "mojibake_count", "very_long_tokens")
+
+
+@query("""SELECT o_orderkey AS document, 1 AS page, CASE WHEN o_orderstatus = 'P' THEN 'non-message' ELSE 'printed-email' END AS classification, o_orderpriority || ' and more' AS subject, 'Dear ' || o_custkey || chr(10) || 'bye' AS body FROM orders
+UNION ALL SELECT o_orderkey, 2, 'non-message', NULL, 'page two of ' || o_orderkey FROM orders""")
+def s25_printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = lambda c: F.col(c).cast("string")
+    who = F.when(F.col("o_orderstatus") == "P", "X-By: ").otherwise("From: ")
+    text = F.concat(F.lit("\n\nDate: 1999\nSUBJECT: "), F.col("o_orderpriority"), F.lit("\n   and more\n"), who, key("o_custkey"), F.lit("\n\nDear "), key("o_custkey"), F.lit("\nbye\n\f"), F.lit("page two of "), key("o_orderkey"), F.lit("\n\f"))
+    found = printed.messages(printed.pages(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document"), text.alias("text"))))
+    return found.select("document", "page", "classification", printed.field("subject").alias("subject"), "body")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message with a plain part, an html part where the key is even, and a picture for each order."""
+    key = F.col("o_orderkey").cast("string")
+    part = lambda kind, body: F.concat(F.lit(f"--b\nContent-Type: {kind}\n\n"), body, F.lit("\n"))
+    html = F.when(F.col("o_orderkey") % 2 == 0, part("text/html", F.concat(F.lit("<p onclick='x'>"), key, F.lit("</p>")))).otherwise("")
+    raw = F.concat(F.lit('Subject: s\nX-A: 1\nx-a: 2\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n'), part("text/plain", key), html, part("image/png; name=\"a b.png\"", key), F.lit("--b--\n"))
+    return view.shown(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), raw.cast("binary").alias("raw")))
+
+
+@query("SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS preferred, CAST(5 AS BIGINT) AS headers, 1 AS last_x_a FROM orders")
+def p12_message_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.element_at(F.filter("v.headers", lambda h: F.lower(h["name"]) == "x-a"), -1)["occurrence"]
+    return _mixed(spark, sf_dir).select("pk", view.preferred().alias("preferred"), F.size("v.headers").cast("long").alias("headers"), last.alias("last_x_a"))
+
+
+@query("""SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS part, 'a_b.png' AS filename, 'image/png' AS mime_type, CAST(length(CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS bytes,
+FALSE AS inline, 'image' AS preview, FALSE AS risky, base64(encode(CAST(o_orderkey AS VARCHAR))) AS content_base64 FROM orders""")
+def p21_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.attachments(_mixed(spark, sf_dir), "pk")
