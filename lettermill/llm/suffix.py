@@ -10,7 +10,8 @@
    through the text gives every position's matching statistics, and matches of `span` bytes or more chain the equal windows.
 3. The marks meet their documents by id, and the covered bytes go.
 
-Anchors of very many different runs would make one huge group: their runs are dealt by each window's own digest.
+Anchors of very many different runs would make one huge group: their windows are not indexed. The first of each window is
+summed up by digest where it is read and joined back to the others, so that equal windows never meet in one list.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from lettermill.llm.common import NULL_ID, U64, cut, mix64, parts, text_bytes, t
 GRAM = 32
 #: Windows in a run at most; bytes that are hashed at a time; bytes of a block that is indexed (positions take 20 bits).
 RUN_WINDOWS, PIECE, BLOCK = 96, 1 << 20, 1 << 20
-#: Different runs of one anchor beyond which they are dealt by window.
+#: Open runs of one anchor beyond which they are settled window by window.
 HOT_RUNS = 4096
 
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=U64)
@@ -156,7 +157,7 @@ _RUN_SCHEMA = "part int, m array<long>, c array<long>, i array<long>, s array<in
 _MARK_SCHEMA = "id long, h int, s int, n int, anchor long, state int"
 #: Added to the number of windows of a periodic run on its way to the others of its anchor.
 PERIODIC = 1 << 10
-#: States of a row of marks: its windows are repeats; its bytes are asked for, by anchor; the same, by window.
+#: States of a row of marks: its windows are repeats; its bytes are asked for, by anchor; its windows are told by their digests.
 REPEAT, ASKED, HOT = 0, 1, 2
 
 
@@ -177,6 +178,7 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
     """Steps 1: runs that repeat, and runs whose bytes the index needs."""
     spark = docs.sparkSession
     n_parts = 2 * parts(spark)
+    most_runs = min(hot_runs, BLOCK // (RUN_WINDOWS + span - 1))  # an anchor's open runs fit into a block
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +227,8 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
             kinds = np.ones(len(m), bool)
             kinds[1:] = new[1:] | (c[1:] != c[:-1])
             different = np.bincount(group, weights=kinds).astype(np.int64)[group]
-            state = np.where(again, REPEAT, np.where(different > hot_runs, HOT, ASKED))
+            open_ = np.bincount(group, weights=~again).astype(np.int64)[group]  # rows of one id repeat nothing of each other
+            state = np.where(again, REPEAT, np.where(open_ > most_runs, HOT, ASKED))
             tell = again | periodic | (different > 1)
             yield _mark_batch(*(x[tell] for x in (i, h, s, n, m, state)))
 
@@ -358,9 +361,8 @@ def repeated_windows(contexts: list[bytes], key: np.ndarray, ids: np.ndarray, st
     return marked
 
 
-def _indexed(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
-    """Step 2: (id, h, s, n) of windows that the index finds repeated."""
-    spark = docs.sparkSession
+def _fetched(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
+    """(key, more, id, h, s, bytes): the runs that are asked for with their bytes, by anchor; of crowded anchors each window's 128-bit digest (key, more), no bytes."""
     wanted = asked.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n", "anchor", "state")).alias("asked"))  # runs of one document
     texts = docs.select(*_identified(docs), text_bytes().alias("text")).join(wanted, ["id", "h"])
 
@@ -371,15 +373,28 @@ def _indexed(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
                 for a in asks:
                     s, n = a["s"], a["n"]
                     if a["state"] == ASKED:
-                        rows.append((a["anchor"], i, h, s, text[s : s + n + span - 1]))
+                        rows.append((a["anchor"], None, i, h, s, text[s : s + n + span - 1]))
                     else:
                         for k in range(s, s + n):
-                            w = text[k : k + span]
-                            rows.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, h, k, w))
+                            d = hashlib.blake2b(text[k : k + span], digest_size=16).digest()
+                            rows.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), i, h, k, None))
             for at in range(0, len(rows), 8192):
                 cols = zip(*rows[at : at + 8192], strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "id", "h", "s", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "more", "id", "h", "s", "bytes"])
+
+    return cut(texts.mapInArrow(fetch, "key long, more long, id long, h int, s int, bytes binary"))
+
+
+def _hot(windows: DataFrame) -> DataFrame:
+    """(id, h, s, n) of windows of crowded anchors that are not the first of their digest, with n = 1."""
+    first = cut(windows.groupBy("key", "more").agg(F.min(F.struct("id", "s")).alias("first"), F.count(F.lit(1)).alias("count")).filter("count > 1").drop("count"))
+    return windows.join(first, ["key", "more"]).filter("id <> first.id OR s <> first.s").select("id", "h", "s", F.lit(1).alias("n"))
+
+
+def _indexed(runs_: DataFrame, span: int) -> DataFrame:
+    """Step 2: (id, h, s, n) of windows that the index finds repeated."""
+    spark = runs_.sparkSession
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows: list[tuple]) -> pa.RecordBatch:
@@ -417,7 +432,6 @@ def _indexed(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
         if held:
             yield block(held)
 
-    runs_ = texts.mapInArrow(fetch, "key long, id long, h int, s int, bytes binary")
     return runs_.repartition(parts(spark), "key").sortWithinPartitions("key", "id", "s").mapInArrow(index, "id long, h int, s int, n int")
 
 
@@ -426,7 +440,8 @@ def repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataF
     tune(docs.sparkSession)
     marks = cut(_marks(docs, span, hot_runs))
     known = marks.filter(F.col("state") == REPEAT).select("id", "h", "s", "n")
-    more = _indexed(docs, marks.filter(F.col("state") != REPEAT), span)
+    fetched = _fetched(docs, marks.filter(F.col("state") != REPEAT), span)
+    more = _indexed(fetched.filter("bytes IS NOT NULL").drop("more"), span).unionByName(_hot(fetched.filter("bytes IS NULL").drop("bytes")))
     return known.unionByName(more).groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("marks"))  # runs of one document
 
 

@@ -118,6 +118,24 @@ def test_run_index_matches_the_suffix_array():
             assert phi[i] == p and min(lcp[i], 30) == n_common
 
 
+def test_suffix_dedup_of_a_window_in_very_many_runs(spark):
+    r = np.random.default_rng(3)
+    some = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage, n = some(100), 21200
+    docs = spark.createDataFrame([(i, some(20) + passage + some(20)) for i in range(n)] + [(n, passage)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix.dedup(docs, 100, 64).collect()}
+    # neighbours that happen to go on alike are cut with the passage
+    assert got[0] == (140, 0) and got[n] == (100, 100) and len(got) == n + 1
+    assert min(b for _, b in [got[i] for i in range(1, n)]) == 100 and sum(got[i][1] == 100 for i in range(1, n)) < n
+
+
+def test_suffix_dedup_of_one_id_in_many_rows(spark):
+    docs = spark.createDataFrame([(None, "ab" * 100 + f" {i}") for i in range(300)] + [(1, "ab" * 80)], "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_removed"]) for r in suffix.dedup(docs, 100, 16).collect())
+    want = Counter((r["doc_id"], r["n_removed"]) for r in suffix.dedup(docs, 100, 4096).collect())
+    assert got == want and got[1, 160] == 1
+
+
 def test_without_repeats_keeps_columns(odd):
     got = suffix.without_repeats(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
