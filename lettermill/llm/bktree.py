@@ -7,6 +7,9 @@ only the edges within the radius of the distance at hand. The trees of a partiti
 level by level. A shard with more than `SHARD_ROWS` fingerprints is split into several trees; each is then sent to
 every block of the shard's queries, so no task holds more than two such parts. Of the links found in a task only a
 spanning forest goes on: it keeps the components and never grows with the square of a group.
+
+The pipeline's near copies (`near_groups`) are those of shingle sets of a Jaccard similarity: bands of least hashes bring candidates
+together, and exact counts decide.
 """
 
 from __future__ import annotations
@@ -178,19 +181,15 @@ def block_masks(radius: int, bits: int = 64) -> list[int]:
     return [signed(x | y) for x, y in combinations(block, 2)]
 
 
-def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, reach: int | None = None, check: int | None = None) -> DataFrame:
+def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): ids of rows whose fingerprints differ in at most `radius` bits; a spanning forest of each task's links.
 
-    classes: (id long, fp long). reach: search the trees up to so many bits; beyond the radius this finds those that share
-    a shard. check: classes also has (v1 long, v2 long), and only rows count whose 128 bits differ in at most so many. A shard with more than `shard_rows` rows is cut into `t` parts by
-    a hash; part i goes to the cells (i, j) and (j, i) of every j, where the tree of one is searched with the other.
+    classes: (id long, fp long). A shard with more than `shard_rows` rows is cut into `t` parts by a hash; part i goes to the cells (i, j) and (j, i) of every j, where the tree of one is searched with the other.
     """
     spark = classes.sparkSession
     tune(spark)
-    reach = radius if reach is None else reach
-    more = [] if check is None else ["v1", "v2"]
-    keyed = classes.select("id", "fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(radius)])).alias("m", "key"))
-    keyed = keyed.select("id", "fp", *more, F.xxhash64("m", "key").alias("shard"))
+    keyed = classes.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(radius)])).alias("m", "key"))
+    keyed = keyed.select("id", "fp", F.xxhash64("m", "key").alias("shard"))
     sizes = keyed.groupBy("shard").count()
     hot = sizes.filter(F.col("count") > shard_rows).select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("t"))
     crowded = sizes.filter((F.col("count") > 1) & (F.col("count") <= shard_rows)).select("shard", F.lit(1).alias("t"))
@@ -199,8 +198,8 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, rea
     cells = F.when(F.col("t") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda j: F.struct(F.least(part, j).alias("i"), F.greatest(part, j).alias("j")))
     )
-    rows = rows.select("id", "fp", *more, "shard", part.alias("part"), F.explode(cells).alias("c"))
-    rows = rows.select("id", "fp", *more, F.xxhash64("shard", "c.i", "c.j").alias("cell"), F.when(F.col("part") == F.col("c.i"), 0).otherwise(1).alias("side"))
+    rows = rows.select("id", "fp", "shard", part.alias("part"), F.explode(cells).alias("c"))
+    rows = rows.select("id", "fp", F.xxhash64("shard", "c.i", "c.j").alias("cell"), F.when(F.col("part") == F.col("c.i"), 0).otherwise(1).alias("side"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,11 +209,6 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, rea
             t = pa.Table.from_batches(some)
             ids, cell, side = (t.column(c).to_numpy() for c in ("id", "cell", "side"))
             fp = t.column("fp").to_numpy().view(U64)
-            v = [t.column(c).to_numpy().view(U64) for c in more]
-
-            def true(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return a != b if check is None else (a != b) & (sum(popcount(x[a] ^ x[b]) for x in v) <= check)
-
             # equal fingerprints of a cell stand in a row and are one node
             o = np.lexsort((side, fp, cell))
             same = (cell[o][1:] == cell[o][:-1]) & (fp[o][1:] == fp[o][:-1])
@@ -228,7 +222,7 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, rea
             out: list[tuple[int, int]] = []
 
             def join(a: np.ndarray, b: np.ndarray) -> None:
-                keep = true(a, b)
+                keep = a != b
                 out.extend(union.add(a[keep], b[keep]))
 
             if len(alike[0]):
@@ -236,11 +230,11 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS, rea
             # links along the trees' own edges come first: a crowd of near copies is then one set, which its members pass by
             below = np.flatnonzero(forest.up >= 0)
             above = forest.up[below]
-            near = popcount(forest.fp[below] ^ forest.fp[above]) <= reach
+            near = popcount(forest.fp[below] ^ forest.fp[above]) <= radius
             if near.any():
                 join(nodes[below[near]], nodes[above[near]])
             label = union.roots(np.arange(len(ids)))
-            for q, node in forest.search(cell[asks], fp[asks], reach, (label[asks], forest.one_kind(label[nodes]))):
+            for q, node in forest.search(cell[asks], fp[asks], radius, (label[asks], forest.one_kind(label[nodes]))):
                 join(asks[q], nodes[node])
             pairs = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
@@ -290,57 +284,151 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-#: Independent fingerprints of a text's words that bring candidates together, the bits in which one of them may differ,
-#: and the width of the shingles whose 128-bit fingerprint decides.
-WORD_PRINTS, WORD_REACH, SHINGLE = 3, 8, 5
+#: Width of the shingles of near copies; bands of least hashes that bring candidates together, and the hashes of a band:
+#: of pairs at a similarity of 0.8 one in 13,000 shares no band.
+SHINGLE, BANDS, BAND_HASHES = 5, 24, 5
+#: Texts, and shingles, of a candidate group that are compared in one list; larger groups are cut into cells.
+GROUP_ROWS, GROUP_SHINGLES = 2048, 1 << 20
+
+_odd = np.random.default_rng(20240801).integers(0, 2**63, (2, BANDS * BAND_HASHES, 1), dtype=U64)
+_SCALE, _SHIFT = _odd[0] * U64(2) + U64(1), _odd[1]
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS): a key for each band, of the least of the set's hashes by each of BAND_HASHES functions."""
+    least = np.full((len(sets), BANDS * BAND_HASHES), U64(2**64 - 1))
+    for k, s in enumerate(sets):
+        for at in range(0, len(s), 4096):
+            np.minimum(least[k], (s[at : at + 4096] * _SCALE + _SHIFT).min(axis=1), out=least[k])
+    least = least.reshape(len(sets), BANDS, BAND_HASHES)
+    key = np.broadcast_to(mix64(np.arange(1, BANDS + 1, dtype=U64)), least.shape[:2])
+    for j in range(BAND_HASHES):
+        key = mix64(key * U64(0x9E3779B97F4A7C15) + least[:, :, j])
+    return key.view(np.int64)
+
+
+def near_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose Jaccard similarity is `similarity` or more, by exact counts of what they share."""
+    n = len(sets)
+    lengths = np.array([len(s) for s in sets])
+    begin = np.r_[0, np.cumsum(lengths)]
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), lengths)[np.argsort(value, kind="stable")]
+    held = np.bincount(value)
+    at = np.cumsum(held) - held
+    waiting, left, out = np.ones(n, bool), n, []
+    for start in range(n):
+        if not waiting[start]:
+            continue
+        waiting[start], left, queue = False, left - 1, [start]
+        while queue and left:
+            p = queue.pop()
+            mine = value[begin[p] : begin[p + 1]]
+            count = held[mine]
+            common = np.bincount(holders[np.repeat(at[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())], minlength=n)
+            union = lengths[p] + lengths - common
+            near = np.flatnonzero(waiting & ((union == 0) | (common / np.maximum(union, 1) >= similarity)))
+            waiting[near] = False
+            left -= len(near)
+            queue += near.tolist()
+            out += [(p, k) for k in near.tolist()]
+    return out
+
+
+def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity: float, group_rows: int) -> DataFrame:
+    """(a, b): links at the similarity within candidate groups (id, component), a spanning forest of each cell's. sizes: (id, size).
+
+    A group too large for one list is cut into `t` parts by a hash of the id, every two of which meet in a cell.
+    """
+    spark = docs.sparkSession
+    grouped = cut(group.join(sizes, "id"))
+    some = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    t = F.greatest(F.ceil(2 * F.col("n") / group_rows), F.ceil(2 * F.col("size") / GROUP_SHINGLES)).cast("int")
+    t = F.when((F.col("n") <= group_rows) & (F.col("size") <= GROUP_SHINGLES), 1).otherwise(F.greatest(t, F.lit(2)))
+    dealt = cut(grouped.select("id", "component").join(some.select("component", t.alias("t")), "component"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text")).join(dealt, "id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x).tobytes() for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("t"), pa.array(sets, pa.binary())], names=["id", "component", "t", "set"])
+
+    rows = rows.select("id", "text", "component", "t").mapInArrow(read, "id long, component long, t int, set binary")
+    part = F.pmod(F.xxhash64("id"), F.col("t")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("t") - 1), lambda j: (F.col("t") == 1) | (j != part))
+    cells = F.transform(others, lambda j: F.xxhash64("component", F.least(part, j), F.greatest(part, j)))
+    rows = rows.select("id", "set", F.explode(cells).alias("cell"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        last = None
 
+        def close() -> None:
+            if len(ids) > 1:
+                out.extend((ids[x], ids[y]) for x, y in near_links(sets, similarity) if ids[x] != ids[y])
+            ids.clear()
+            sets.clear()
 
-def differing_bits(similarity: float, bits: int = 128) -> int:
-    """Bits in which fingerprints of shingle sets of that Jaccard similarity differ on average: the angle of the sets' vectors."""
-    return round(bits * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+        def batch() -> pa.RecordBatch:
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
+        for b in batches:
+            for cell, i, s in zip(*(b.column(c).to_pylist() for c in ("cell", "id", "set")), strict=True):
+                if cell != last:
+                    close()
+                    last = cell
+                ids.append(i)
+                sets.append(np.frombuffer(s, U64))
+            if out:
+                yield batch()
+        close()
+        if out:
+            yield batch()
 
-def _print(hashes: np.ndarray, seed: int) -> int:
-    return majority(mix64(hashes + U64(seed * 0x9E3779B97F4A7C15 % 2**64)))
+    return rows.repartition(parts(spark), "cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
 
 
-def near_groups(docs: DataFrame, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, component): the ids that have a near copy with a smaller id, and the smallest id of their group.
 
-    Texts are near copies if their sets of five-word shingles have the Jaccard similarity or more, as 128-bit SimHashes of
-    the sets tell. Candidates: WORD_PRINTS independent 64-bit SimHashes of the distinct words, which a few edits hardly
-    change, are searched in BK-trees of block shards. Equal texts are one class first. Null text: as empty; empty texts
-    are alike. Null id: NULL_ID. Rows of one id are one document.
+    Texts are near copies if the exact Jaccard similarity of their sets of five-word shingles is `similarity` or more.
+    Texts that share a band of least hashes are candidates; groups connected by them are compared by their whole sets.
+    Texts with equal sets are one class first. Null text: as empty; empty texts are alike. Null id: NULL_ID. Rows of one
+    id are one document.
     """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                words = np.array([xxhash.xxh64_intdigest(w) for w in set(t.lower().split())], U64)
-                shingles = np.unique(shingle_hashes(t, SHINGLE))
-                rows.append([_print(shingles, 1), _print(shingles, 2), *(_print(words, 3 + k) for k in range(WORD_PRINTS))])
-            x = np.array(rows, np.int64).reshape(-1, 2 + WORD_PRINTS)
-            prints = pa.FixedSizeListArray.from_arrays(pa.array(x[:, 2:].ravel()), WORD_PRINTS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), prints], names=["id", "v1", "v2", "prints"])
+            sets = [shingle_set(x) for x in b.column("text").to_pylist()]
+            digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), np.int64).reshape(-1, 2)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "c1", "c2", "size", "keys"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text"))
-    found = cut(rows.mapInArrow(run, "id long, v1 long, v2 long, prints array<long>"))
-    classes = cut(found.groupBy("v1", "v2", "prints").agg(F.min("id").alias("id")))
-    near = None
-    for k in range(WORD_PRINTS):
-        some = links(classes.select("id", "v1", "v2", F.col("prints")[k].alias("fp")), 3, shard_rows, WORD_REACH, differing_bits(similarity))
-        near = some if near is None else near.unionByName(some)
-    joined = components(near)
-    copies = found.join(classes.withColumnRenamed("id", "first"), ["v1", "v2", "prints"]).select("id", "first")
+    found = cut(rows.mapInArrow(run, "id long, c1 long, c2 long, size long, keys array<long>"))
+    classes = cut(found.groupBy("c1", "c2", "size", "keys").agg(F.min("id").alias("id")))
+    keyed = classes.select("id", F.explode("keys").alias("key"))
+    leaders = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first"))
+    candidates = components(keyed.join(leaders, "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    group = candidates.unionByName(candidates.select(F.col("component").alias("id"), "component").distinct())
+    joined = components(_exact_links(docs, group, classes.groupBy("id").agg(F.sum("size").alias("size")), similarity, group_rows))
+    copies = found.join(classes.select("c1", "c2", F.col("id").alias("first")), ["c1", "c2"]).select("id", "first")
     label = copies.join(joined.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     return label.filter("id <> component").distinct()
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
     """docs without the rows that have a near copy with a smaller id (`near_groups`)."""
-    more = near_groups(docs, similarity, shard_rows).select(F.col("id").alias("_near_copy"))
+    more = near_groups(docs, similarity, group_rows).select(F.col("id").alias("_near_copy"))
     return docs.join(more, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == more["_near_copy"], "left_anti")
 
 

@@ -412,3 +412,36 @@ def test_components_of_a_long_chain(spark):
 def test_one_of_each(odd):
     got = {r["doc_id"] for r in bktree.one_of_each(odd).collect()}
     assert not got & {7, 8, 19, 50} and {6, 9, 10, 11, 14, 17, 18, 20, 100, None, 16, 4, 5} <= got  # 14: ß and É have other capitals
+
+
+def grouped_by_hand(texts, similarity=0.8):
+    sets = [set(bktree.shingle_set(t.encode()).tolist()) for t in texts]
+    of = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if of[a] != of[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+                x, y = sorted((of[a], of[b]))
+                of = [x if o == y else o for o in of]
+    return {k: o for k, o in enumerate(of) if k != o}
+
+
+def near_texts():
+    """Texts with longer, shorter and edited copies about a similarity of 0.8."""
+    r = np.random.default_rng(8)
+    say = lambda n, of=5000: [f"w{k}" for k in r.integers(0, of, n)]
+    texts = []
+    for _ in range(60):
+        base = say(int(r.integers(60, 300)))
+        n = int(len(base) * r.uniform(0.1, 0.3))
+        edited = list(base)
+        for k in r.integers(0, len(base), max(1, len(base) // 60)):
+            edited[k] = "changed"
+        texts += [base, base + say(n), base[: len(base) - n], edited]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("group_rows", [3, 2048])
+def test_near_groups_are_those_of_all_pairs(spark, group_rows):
+    texts = near_texts()
+    got = bktree.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 0.8, group_rows)
+    assert {r["id"]: r["component"] for r in got.collect()} == grouped_by_hand(texts)
