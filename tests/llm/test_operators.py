@@ -445,3 +445,16 @@ def test_near_groups_are_those_of_all_pairs(spark, group_rows):
     texts = near_texts()
     got = bktree.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 0.8, group_rows)
     assert {r["id"]: r["component"] for r in got.collect()} == grouped_by_hand(texts)
+
+
+def test_near_groups_of_one_word_set(spark):
+    r = np.random.default_rng(4)
+    texts = []
+    for _ in range(100):
+        base = r.integers(0, 20, 400)
+        copy = base.copy()
+        copy[r.integers(0, 400, 2)] = r.integers(0, 20, 2)
+        texts += [" ".join(f"w{k}" for k in x) for x in (base, copy)]
+    assert len({frozenset(t.split()) for t in texts}) == 1
+    got = bktree.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["id"]: r["component"] for r in got.collect()} == grouped_by_hand(texts) == {2 * k + 1: 2 * k for k in range(100)}
