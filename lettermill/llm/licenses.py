@@ -6,6 +6,8 @@ digests of known licence texts. The known table has a fixed number of rows, so i
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,23 +77,48 @@ def canonical_sql(text: str, every: str = "") -> str:
     return f"trim(regexp_replace({x}, {pattern(NO_LETTER)}, ' '{every}))"
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license): one row for each distinct digest."""
-    rows = spark.createDataFrame(LICENSES, "license string, text string")
+#: Files of entire texts beside this module and the licences they are.
+TEXTS: dict[str, str] = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: The notices by which works name these licences, as texts and as single lines.
+NOTICES: list[tuple[str, str]] = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\n'
+     'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+     'See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((name, f"{verb} under the {title}, version {version}.") for verb in ("Licensed", "This work is licensed", "Released") for name, title, version in (
+        ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("MPL-2.0", "Mozilla Public License", "2.0"))),
+]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of all that is known without a caller's table."""
+    folder = Path(__file__).parent / "license_texts"
+    return [*LICENSES, *NOTICES, *((name, (folder / file).read_text("utf-8")) for file, name in TEXTS.items())]
+
+
+def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """(digest, license): one row for each distinct digest. known: a table (license, text) in place of `known_texts`."""
+    rows = spark.createDataFrame(known_texts(), "license string, text string") if known is None else known.select("license", "text")
     return rows.select(F.sha2(F.expr(canonical_sql("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, canonical_sha256, license, n_license_lines, line_licenses) for every row of docs.
 
     license: of the entire text, else null. n_license_lines: lines that are a licence or a notice as a whole;
     line_licenses: theirs, distinct, sorted, joined by commas, else ''. Null text: as empty. Repeated rows give repeated
-    results, a null doc_id stays null, other columns are not looked at, an empty table gives no rows.
+    results, a null doc_id stays null, other columns are not looked at, an empty table gives no rows. known: a table
+    (license, text) of the texts to look for in place of `known_texts`.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     units = rows.select("row", "doc_id", F.expr("posexplode(concat(array(text), split(text, chr(10))))").alias("unit", "text"))
     units = units.select("row", "doc_id", "unit", F.sha2(F.expr(canonical_sql("text")), 256).alias("digest"))
-    hit = units.join(F.broadcast(known_digests(docs.sparkSession)), "digest", "left")
+    hit = units.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left")
     whole = F.col("unit") == 0
     line = ~whole & F.col("license").isNotNull()
     return (

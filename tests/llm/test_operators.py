@@ -458,3 +458,13 @@ def test_near_groups_of_one_word_set(spark):
     assert len({frozenset(t.split()) for t in texts}) == 1
     got = bktree.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r["id"]: r["component"] for r in got.collect()} == grouped_by_hand(texts) == {2 * k + 1: 2 * k for k in range(100)}
+
+
+def test_license_scan_of_whole_texts_and_own_tables(spark):
+    texts = {name: (licenses.Path(licenses.__file__).parent / "license_texts" / file).read_text() for file, name in licenses.TEXTS.items()}
+    names = list(texts)
+    docs = spark.createDataFrame([*((k, texts[n].upper()) for k, n in enumerate(names)), (99, 'x\n# Licensed under the Apache License, Version 2.0 (the "License");')], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["line_licenses"]) for r in licenses.scan(docs).collect()}
+    assert [got[k][0] for k in range(len(names))] == names and got[99] == (None, "Apache-2.0")
+    own = spark.createDataFrame([("own", "x")], "license string, text string")
+    assert {r["doc_id"]: r["line_licenses"] for r in licenses.scan(docs, own).collect()}[99] == "own"
