@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches: a Python worker holds one at a time, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def parts(spark: SparkSession) -> int:
@@ -34,10 +38,17 @@ def text_bytes(column: str = "text"):
 _held: dict = {}
 
 
-def worker_state(operator: str, key, make, most: int = 2):
-    """What a Python worker keeps between batches and tasks: only the present operator's, and at most so many of them, so that workers stay small."""
+def release(operator: str) -> None:
+    """Give up what a reused Python worker still holds for other operators."""
     if _held and next(iter(_held))[0] != operator:
         _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def worker_state(operator: str, key, make, most: int = 2):
+    """What a Python worker keeps between batches and tasks: only the present operator's, and at most so many of them, so that workers stay small."""
+    release(operator)
     if (operator, key) not in _held:
         if len(_held) >= most:
             _held.clear()
@@ -45,6 +56,16 @@ def worker_state(operator: str, key, make, most: int = 2):
     return _held[operator, key]
 
 
+def in_arrow(rows: DataFrame, operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """rows.mapInArrow(run, schema) in a worker that holds no other operator's tables."""
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(operator)
+        yield from run(batches)
+
+    return rows.mapInArrow(alone, schema)
+
+
 U64 = np.uint64
 
 

@@ -1,10 +1,12 @@
 """Toxicity by a lexicon trie that Levenshtein automata search, and context windows.
 
-The lexicon is learned: words and word beginnings (`abc*`) that labelled toxic documents hold far more often than others.
-It forms a trie; the nondeterministic Levenshtein automaton over it has states (trie node, edits so far) and is made
-deterministic while words are read, so each distinct word costs a few look-ups and misspelled terms are found with the
-edits that their length allows. Each hit is then weighed by the words around it: quotation marks and reporting verbs speak
-for quotation, second persons for abuse. A logistic model of the sums gives the score.
+The lexicon is learned: words that labelled toxic documents hold far more often than others. It forms a trie; the
+nondeterministic Levenshtein automaton over it has states (trie node, edits so far) and is made deterministic while words
+are read, so each distinct word costs a few look-ups and misspelled terms are found with the edits that their length
+allows. Words within these edits that clean documents hold at their usual rate are words of their own, not misspellings.
+Each hit is then weighed by the words around it: quotation marks and reporting verbs speak for quotation, second persons
+for abuse. A logistic model of the sums gives the score; labelled documents hardly misspell or quote, so each toxic one is
+also fitted with its terms misspelled (toxic), quoted, and misspelled and quoted (not toxic).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import cut, tune, worker_state
+from lettermill.llm.common import cut, in_arrow, tune, worker_state
 
-#: Labelled rows that the model is fitted on at most (those with the smallest hashes), and terms in the lexicon at most.
-SAMPLE_ROWS, LEXICON_ROWS = 20_000, 2_000
+#: Labelled rows that the model is fitted on at most (those with the smallest hashes). What is learned from them, lexicon included, is bounded by them.
+SAMPLE_ROWS = 20_000
 #: Terms that may be chosen by chance alone (of all that are weighed), toxic documents that a term must be in, and how much likelier it must be in them.
-FALSE_TERMS, LEAST_DOCS, LEAST_LIFT = 10, 3, 8.0
-#: Lengths of word beginnings, of words; tokens on either side of a hit; entries of a worker's table.
-STEMS, WORDS, WINDOW, TABLE_ROWS = range(4, 8), range(3, 41), 6, 200_000
+FALSE_TERMS, LEAST_DOCS, LEAST_LIFT = 1, 3, 8.0
+#: Letters of a term at least; tokens on either side of a hit; entries of a worker's table, and the longest token that it keeps; counters that a worker holds.
+LEAST_LETTERS, WINDOW, TABLE_ROWS, TABLE_CHARS, COUNTERS = 3, 6, 200_000, 60, 150_000
+#: Weight of a planted example in the fit.
+PLANTED_WEIGHT = 0.5
 
 TOKEN = re.compile(r"[\w*@$!+]+")
 EDGE = "*@$!+_"
@@ -44,10 +49,8 @@ def normal(token: str) -> str:
 
 
 def allowed(term: str) -> int:
-    """Edits at which a word still counts as the term; beginnings allow fewer."""
-    n = len(term.rstrip("*"))
-    if term.endswith("*"):
-        return 1 if n >= 7 else 0
+    """Edits at which a word still counts as the term."""
+    n = len(term)
     return 0 if n < 5 else 1 if n < 9 else 2
 
 
@@ -59,19 +62,16 @@ class Automaton:
     def __init__(self, terms: list[str]):
         self.child: list[dict[str, int]] = [{}]
         self.whole: list[int] = [-1]  # edits allowed where a term ends, else -1
-        self.stem: list[int] = [-1]
         for term in terms:
             at = 0
-            for ch in term.rstrip("*"):
+            for ch in term:
                 if ch not in self.child[at]:
                     self.child[at][ch] = len(self.child)
                     self.child.append({})
                     self.whole.append(-1)
-                    self.stem.append(-1)
                 at = self.child[at][ch]
-            ends = self.stem if term.endswith("*") else self.whole
-            ends[at] = max(ends[at], allowed(term))
-        self.most = [max(a, b) for a, b in zip(self.whole, self.stem, strict=True)]
+            self.whole[at] = allowed(term)
+        self.most = list(self.whole)
         for at in range(len(self.child) - 1, -1, -1):  # children have larger numbers
             self.most[at] = max([self.most[at], *(self.most[c] for c in self.child[at].values())])
         self.clear()
@@ -81,7 +81,6 @@ class Automaton:
         self.sets: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.at_end: list[int] = []
-        self.inside: list[int] = []
         self.start = self.state({0: 0})
 
     def state(self, positions: dict[int, int]) -> int:
@@ -99,7 +98,6 @@ class Automaton:
             self.sets.append(positions)
             self.moves.append({})
             self.at_end.append(min((e for n, e in positions.items() if e <= self.whole[n]), default=-1))
-            self.inside.append(min((e for n, e in positions.items() if e <= self.stem[n]), default=-1))
         return self.ids[key]
 
     def step(self, state: int, ch: str) -> int:
@@ -117,20 +115,16 @@ class Automaton:
         return to
 
     def edits(self, word: str) -> int:
-        """Fewest edits between the word and a term that allows them (or a beginning and a term `abc*`); -1 if none."""
+        """Fewest edits between the word and a term that allows them; -1 if none."""
         if len(self.sets) > self.MOST_STATES:
             self.clear()
-        state, best = self.start, -1
+        state = self.start
         for ch in word:
             to = self.moves[state].get(ch)
             state = self.step(state, ch) if to is None else to
-            e = self.inside[state]
-            if e >= 0 and (best < 0 or e < best):
-                best = e
             if not self.sets[state]:
-                return best
-        e = self.at_end[state]
-        return e if e >= 0 and (best < 0 or e < best) else best
+                return -1
+        return self.at_end[state]
 
 
 FEATURES = 6
@@ -139,6 +133,7 @@ FEATURES = 6
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
+    innocent: list[str] = field(default_factory=list)  # words near a term that are none
     weights: list[float] = field(default_factory=lambda: [-20.0] + [0.0] * FEATURES)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -148,8 +143,8 @@ class Model:
 class Reader:
     """What a worker keeps while it reads texts with one lexicon."""
 
-    def __init__(self, terms: list[str]):
-        self.automaton = Automaton(terms)
+    def __init__(self, terms: list[str], innocent: list[str]):
+        self.automaton, self.innocent = Automaton(terms), frozenset(innocent)
         self.known: dict[str, int] = {}
 
     def hit(self, token: str) -> int:
@@ -159,11 +154,24 @@ class Reader:
             if len(self.known) >= TABLE_ROWS:
                 self.known.clear()
             word = normal(token)
-            found = 1 + self.automaton.edits(word) if 3 <= len(word) <= 60 else 0
-            if len(token) <= 60:
+            found = 0 if len(word) < LEAST_LETTERS or word in self.innocent else 1 + self.automaton.edits(word)
+            if len(token) <= TABLE_CHARS:
                 self.known[token] = found
         return found
 
+    def changed(self, text: str) -> tuple[str, str]:
+        """The text with each term in it misspelled, and with each term quoted."""
+        text = text.lower()
+        wrong: list[str] = []
+        quoted: list[str] = []
+        at = 0
+        for n, m in enumerate(TOKEN.finditer(text)):
+            if self.hit(m[0]):
+                wrong += [text[at : m.start()], misspelled(m[0], n)]
+                quoted += [text[at : m.start()], f'said "{m[0]}"']
+                at = m.end()
+        return "".join([*wrong, text[at:]]), "".join([*quoted, text[at:]])
+
     def features(self, text: str) -> list[float]:
         """Logs of: abuse in exact hits, in misspelled ones; quotation in exact, in misspelled; abuse for each hundred tokens; the share of abuse."""
         text = text.lower()
@@ -189,8 +197,15 @@ class Reader:
         return [*np.log1p([*abuse, *quotes, 100 * a / len(tokens)]).tolist(), a / (a + q)]
 
 
-def reader(terms: list[str]) -> Reader:
-    return worker_state("toxicity", tuple(terms), lambda: Reader(terms))
+def misspelled(word: str, n: int) -> str:
+    """The word with one edit that word and n choose: a letter left out, put in, or replaced by a sign or another letter."""
+    h = xxhash.xxh64_intdigest(f"{n} {word}")
+    at, other = 1 + h // 4 % max(1, len(word) - 1), "*1xzaeo"[h // 1024 % 7]
+    return word[:at] + ("", other + word[at : at + 1], other, other)[h % 4] + word[at + 1 :]
+
+
+def reader(terms: list[str], innocent: list[str]) -> Reader:
+    return worker_state("toxicity", (tuple(terms), len(innocent)), lambda: Reader(terms, innocent))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -211,94 +226,101 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """(term, half, toxic, n, seen): documents that hold a term, and a sketch of the words before it (a bit for each of 64 hashes); summed in each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        seen: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*[(*k, c, seen[k] - (1 << 64) if seen[k] >> 63 else seen[k]) for k, c in n.items()], strict=True)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            n.clear()
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["term", "half", "toxic", "n", "seen"])
+
         for b in batches:
-            n: Counter = Counter()
-            seen: Counter = Counter()
             for text, toxic, half in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
                 before, bit = {}, 1
-                for t in TOKEN.findall(text.lower()):
+                for m in TOKEN.finditer(text.lower()):
+                    t = m[0]
                     before[t] = before.get(t, 0) | bit
                     bit = 1 << (xxhash.xxh32_intdigest(t) & 63)
-                held: dict[str, int] = {}
+                held: dict[str, int] = {"": 0}
                 for t, bits in before.items():
                     w = normal(t)
-                    if len(w) in WORDS and w.isalpha():
-                        for term in (w, *(f"{w[:k]}*" for k in STEMS if len(w) > k)):
-                            held[term] = held.get(term, 0) | bits
-                held[""] = 0
+                    if len(w) >= LEAST_LETTERS and w.isalpha():
+                        held[w] = held.get(w, 0) | bits
                 for term, bits in held.items():
                     n[term, half, toxic] += 1
                     seen[term, half, toxic] |= bits
-            cols = list(zip(*[(*k, c, seen[k] - (1 << 64) if seen[k] >> 63 else seen[k]) for k, c in n.items()], strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["term", "half", "toxic", "n", "seen"])
+                if len(n) > COUNTERS:
+                    yield flush()
+        yield flush()
 
     kinds = "term string, half int, toxic int, n long, seen long"
-    return rows.mapInArrow(run, kinds).groupBy("term", "half", "toxic").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
+    return in_arrow(rows, "toxicity", run, kinds).groupBy("term", "half", "toxic").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
 
 
-def independent(n: int, seen: int) -> int:
-    """At most as many documents as there are different words before the term: copies of one text tell no more than one."""
-    bits = (seen & (2**64 - 1)).bit_count()
-    return n if bits > 48 else min(n, round(-64 * np.log(1 - bits / 64)))
+def _sides(sums: DataFrame, halves: tuple[int, ...]) -> DataFrame:
+    """(term, a, b): toxic and clean documents of these halves that hold a term; a is at most the number of different words before it, as copies of one text tell no more than one."""
+    a, b = (sum((F.col(f"{x}{h}") for h in halves[1:]), F.col(f"{x}{halves[0]}")) for x in "ab")
+    bits = F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"seen{h}") for h in halves]))
+    different = F.when(bits <= 48, F.round(-64 * F.log(1 - bits / 64))).otherwise(F.lit(2.0**53))
+    return sums.select("term", F.least(a.cast("double"), different).alias("a"), b.cast("double").alias("b"))
 
 
-def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, chance: float) -> list[str]:
-    """Terms of (term, toxic documents, clean documents) that mark toxicity, the surest first; a word that a chosen beginning covers is left out."""
-    if not toxic or not clean:
-        return []
-    base = toxic / (toxic + clean)
-    sure = []
-    for term, a, b in counts:
-        lift = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
-        # relative entropy bounds the chance of so many toxic ones among a + b documents
-        p = a / (a + b) if a else 0.0
-        if a < LEAST_DOCS or lift < LEAST_LIFT or p <= base:
-            continue
-        gain = a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0.0)
-        if np.exp(-gain) <= chance:
-            sure.append((-gain, -len(term), term))
-    sure.sort()
-    chosen: list[str] = []
-    held: set[str] = set()
-    for _, _, term in sure[: 8 * LEXICON_ROWS]:
-        bare = term.rstrip("*")
-        if not any(f"{bare[:n]}*" in held for n in range(min(STEMS), len(bare) + (not term.endswith("*")))):
-            chosen.append(term)
-            held.add(term)
-    return chosen[:LEXICON_ROWS]
-
-
-def lexicons(counts: DataFrame) -> list[list[str]]:
-    """Those of half 0, of half 1 and of both. Only terms that can be chosen come to the driver."""
+def lexicons(counts: DataFrame) -> list[tuple[list[str], list[str]]]:
+    """(terms, innocent words near them) of half 0, of half 1 and of both.
+
+    A term marks toxicity if it is LEAST_LIFT times likelier in toxic documents and relative entropy, which bounds the chance of so
+    many toxic ones among those that hold it, leaves less than FALSE_TERMS to chance over all words. Every such term comes to the
+    driver: a part of the words of SAMPLE_ROWS texts.
+    """
     is_ = lambda h, t: (F.col("half") == h) & (F.col("toxic") == t)
-    sums = counts.groupBy("term").agg(
+    sums = cut(counts.groupBy("term").agg(
         *[F.coalesce(F.sum(F.when(is_(h, t), F.col("n"))), F.lit(0)).alias(f"{'ba'[t]}{h}") for h in (0, 1) for t in (0, 1)],
         *[F.coalesce(F.max(F.when(is_(h, 1), F.col("seen"))), F.lit(0)).alias(f"seen{h}") for h in (0, 1)],
-    )
-    sums = cut(sums)
+    ))
     total = sums.filter("term = ''").first()
     if total is None:
-        return [[], [], []]
-    toxic, clean = total["a0"] + total["a1"], total["b0"] + total["b1"]
-    a, b = F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1")
-    lift = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
-    spread = F.bit_count(F.col("seen0").bitwiseOR(F.col("seen1")))
-    found = sums.filter((F.col("term") != "") & (a >= LEAST_DOCS) & (spread >= LEAST_DOCS - 1) & (lift >= LEAST_LIFT / 2))
-    found = found.orderBy(F.desc(spread), F.desc(a - b), "term").limit(16 * LEXICON_ROWS).collect()
-    chance = FALSE_TERMS / max(1, sums.filter(a + b >= LEAST_DOCS).count())
-    halves = [choose([(r["term"], independent(r[f"a{h}"], r[f"seen{h}"]), r[f"b{h}"]) for r in found], total[f"a{h}"], total[f"b{h}"], chance) for h in (0, 1)]
-    return [*halves, choose([(r["term"], independent(r["a0"] + r["a1"], r["seen0"] | r["seen1"]), r["b0"] + r["b1"]) for r in found], toxic, clean, chance)]
-
-
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> list[float]:
+        return [([], [])] * 3
+    weighed = sums.filter((F.col("term") != "") & (F.col("a0") + F.col("a1") + F.col("b0") + F.col("b1") >= LEAST_DOCS))
+    surprise = float(np.log(max(1, weighed.count()) / FALSE_TERMS))
+    found = []
+    for halves in ((0,), (1,), (0, 1)):
+        toxic, clean = (sum(total[f"{x}{h}"] for h in halves) for x in "ab")
+        if not toxic or not clean:
+            found.append(([], []))
+            continue
+        sides, base = _sides(weighed, halves), toxic / (toxic + clean)
+        a, b = F.col("a"), F.col("b")
+        lift = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
+        p = a / (a + b)
+        gain = a * F.log(p / base) + F.when(b > 0, b * F.log((1 - p) / (1 - base))).otherwise(0.0)
+        terms = sorted(r["term"] for r in sides.filter((a >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (p > base) & (gain >= surprise)).select("term").collect())
+        found.append((terms, _innocent(_sides(sums, halves).filter((F.col("term") != "") & (b > 0) & (lift < LEAST_LIFT)).select("term"), terms)))
+    return found
+
+
+def _innocent(words: DataFrame, terms: list[str]) -> list[str]:
+    """Those of the words that the automaton takes for misspelled terms: few of the sample's words."""
+    if not terms:
+        return []
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms)
+        for b in batches:
+            yield b.filter(pa.array([automaton.edits(w) > 0 for w in b.column("term").to_pylist()], pa.bool_()))
+
+    return sorted(r["term"] for r in in_arrow(words, "toxicity", near, "term string").collect())
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1) -> list[float]:
     """Logistic regression by Newton steps; the intercept is not penalised, and the other weights only slightly."""
     z = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(z.shape[1])
     ridge = np.diag([1e-6] + [penalty] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -314,20 +336,34 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """
     tune(docs.sparkSession)
     chosen = cut(sample(docs, labels, rows))
-    halves = lexicons(term_counts(chosen))
+    *halves, whole = lexicons(term_counts(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [reader(halves[1 - h]).features(t) for t, h in zip(b.column("text").to_pylist(), b.column("half").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic")], names=["x", "toxic"])
-
-    found = chosen.mapInArrow(run, "x array<double>, toxic int").collect()  # SAMPLE_ROWS at most
-    y = np.array([r["toxic"] for r in found], float)
+            x, y, weight = [], [], []
+            for t, toxic, h in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
+                r = reader(*halves[1 - h])
+                own = r.features(t)
+                x.append(own)
+                y.append(toxic)
+                weight.append(1.0)
+                if toxic and any(own):
+                    wrong, quoted = r.changed(t)
+                    both = r.changed(wrong)[1]
+                    planted = [(1, r.features(wrong)), (0, r.features(quoted)), (0, r.features(both))]
+                    planted = [(k, f) for k, f in planted if any(f)]  # short terms allow no edit
+                    x += [f for _, f in planted]
+                    y += [k for k, _ in planted]
+                    weight += [PLANTED_WEIGHT] * len(planted)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(weight, pa.float64())], names=["x", "toxic", "weight"])
+
+    found = in_arrow(chosen, "toxicity", run, "x array<double>, toxic int, weight double").collect()  # 4 x SAMPLE_ROWS at most
+    y, weight = np.array([r["toxic"] for r in found], float), np.array([r["weight"] for r in found])
     if not len(y):
         return Model()
     if y.min() == y.max():
-        return Model([], [30.0 if y[0] else -30.0] + [0.0] * FEATURES)
-    return Model(halves[2], fit(np.array([r["x"] for r in found]), y))
+        return Model([], [], [30.0 if y[0] else -30.0] + [0.0] * FEATURES)
+    return Model(*whole, fit(np.array([r["x"] for r in found]), y, weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -339,14 +375,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = reader(model.terms)
+        r = reader(model.terms, model.innocent)
         for b in batches:
             texts = b.column("text").to_pylist()
             s = model.score(np.array([r.features(t) for t in texts], float).reshape(-1, FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_arrow(rows, "toxicity", run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -354,9 +390,9 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = reader(model.terms)
+        r = reader(model.terms, model.innocent)
         for b in batches:
             s = model.score(np.array([r.features(t or "") for t in b.column("text").to_pylist()], float).reshape(-1, FEATURES))
             yield b.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, "toxicity", run, docs.schema)
