@@ -2,8 +2,9 @@
 
 Documents become token pieces of at most the capacity. Shards of pieces are packed best fit first; then the local
 search moves documents between underfull bins (one for none, one for one, two for one, one for two), only ever raising
-the sum of squared fills, so that the emptiest bins drain. What each shard leaves clearly underfull is packed again
-together with what other shards left.
+the sum of squared fills, so that the emptiest bins drain; it ends when the bins are as few as the total needs or no bin
+admits a step. What shards leave clearly underfull is dealt anew into groups of the same size and packed again, for as
+long as that makes fewer bins.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ import os
 import re
 import unicodedata
 import zlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,16 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import cut, tune, worker_state
+from lettermill.llm.common import cut, in_arrow, release, tune, worker_state
 
-#: Pieces that one task packs, shards whose open bins are packed again together, and the share of the capacity up to which a bin is open.
-SHARD_ROWS, MERGE_SHARDS, OPEN_FILL = 4096, 512, 0.98
+#: Pieces that one group packs, and the share of the capacity up to which a bin is open.
+SHARD_ROWS, OPEN_FILL = 4096, 0.98
+#: Share of the open bins that packing them again must save for another round.
+LEAST_SAVED = 0.01
 #: Entries of a worker's table of parts.
-PART_ROWS = 1_200_000
-#: Bins that the search tries for each document of the bin that it drains, and pairs of documents it weighs in each.
-TRIED_BINS, TRIED_PAIRS = 64, 512
-#: Rounds over the other bins, for each bin, after which the search ends in any case.
-SEARCH_STEPS = 12
+PART_ROWS = 500_000
 
 
 def _letters(*kinds: str) -> str:
@@ -44,8 +43,9 @@ PLAIN = 0x530
 _L, _N = _letters("L"), _letters("N")
 # Fixed value: the pattern in the tokenizer's file, with the letters and numbers below PLAIN spelled out
 PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-#: Characters that this splitting leaves to the library.
-_STRANGE = re.compile(f"[\x1c-\x1f{chr(PLAIN)}-\U0010ffff]")
+#: Characters that this splitting leaves to the library: other scripts, and those whose lower case is not of the same kind below PLAIN.
+_MOVED = "".join(re.escape(chr(c)) for c in range(PLAIN) if any(ord(x) >= PLAIN or unicodedata.category(x)[0] != unicodedata.category(chr(c))[0] for x in chr(c).lower()))
+_STRANGE = re.compile(f"[\x1c-\x1f{_MOVED}{chr(PLAIN)}-\U0010ffff]")
 
 
 class PartTable:
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(rows, "packing", run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -165,78 +165,100 @@ def drain(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list
     one or one for two such that more goes over than comes back. The other's fill grows by what the drained one loses,
     and as g >= f squares grow. Stops when the bins are as few as the total needs or no bin admits a step.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    live = len(bins)
-    stuck: set[int] = set()
-    steps, progress = SEARCH_STEPS * live, False
-    while live > least and steps > 0:
-        source = min((k for k in range(len(bins)) if bins[k] and k not in stuck), key=fill.__getitem__, default=None)
-        if source is None:
-            if not progress:
+    length = np.array(lengths, np.int64)
+    at = np.full(len(length), -1)
+    for k, b in enumerate(bins):
+        at[b] = k
+    fill = np.bincount(at, length, len(bins)).astype(np.int64)
+    open_ = np.flatnonzero(fill < capacity)  # a full bin takes part in no step
+    item = np.flatnonzero(np.isin(at, open_))
+    least = fewest(length, capacity)
+    n_live, progress = len(bins), True
+    while n_live > least and progress:
+        progress = False
+        for source in sorted(open_.tolist(), key=lambda k: (fill[k], k)):
+            while fill[source] and n_live > least and (step := best_step(source, at, fill, length, item, capacity)):
+                target, out, back = step
+                at[out], at[back] = target, source
+                gain = int(length[out].sum() - length[back].sum())
+                fill[source] -= gain
+                fill[target] += gain
+                progress = True
+                n_live -= not fill[source]
+            if n_live <= least:
                 break
-            stuck, progress = set(), False  # what moved may have made room
-            continue
-        moved = True
-        while bins[source] and moved:
-            moved = False
-            steps -= 1
-            others = sorted((k for k in range(len(bins)) if k != source and bins[k] and fill[source] <= fill[k] < capacity), key=fill.__getitem__)
-            for k in others[:TRIED_BINS]:
-                if step := best_step(bins[source], bins[k], lengths, capacity - fill[k]):
-                    out, back = step
-                    gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                    bins[source] = [i for i in bins[source] if i not in out] + list(back)
-                    bins[k] = [i for i in bins[k] if i not in back] + list(out)
-                    fill[source] -= gain
-                    fill[k] += gain
-                    moved = progress = True
-                    if not bins[source]:
-                        break
-        live -= not bins[source]
-        stuck.add(source)
-    return [b for b in bins if b]
-
-
-def best_step(source: list[int], other: list[int], lengths: list[int], space: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What goes over and what comes back so that the other bin gains most, at least 1 and at most its space."""
+    order = np.argsort(at, kind="stable")
+    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(x)]
+
+
+def best_step(source: int, at: np.ndarray, fill: np.ndarray, length: np.ndarray, item: np.ndarray, capacity: int) -> tuple[int, list[int], list[int]] | None:
+    """(other bin, what goes over, what comes back): the step by which the other bin gains most; None if there is none.
+
+    at: each document's bin. Documents of one length in one bin are alike, so one of each stands for them.
+    """
+    fits = np.flatnonzero((fill >= max(1, fill[source])) & (fill < capacity))
+    fits = fits[fits != source]
+    mine = item[at[item] == source]
+    if not len(fits):
+        return None
+    mine = mine[np.argsort(length[mine], kind="stable")]
+    sizes, first, count = np.unique(length[mine], return_index=True, return_counts=True)
+    # what may go over: one document, or two
+    x, y = np.triu_indices(len(sizes))
+    two = (x != y) | (count[x] > 1)
+    x, y = x[two], y[two]
+    sums, which = np.unique(sizes[x] + sizes[y], return_index=True)
+    one_or_two = [(int(n), [int(mine[i])]) for n, i in zip(sizes, first, strict=True)]
+    one_or_two += [(int(n), [int(mine[first[x[k]]]), int(mine[first[y[k]] + (x[k] == y[k])])]) for n, k in zip(sums, which, strict=True)]
+    space = capacity - fill[fits]
     best, gain = None, 0
-    singles = sorted((lengths[i], i) for i in other)
-    sizes = [n for n, _ in singles]
-
-    def weigh(out: tuple[int, ...], n: int) -> None:
-        nonlocal best, gain
-        if gain < n <= space:
-            best, gain = (out, ()), n
-        # the shortest single document that may come back: the gain is then the largest
-        k = bisect_left(sizes, n - space)
-        if k < len(sizes) and gain < n - sizes[k] <= space:
-            best, gain = (out, (singles[k][1],)), n - sizes[k]
-
-    for i in source:
-        weigh((i,), lengths[i])
-    pairs = 0
-    for x, i in enumerate(source):
-        for j in source[x + 1 :]:
-            weigh((i, j), lengths[i] + lengths[j])
-            pairs += 1
-            if pairs >= TRIED_PAIRS:
+    for n, out in one_or_two:  # for none
+        ok = np.flatnonzero(space >= n)
+        if n > gain and len(ok):
+            best, gain = (int(fits[ok[np.argmin(space[ok])]]), out, []), n
+    theirs = item[np.isin(at[item], fits)]
+    room = capacity - fill[at[theirs]] + length[theirs]  # of its bin, once a document has come back
+    for n, out in one_or_two:  # for one
+        ok = np.flatnonzero((room >= n) & (length[theirs] < n - gain))
+        if len(ok):
+            k = ok[np.argmin(length[theirs[ok]])]
+            best, gain = (int(at[theirs[k]]), out, [int(theirs[k])]), n - int(length[theirs[k]])
+    top = int(sizes[-1])
+    if top - gain >= 2:  # one for two, which are shorter together
+        theirs = theirs[length[theirs] < top - gain]
+        theirs = theirs[np.lexsort((theirs, length[theirs], at[theirs]))]
+        bin_, size = at[theirs], length[theirs]
+        spare = capacity - fill[bin_]
+        for d in range(1, len(theirs)):
+            same = np.flatnonzero(bin_[d:] == bin_[:-d])
+            if not len(same):
                 break
-        if pairs >= TRIED_PAIRS or gain == space:
-            break
-    if gain < space:  # one document over, two back
-        pairs = 0
-        for x, (n, i) in enumerate(singles):
-            for m, j in singles[x + 1 :]:
-                pairs += 1
-                for s in source:
-                    if gain < lengths[s] - n - m <= space:
-                        best, gain = ((s,), (i, j)), lengths[s] - n - m
-                if pairs >= TRIED_PAIRS // 8:
-                    return best
+            back = size[same] + size[same + d]
+            after = spare[same] + back
+            for n, out in one_or_two[: len(sizes)]:
+                ok = np.flatnonzero((after >= n) & (back < n - gain))
+                if len(ok):
+                    j = ok[np.argmin(back[ok])]
+                    x, y = theirs[same[j]], theirs[same[j] + d]
+                    best, gain = (int(at[x]), out, [int(x), int(y)]), n - int(back[j])
     return best
 
 
+def fewest(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound on bins (Martello and Toth): for each k, documents longer than capacity - k stand alone, those over half stand apart, and those from k to half fill what room these leave."""
+    if not len(lengths):
+        return 0
+    have = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1]
+    n, total = np.cumsum(have), np.cumsum(have * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = n[capacity] - n[capacity - k]
+    apart = n[capacity - k] - n[half]
+    room = apart * capacity - (total[capacity - k] - total[half])
+    below = np.where(k > 0, total[np.maximum(k - 1, 0)], 0)
+    return int((alone + apart + np.maximum(0, -(-(total[half] - below - room) // capacity))).max())
+
+
 def pack_rows(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """rows, in one order for equal input, with bin (from 0), offset and the bin's fill."""
     rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -261,15 +283,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     rows are packed each for itself, a null doc_id stays null, other columns are not looked at, an empty table gives no
     rows. sequence_id: any distinct numbers.
     """
-    spark = docs.sparkSession
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     found = cut(pieces(docs, tokenizer, capacity, end_id))
-    loose = found.filter(F.col("length") < capacity)
-    shards = max(1, -(-loose.count() // shard_rows))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
 
     def packed(level: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            release("packing")
             out = pack_rows(rows, capacity)
             out["sequence_id"] = (level << 56) + (int(key[0]) << 24) + out["bin"]
             out["open"] = out["fill"] <= OPEN_FILL * capacity
@@ -277,10 +297,20 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
 
         return run
 
-    salted = loose.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    first = cut(salted.groupBy("shard").applyInPandas(packed(1), kinds))
-    done = first.filter(~F.col("open"))
-    again = first.filter("open").withColumn("shard", F.shiftrightunsigned(F.col("sequence_id").bitwiseAND((1 << 56) - 1), 24))
-    again = again.select(*names, F.floor(F.col("shard") / MERGE_SHARDS).alias("shard")).groupBy("shard").applyInPandas(packed(2), kinds)
+    waiting = found.filter(F.col("length") < capacity).select(*names)
+    done: list[DataFrame] = []
+    n, bins, level = waiting.count(), None, 0
+    while n:
+        level += 1
+        groups = -(-n // shard_rows)
+        dealt = waiting.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)))
+        now = cut(dealt.groupBy("shard").applyInPandas(packed(level), kinds))
+        n, left, made = now.agg(F.count_if("open"), F.count_if(F.col("open") & (F.col("offset") == 0)), F.count_if(F.col("offset") == 0)).first()
+        if groups == 1 or (bins is not None and made > (1 - LEAST_SAVED) * bins):
+            done.append(now)
+            break
+        # every step among one group's bins has been tried: only other groups' bins can help
+        done.append(now.filter(~F.col("open")))
+        waiting, bins = now.filter("open").select(*names), left
     full = found.filter(F.col("length") == capacity).select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return done.drop("open").unionByName(again.drop("open")).unionByName(full)
+    return reduce(DataFrame.unionByName, [d.drop("open") for d in done], full)
