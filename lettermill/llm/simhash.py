@@ -11,7 +11,6 @@ and the table's key. Two fingerprints within the radius agree on both blocks in
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -19,16 +18,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, U64, cut, mix64, tune, worker_state
+from lettermill.llm.common import NULL_ID, U64, cut, in_arrow, mix64, parts, tune, worker_state
 
 BITS = 128
 #: Entries of a worker's table of word hashes.
 TABLE_ROWS = 400_000
-#: Documents in a range of ids, and the most ranges (beyond that, ranges grow; they are sorted and may spill).
-RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 def term_hashes(text: str) -> np.ndarray:
     words = text.lower().split()
@@ -76,6 +74,16 @@ def _fps(texts: list[str]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["hi", "lo"])
 
 
+def edited(text: str, after: str) -> str:
+    """The text with the last half of its characters, rounded down, replaced by as many from the head of the next, or all of it."""
+    half = len(text) // 2
+    return text[: len(text) - half] + after[:half]
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row of docs; fp is a struct of two longs. Null text: as empty, all bits 0."""
     tune(docs.sparkSession)
@@ -84,7 +92,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _fps(b.column("text").to_pylist())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id long, fp {_FP}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_arrow(rows, "simhash", run, f"doc_id long, fp {_FP}")
 
 
 def within(queries: DataFrame, stored: DataFrame, radius: int) -> DataFrame:
@@ -110,70 +119,80 @@ def within(queries: DataFrame, stored: DataFrame, radius: int) -> DataFrame:
     return q.join(s, on).select("query", "fp", distance.alias("distance"))
 
 
-def _id_ranges(ids: DataFrame) -> tuple[list[int], dict[int, int]]:
-    """Lower ends of ranges of ids, and for the largest id of each range the range that comes before it in descending order."""
-    n = ids.count()
-    m = min(MOST_RANGES, max(1, n // RANGE_ROWS))
-    cuts = sorted(set(ids.agg(F.percentile_approx("id", [i / m for i in range(1, m)], 100 * m)).first()[0] or [])) if m > 1 else []
-
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("id").to_numpy()
-            at = np.searchsorted(np.array(cuts, np.int64), x, side="right")
-            o = np.lexsort((x, at))
-            last = np.r_[at[o][1:] != at[o][:-1], True] if len(o) else np.empty(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(at[o][last], pa.int64()), pa.array(x[o][last], pa.int64())], names=["r", "id"])
-
-    found = ids.mapInArrow(tops, "r long, id long").groupBy("r").agg(F.max("id").alias("id")).orderBy("r").collect()  # a row for each range
-    return cuts, {row["id"]: found[(k + 1) % len(found)]["r"] for k, row in enumerate(found)}
-
-
 def edited_likeness(docs: DataFrame, radius: int = 3, query_step: int = 50) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, within_radius) for every row.
 
     The edited text ends in the head of the next document's text instead of its own last floor(n_chars / 2) characters;
     next: descending doc_id, after the last the first. Rows of one doc_id follow one another in a fixed order of their
-    texts. A lone document is its own next. Null text: as empty. Null doc_id: after all others. within_radius: for ids
+    texts. A lone document is its own next. Texts of any length are read whole; a task holds 512 of them at a time. Null text: as empty. Null doc_id: after all others. within_radius: for ids
     divisible by query_step the number of other rows whose fingerprint lies within the radius, else null. Columns other
     than doc_id and text are not looked at. An empty table gives no rows.
     """
-    tune(docs.sparkSession)
+    spark = docs.sparkSession
+    tune(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts, tops = _id_ranges(rows.select("id"))
+    order = [F.desc("id"), F.desc(F.xxhash64("text"))]
+    ranged = rows.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row edited by the one after it; the range's last row waits for the next range's first text (head)."""
+        part = TaskContext.get().partitionId()
+        ids: list[int] = []
+        texts: list[str] = []
+        begun = False
+
+        def batch(after: str | None, first: bool) -> pa.RecordBatch:
+            nexts = [*texts[1:], after]
+            done = [None if y is None else edited(x, y) for x, y in zip(texts, nexts, strict=True)]
+            fp = _fps(texts + [x for x in (after, *done) if x is not None])
+            n = len(texts)
+            own, rest = fp.slice(0, n), fp.slice(n)
+            of_next = own.slice(1) if after is None else pa.concat_arrays([own.slice(1), rest.slice(0, 1)])
+            of_edit = rest if after is None else rest.slice(1)
+            none = pa.nulls(int(after is None), own.type)
+            cols = [
+                pa.array([part] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), own,
+                pa.concat_arrays([of_next, none]), pa.array([None if x is None else _sha(x) for x in done], pa.string()), pa.concat_arrays([of_edit, none]),
+                pa.array([texts[0] if first else None, *[None] * (n - 1)], pa.string()), pa.array([*[None] * (n - 1), texts[-1] if after is None else None], pa.string()),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "id", "n_chars", "fp", "next_fp", "edited_sha256", "edited_fp", "head", "tail"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their range; the largest id of a range once more, as what follows the range before it."""
-        names = ["r", "more", "id", "text", "fp"]
         for b in batches:
-            ids = b.column("id").to_pylist()
-            fp, r = _fps(b.column("text").to_pylist()), [bisect_right(cuts, i) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array([0] * len(ids), pa.int32()), b.column("id"), b.column("text"), fp], names=names)
-            if at := [k for k, i in enumerate(ids) if i in tops]:
-                take = lambda x, at=at: x.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array([tops[ids[k]] for k in at], pa.int64()), pa.array([1] * len(at), pa.int32()), take(b.column("id")), take(b.column("text")), take(fp)], names=names)
-
-    dealt = rows.mapInArrow(deal, f"r long, more int, id long, text string, fp {_FP}")
-    order = Window.partitionBy("r").orderBy("more", F.desc("id"), F.desc(F.xxhash64("text")))
-    half = F.floor(F.length("text") / 2).cast("int")
-    paired = dealt.select("more", "id", "text", "fp", F.lead("fp").over(order).alias("next_fp"), F.lead("text").over(order).alias("next")).filter("more = 0")
-    paired = paired.select("id", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half)).alias("text"))
-
-    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if len(ids) >= 512:
+                    yield batch(t, not begun)
+                    begun = True
+                    ids.clear()
+                    texts.clear()
+                ids.append(i)
+                texts.append(t)
+        if ids:
+            yield batch(None, not begun)
+
+    found = cut(in_arrow(ranged, "simhash", pair, f"part int, id long, n_chars long, fp {_FP}, next_fp {_FP}, edited_sha256 string, edited_fp {_FP}, head string, tail string"))
+    seams = found.filter("tail IS NOT NULL").select("part", "id", "n_chars", "fp", F.col("tail").alias("text"))
+    heads = found.filter("head IS NOT NULL").select("part", F.col("head").alias("next"))
+    there = sorted(r["part"] for r in heads.select("part").collect())  # a number for each partition that has rows
+    after = spark.createDataFrame(list(zip(there, [*there[1:], *there[:1]], strict=True)), "part int, other int")
+
+    def sew(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            sha = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())
-            kept = ["id", "fp", "next_fp", "n_chars"]
-            yield pa.RecordBatch.from_arrays([*map(b.column, kept), sha, _fps(texts)], names=[*kept, "edited_sha256", "edited_fp"])
+            nexts = b.column("next").to_pylist()
+            done = [edited(x, y) for x, y in zip(b.column("text").to_pylist(), nexts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_chars"), b.column("fp"), _fps(nexts), pa.array(list(map(_sha, done)), pa.string()), _fps(done)], names=["id", "n_chars", "fp", "next_fp", "edited_sha256", "edited_fp"])
 
-    found = cut(paired.mapInArrow(edit, f"id long, fp {_FP}, next_fp {_FP}, n_chars long, edited_sha256 string, edited_fp {_FP}"))
+    sewn = seams.join(after, "part").join(heads.withColumnRenamed("part", "other"), "other").select("id", "n_chars", "fp", "text", "next")
+    sewn = cut(in_arrow(sewn, "simhash", sew, f"id long, n_chars long, fp {_FP}, next_fp {_FP}, edited_sha256 string, edited_fp {_FP}"))
+    found = found.filter("tail IS NULL").drop("part", "head", "tail").unionByName(sewn)
     classes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     asks = found.filter((F.col("id") != NULL_ID) & (F.col("id") % query_step == 0)).select("fp")
-    near = within(asks, classes, radius).join(classes, "fp").groupBy("query").agg(F.sum("n").alias("n"))
+    # written, so that both sides of the join are plain exchanges and a fingerprint that very many rows share can be split
+    near = cut(within(asks, classes, radius).join(classes, "fp").groupBy("query").agg(F.sum("n").alias("n")))
     found = found.join(near.withColumnRenamed("query", "fp"), "fp", "left")
-    fp, edited, after = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
+    fp, edited_fp, next_fp = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
     own = F.when(F.col("id") != NULL_ID, F.col("id"))
     return found.select(
-        own.alias("doc_id"), "n_chars", "edited_sha256", as_hex(fp).alias("fingerprint"), as_hex(edited).alias("edited_fingerprint"),
-        likeness(fp, edited).alias("near_edited"), likeness(fp, after).alias("near_next"),
+        own.alias("doc_id"), "n_chars", "edited_sha256", as_hex(fp).alias("fingerprint"), as_hex(edited_fp).alias("edited_fingerprint"),
+        likeness(fp, edited_fp).alias("near_edited"), likeness(fp, next_fp).alias("near_next"),
         F.when(own % query_step == 0, F.col("n") - 1).alias("within_radius"),
     )
