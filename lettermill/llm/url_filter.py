@@ -5,8 +5,9 @@ the interval of keys that begin with its own; rules nest or are disjoint. A url
 each parent domain. Keys and the starts and ends of intervals are sorted together and swept: the depth is a running
 sum, and the innermost rule at depth d is the last one that opened at depth d, which is a stack held in a window.
 
-Keys are cut into ranges by approximate percentiles, and ranges with many keys are salted; each cell gets the rules
-that reach into its range, so no cell has to hold more than about `CELL_ROWS` keys and no data is broadcast.
+Distinct keys, starts and ends are dealt together into sorted ranges, so that neither one host nor one rule fills a task,
+and nothing is broadcast. A range begins with the rules that are open there: those whose keys are beginnings of its first
+key, found by an equal join of these beginnings.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys in one cell of the sweep, and ranges that keys are cut into.
-CELL_ROWS, RANGES = 200_000, 64
+from lettermill.llm.common import cut, parts
+
 END = b"\xff"  # in no UTF-8 text, so above every key of an interval
 
 
@@ -29,55 +30,54 @@ def host_and_path(url: str) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _coarse(key: Column) -> Column:
-    """The first seven bytes as a number, which keeps the order of keys."""
-    return F.conv(F.rpad(F.hex(F.substring(key, 1, 7)), 14, "0"), 16, 10).cast("long")
+def _reversed(host: str) -> Column:
+    return F.reverse(F.split(host, r"\."))
+
+
+def _swept(keys: DataFrame, rules: DataFrame, ranges: int) -> DataFrame:
+    """(key, inner): for each distinct key that lies in an interval the innermost rule (struct). rules: (key, rule)."""
+    kind = rules.schema["rule"].dataType
+    event = lambda df, key, turn, step, rule: df.select(key.alias("key"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), rule.cast(kind).alias("rule"))
+    key, none = F.col("key"), F.lit(None)
+    events = event(keys, key, 1, 0, none).unionByName(event(rules, key, 0, 1, F.col("rule"))).unionByName(event(rules, F.concat("key", F.lit(END)), 2, -1, none))
+    dealt = cut(events.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id()))
+    firsts = dealt.groupBy("range").agg(F.min("key").alias("first"))  # a row for each range
+    begins = firsts.select("range", F.explode(F.sequence(F.lit(1), F.octet_length("first") - 1)).alias("n"), "first").filter("n >= 1 AND n < octet_length(first)")
+    begins = begins.select("range", F.expr("substring(first, 1, n)").alias("key"))
+    open_ = begins.join(rules, "key").select("key", F.lit(0).alias("turn"), F.lit(1).alias("step"), "rule", "range")
+    past = lambda *by: Window.partitionBy(*by).orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.unionByName(open_).withColumn("depth", F.sum("step").over(past("range")))
+    swept = swept.withColumn("inner", F.last("rule", ignorenulls=True).over(past("range", "depth")))
+    return swept.filter("turn = 1 AND depth > 0").select("key", "inner")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", cell_rows: int = CELL_ROWS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages (page_id, url).
 
-    rules: (host, path, verdict). A rule fits its host and all subdomains where the path starts with the rule's; of those
-    that fit, the longest (host and path together; then the longer host) gives rule and verdict; two rules of one host and path: block. None
-    fits: rule null, verdict `default`. Null url or one without `://`: host and path empty, which no rule fits. Repeated
-    rows give repeated results, a null page_id stays null, other columns are not looked at, an empty table gives no rows.
+    rules: (host, path, verdict); rows with a null host or path are none. A rule fits its host and all subdomains where the path
+    starts with the rule's; of those that fit, the longest (host and path together; then the longer host) gives rule and verdict;
+    two rules of one host and path: block. None fits: rule null, verdict `default`. Null url or one without `://`: host and path
+    empty, which no rule fits. Repeated rows give repeated results, a null page_id stays null, other columns are not looked at, an
+    empty table gives no rows. Urls of any length are read whole. ranges: sorted ranges of keys, else as many as shuffle partitions.
     """
     spark = pages.sparkSession
     host, path = host_and_path("url")
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    labels = F.reverse(F.split("host", r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.size("l")), lambda i: F.array_join(F.slice("l", F.lit(1), i), "."))
-    asked = seen.filter("host <> ''").distinct().withColumn("l", labels)
-    asked = asked.select("host", "path", F.explode(parents).alias("up")).select("host", "path", F.concat("up", F.lit("#"), "path").cast("binary").alias("key"))
-    asked = asked.withColumn("coarse", _coarse(F.col("key")))
-
-    shares = [i / RANGES for i in range(1, RANGES)]
-    cuts = sorted(set(asked.agg(F.percentile_approx("coarse", shares, 10_000)).first()[0] or []))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = lambda c: F.size(F.filter(edges, lambda e: e <= c))
-    asked = asked.withColumn("bucket", bucket(F.col("coarse")))
-    salts = {r["bucket"]: -(-r["count"] // cell_rows) for r in asked.groupBy("bucket").count().collect()}  # RANGES rows at most
-    salt = F.element_at(F.create_map(*[F.lit(x) for kv in (salts or {0: 1}).items() for x in kv]), F.col("bucket"))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("key", "host", "path"), salt.cast("long")).cast("int"))
-
-    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    own = rules.select(F.struct("host", "path", "verdict").alias("rule"), F.concat(F.array_join(labels, "."), F.lit("#"), "path").cast("binary").alias("key"))
-    own = own.withColumn("end", F.concat("key", F.lit(END)))
-    own = own.withColumn("bucket", F.explode(F.sequence(bucket(_coarse(F.col("key"))), bucket(_coarse(F.col("end"))))))
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(salt, F.lit(1)).cast("int") - 1)))
-    none = F.lit(None).cast("string")
-    events = asked.select("bucket", "salt", "key", F.lit(1).alias("turn"), F.lit(0).alias("step"), F.lit(None).cast(own.schema["rule"].dataType).alias("rule"), "host", "path")
-    events = events.unionByName(own.select("bucket", "salt", "key", F.lit(0).alias("turn"), F.lit(1).alias("step"), "rule", none.alias("host"), none.alias("path")))
-    events = events.unionByName(own.select("bucket", "salt", F.col("end").alias("key"), F.lit(2).alias("turn"), F.lit(-1).alias("step"), F.lit(None).cast(own.schema["rule"].dataType).alias("rule"), none.alias("host"), none.alias("path")))
-
-    past = lambda *by: Window.partitionBy(*by).orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.withColumn("depth", F.sum("step").over(past("bucket", "salt")))
-    swept = swept.withColumn("inner", F.last("rule", ignorenulls=True).over(past("bucket", "salt", "depth")))
-    fits = swept.filter("turn = 1 AND depth > 0")
+    asked = cut(seen.filter("host <> ''").select("host", "path").distinct())
+    asked = asked.withColumn("l", _reversed("host")).select("host", "path", F.explode(parents).alias("up"))
+    asked = asked.select("host", "path", F.concat("up", F.lit("#"), "path").cast("binary").alias("key"))
+
+    rules = rules.filter("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rules = rules.select(F.concat(F.array_join(_reversed("host"), "."), F.lit("#"), "path").cast("binary").alias("key"), F.struct("host", "path", "verdict").alias("rule"))
+    # written, so that both sides of the two joins are plain exchanges, and a key or url that very many rows share can be split
+    inner = cut(_swept(asked.select("key").distinct(), rules, ranges or parts(spark)))
     size = F.length("inner.host") + F.length("inner.path")
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(size.alias("n"), F.length("inner.host").alias("h"), F.col("inner"))).alias("best"))
-    best = best.select("host", "path", F.concat("best.inner.host", "best.inner.path").alias("rule"), F.col("best.inner.verdict").alias("found"))
-    return seen.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    best = asked.join(inner, "key").groupBy("host", "path").agg(F.max(F.struct(size.alias("n"), F.length("inner.host").alias("h"), F.col("inner"))).alias("best"))
+    best = cut(best.select("host", "path", F.concat("best.inner.host", "best.inner.path").alias("rule"), F.col("best.inner.verdict").alias("found")))
+    judged = seen.filter("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    rest = seen.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.unionByName(rest)
 
 
 #: The rules of the registered query.

@@ -414,13 +414,32 @@ def test_url_filter(spark):
         return host, path, best[2], best[3]
 
     given = spark.createDataFrame(rules, "host string, path string, verdict string")
-    for cell in (1, 1000):
-        got = rows(url_filter.filter_urls(pages, given, "allow", cell), "page_id", "host", "path", "rule", "verdict")
+    for ranges in (1, 3, 40):
+        got = rows(url_filter.filter_urls(pages, given, "allow", ranges), "page_id", "host", "path", "rule", "verdict")
         assert got == Counter((r["page_id"], *judge(r["url"])) for r in pages.collect())
     assert url_filter.filter_urls(pages.limit(0), given).isEmpty()
     assert url_filter.filter_urls(pages, given.limit(0)).filter("verdict <> 'allow'").isEmpty()
 
 
+def test_url_filter_with_rules_nested_across_ranges(spark):
+    """Deep rules that stay open over many ranges, and one host with most of the urls."""
+    r = np.random.default_rng(10)
+    pick = lambda: "/" + "".join(f"{'ab'[k]}/" for k in r.integers(0, 2, r.integers(0, 6)))
+    hosts = ["com", "x.com", "y.x.com", "z.y.x.com", "q.org"]
+    rules = {(hosts[k % 5], pick()): ("block", "allow")[int(r.integers(0, 2))] for k in range(60)}
+    urls = [f"https://{hosts[3 if k % 3 else int(r.integers(0, 5))]}{pick()}p{k % 40}" for k in range(900)]
+
+    def judge(url):
+        host, _, path = url[8:].partition("/")
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits, default=(0, 0, None, "allow"))[2:]
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    given = spark.createDataFrame([(h, p, v) for (h, p), v in rules.items()], "host string, path string, verdict string")
+    got = {row["page_id"]: (row["rule"], row["verdict"]) for row in url_filter.filter_urls(pages, given, "allow", 25).collect()}
+    assert got == {k: judge(u) for k, u in enumerate(urls)}
+
+
 # 8, 9
 
 
