@@ -8,55 +8,62 @@ k-th best score so far): a row in none of the other, essential lists can't get i
 summed; the non-essential terms are probed, largest bound first, only for rows whose sum and the bounds still to come
 reach the threshold. Rows at the threshold stay in, as ties go to the smaller id.
 
-Shards and blocks of queries are dealt out as cells of one grouped map; a window merges the shards' best.
+Rows become shards where they are read and are written once. Queries come in blocks of a bounded size, which are broadcast;
+a block meets the shards in waves, each WAVE times as many as before: a wave starts at the threshold that the waves before
+it have reached over all shards, so that later shards hardly give a row and no pair of vectors is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import tune
+from lettermill.llm.common import cut, in_arrow, tune
 
-#: Rows of a shard and of a block of queries.
-SHARD_ROWS, QUERY_ROWS = 4096, 512
-#: Rows that a shard scores at once; the threshold rises from one run to the next.
+#: Rows of a shard; components (8 bytes each) and rows of a block of queries at most; by how much waves grow.
+SHARD_ROWS, BLOCK_COMPONENTS, BLOCK_ROWS, WAVE = 4096, 1 << 22, 1 << 16, 64
+#: Rows that a shard scores at once while there is no threshold; it rises from one run to the next.
 RUN_ROWS = 1024
+NO_SCORE = -(2**63)
 
 
 class Postings:
     """A shard's rows in runs of ascending id; per run and term the rows and weights, and the largest weight."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, run_rows: int = RUN_ROWS):
         order = np.argsort(ids, kind="stable")
         self.ids, vectors = ids[order], vectors[order]
         self.runs = []
-        for at in range(0, len(ids), RUN_ROWS):
-            x = vectors[at : at + RUN_ROWS]
+        for at in range(0, len(ids), run_rows):
+            x = vectors[at : at + run_rows]
             lists = []
             for d in range(x.shape[1]):
                 for sign in (1, -1):
                     rows = np.flatnonzero(sign * x[:, d] > 0)
                     w = sign * x[rows, d]
                     lists.append((rows, w, int(w.max()) if len(w) else 0))
-            self.runs.append((self.ids[at : at + RUN_ROWS], x, lists))
+            self.runs.append((self.ids[at : at + run_rows], x, lists, np.array([most for *_, most in lists], np.int64)))
 
 
-def search(postings: Postings, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(score, id) of the k best rows of the shard but query_id itself, best first."""
+def search(postings: Postings, query_id: int, q: np.ndarray, k: int, best: list[tuple[int, int]] | None = None, floor: int = NO_SCORE) -> list[tuple[int, int]]:
+    """(-score, id) of the k best of `best` and the shard's rows but query_id itself, in order; rows below `floor` may be left out."""
     weights = np.stack([q, -q], axis=1).ravel()
-    best: list[tuple[int, int]] = []
-    for ids, x, lists in postings.runs:
-        threshold = -best[-1][0] if len(best) == k else None
-        bound = np.array([max(int(w) * most, 0) for w, (_, _, most) in zip(weights, lists, strict=True)], dtype=np.int64)
+    best = best or []
+    for ids, x, lists, most in postings.runs:
+        threshold = max(floor, -best[-1][0] if len(best) == k else NO_SCORE)
+        bound = np.maximum(weights * most, 0)
         order = np.argsort(bound, kind="stable")
         ahead = np.cumsum(bound[order])  # the most that the terms up to here can add
-        loose = 0 if threshold is None else int(np.searchsorted(ahead, threshold))
+        loose = 0 if threshold == NO_SCORE else int(np.searchsorted(ahead, threshold))
         total = np.zeros(len(ids), np.int64)
         reached = np.zeros(len(ids), bool)
-        if threshold is None or threshold <= 0:
+        if threshold <= 0:
             reached[:] = True  # a row that shares no term scores 0
         for t in order[loose:]:
             rows, w, _ = lists[t]
@@ -65,8 +72,7 @@ def search(postings: Postings, query_id: int, q: np.ndarray, k: int) -> list[tup
                 reached[rows] = True
         alive = np.flatnonzero(reached & (ids != query_id))
         for n in range(loose - 1, -1, -1):
-            if threshold is not None:
-                alive = alive[total[alive] + ahead[n] >= threshold]
+            alive = alive[total[alive] + ahead[n] >= threshold]
             if not len(alive):
                 break
             t = order[n]
@@ -74,46 +80,103 @@ def search(postings: Postings, query_id: int, q: np.ndarray, k: int) -> list[tup
                 d, sign = divmod(int(t), 2)
                 w = x[alive, d] * (-1 if sign else 1)
                 total[alive] += weights[t] * np.maximum(w, 0)
+        alive = alive[total[alive] >= threshold]
         if len(alive) > 4 * k:  # only what can be among the k best, ties at the edge too
             edge = np.partition(total[alive], len(alive) - k)[len(alive) - k]
             alive = alive[total[alive] >= edge]
-        best = sorted(best + [(-int(total[i]), int(ids[i])) for i in alive])[:k]
-    return [(-s, i) for s, i in best]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+        if len(alive):
+            best = sorted(best + [(-int(total[i]), int(ids[i])) for i in alive])[:k]
+    return best
+
+
+def _shards(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """(u, n, ids, vectors): a row for each shard; u: a hash in 0 .. 2**31; vectors: n rows of 64-bit integers, padded to one width."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shard(ids: list[int], vs: list[list[int]]) -> pa.RecordBatch:
+            x = _matrix(vs)
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["n", "ids", "vectors"])
+
+        ids: list[int] = []
+        vs: list[list[int]] = []
+        for b in batches:
+            ids += b.column("vec_id").to_pylist()
+            vs += b.column("v").to_pylist()
+            while len(ids) >= shard_rows:
+                yield shard(ids[:shard_rows], vs[:shard_rows])
+                ids, vs = ids[shard_rows:], vs[shard_rows:]
+        if ids:
+            yield shard(ids, vs)
+
+    made = in_arrow(rows.select("vec_id", "v"), "maxscore", build, "n int, ids binary, vectors binary")
+    return cut(made.select(F.shiftrightunsigned(F.xxhash64("ids"), 33).alias("u"), "n", "ids", "vectors"))
+
+
+def _matrix(vs: list[list[int]], width: int | None = None) -> np.ndarray:
+    x = np.zeros((len(vs), width or max(map(len, vs))), np.int64)
+    for i, v in enumerate(vs):
+        x[i, : len(v)] = v
+    return x
+
+
+def _wave(shards: DataFrame, held: Broadcast, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each task's best for a block of queries (ids, vectors, floors), at their floors or above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, floors = held.value
+        best: list[list[tuple[int, int]]] = [[]] * len(ids)
+        for b in batches:
+            for n, own, vectors in zip(*(b.column(c).to_pylist() for c in ("n", "ids", "vectors")), strict=True):
+                x = np.frombuffer(vectors, np.int64).reshape(n, -1)
+                width = min(x.shape[1], queries.shape[1])  # beyond it one side is zero
+                postings = Postings(np.frombuffer(own, np.int64), x[:, :width], RUN_ROWS if floors[0] == NO_SCORE else max(n, 1))
+                for i, q in enumerate(queries):
+                    best[i] = search(postings, int(ids[i]), q[:width], k, best[i], int(floors[i]))
+        for at in range(0, len(ids), 4096):
+            found = np.array([(ids[i], v, -s) for i in range(at, min(at + 4096, len(ids))) for s, v in best[i]], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, c].copy()) for c in range(3)], names=["query_id", "vec_id", "score"])
+
+    return in_arrow(shards, "maxscore", run, "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors, all if fewer, ties to the smaller id.
 
-    Both: (vec_id long, v array<bigint>), vectors of one length; a shorter vector counts as padded with zeros. A query's
-    own id is no candidate. Vectors that are null, empty or hold nulls take no part, nor do null ids. Repeated rows are
-    candidates each for itself; a repeated query gives one result. An empty side gives no rows. Exact as long as inner
-    products fit 64 bits.
+    Both: (vec_id long, v array<bigint>); a shorter vector counts as padded with zeros, an empty one as all zeros. A query's own
+    id is no candidate. Vectors that are null or hold nulls take no part, nor do null ids. Repeated rows are candidates each for
+    itself; of queries of one id the least vector asks. An empty side gives no rows. Exact as long as inner products fit 64 bits.
     """
     spark = vectors.sparkSession
     tune(spark)
-    sound = lambda df: df.select("vec_id", "v").filter("vec_id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
-    rows, asks = sound(vectors), sound(queries).dropDuplicates(["vec_id"])
-    sizes = rows.agg(F.count(F.lit(1))).first()[0], asks.agg(F.count(F.lit(1))).first()[0]
-    shards, blocks = (max(1, -(-n // m)) for n, m in zip(sizes, (shard_rows, query_rows), strict=True))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = rows.select(deal(shards).alias("shard"), every(blocks).alias("block"), F.lit(False).alias("ask"), "vec_id", "v").unionByName(
-        asks.select(every(shards).alias("shard"), deal(blocks).alias("block"), F.lit(True).alias("ask"), "vec_id", "v")
-    )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = max(map(len, pdf["v"]))
-        x = np.zeros((len(pdf), width), np.int64)
-        for i, v in enumerate(pdf["v"]):
-            x[i, : len(v)] = v
-        ids, ask = pdf["vec_id"].to_numpy(), pdf["ask"].to_numpy(bool)
-        postings = Postings(ids[~ask], x[~ask])
-        found = [(int(q), i, s) for q, v in zip(ids[ask], x[ask], strict=True) for s, i in search(postings, int(q), v, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    found = cells.groupBy("shard", "block").applyInPandas(run, "query_id long, vec_id long, score long")
+    sound = lambda df: df.select("vec_id", "v").filter("vec_id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL)")
+    shards = _shards(sound(vectors), shard_rows)
+    asks = cut(sound(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n_asks, width = asks.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n_shards = shards.count()
+    blocks = max(-(-n_asks // block_rows), -(-n_asks * max(width, 1) // BLOCK_COMPONENTS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done = []
+    for block in range(blocks if n_shards else 0):
+        mine = asks.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()  # about block_rows
+        if not mine:
+            continue
+        ids, x = np.array([r["vec_id"] for r in mine], np.int64), _matrix([r["v"] for r in mine], max(width, 1))
+        floors, best, lo, share = np.full(len(ids), NO_SCORE), None, 0, 1
+        while lo < 1 << 31:
+            hi = min(1 << 31, (share << 31) // n_shards + 1)
+            held = spark.sparkContext.broadcast((ids, x, floors))  # BLOCK_COMPONENTS at most
+            found = _wave(shards.filter((F.col("u") >= lo) & (F.col("u") < hi)), held, k)
+            found = found if best is None else found.unionByName(best.drop("rank"))
+            best = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+            held.destroy()
+            lo, share = hi, share * WAVE
+            if lo < 1 << 31:
+                reached = {r["query_id"]: r["score"] for r in best.filter(F.col("rank") == k).select("query_id", "score").collect()}  # one for each query of the block
+                floors = np.array([reached.get(int(i), NO_SCORE) for i in ids], np.int64)
+        done.append(best.select("query_id", "rank", "vec_id", "score"))
+    if not done:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionByName, done)
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
@@ -127,7 +190,7 @@ def oracle_sql() -> str:
     return """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score

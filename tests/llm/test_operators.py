@@ -177,7 +177,7 @@ def test_top_k(spark):
     x[5] = x[6] = x[7] = [0] * 7
     data = [(i, v) for i, v in enumerate(x)] + [(300, None), (301, [1, None, 2]), (302, [1, 2]), (303, []), (None, [1] * 7), (3, x[3])]
     v = spark.createDataFrame(data, "vec_id long, v array<long>")
-    sound = [(i, w + [0] * (7 - len(w))) for i, w in data if i is not None and w and None not in w]
+    sound = [(i, w + [0] * (7 - len(w))) for i, w in data if i is not None and w is not None and None not in w]
     for k, shard in ((10, 40), (3, 1000), (500, 64)):
         got = rows(maxscore.top_k(v, v.filter("vec_id % 25 = 0"), k, shard, 4), "query_id", "rank", "vec_id", "score")
         want = Counter()
@@ -186,6 +186,8 @@ def test_top_k(spark):
                 best = sorted((-sum(a * b for a, b in zip(w, y, strict=True)), i) for i, y in sound if i != q)[:k]
                 want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
         assert got == want
+    few = rows(maxscore.top_k(v, v.filter("vec_id = 3 OR vec_id = 303"), 2, 40, 1), "query_id", "rank")
+    assert few == Counter([(3, 1), (3, 2), (303, 1), (303, 2)])
     assert maxscore.top_k(v.limit(0), v, 3).isEmpty() and maxscore.top_k(v, v.limit(0), 3).isEmpty()
 
 
