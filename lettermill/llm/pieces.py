@@ -1,27 +1,33 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 The piece model never joins a character to a whitespace marker that follows it, so a text falls into chunks (a run of
-markers and what follows it) whose segmentations don't depend on one another. Every distinct chunk is segmented once
-in a worker and kept in a table; the ids of a text are the table's entries put together by position. The table is
-emptied when full and never holds long chunks, so a worker's memory is bounded.
+markers and what follows it) whose segmentations don't depend on one another. The distinct chunks of all texts are counted,
+and those that occur most often, as many as a worker can hold, are segmented once and broadcast as the table; the ids of a
+text are the table's entries put together by position. Rarer chunks are segmented where they occur, and kept in a second
+table that is emptied when full; it never holds long chunks, so a worker's memory is bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import tune, worker_state
+from lettermill.llm.common import cut, in_arrow, tune, worker_state
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Entries of a worker's table, and the longest chunk that it keeps.
-TABLE_ROWS, TABLE_CHARS = 400_000, 48
+#: Entries of the broadcast table, of a worker's own, the longest chunk that they keep, and distinct chunks that a task counts at a time.
+HEAD_ROWS, TABLE_ROWS, TABLE_CHARS, COUNTERS = 150_000, 150_000, 48, 200_000
+
+
+def chunks(text: str) -> list[str]:
+    return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 class PieceTable:
@@ -39,6 +45,7 @@ class PieceTable:
             raise ValueError("the model rewrites white space: chunks are not independent")
         self.shown = [self.surface(i, p) for i, p in enumerate(pieces)]
         self.mark = self.sp.piece_to_id(MARK)
+        self.head: dict[str, tuple[int, bytes, bytes]] = {}
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def surface(self, i: int, piece: str) -> bytes:
@@ -57,9 +64,9 @@ class PieceTable:
         """An entry for each chunk of the text, in order. An empty text has none."""
         if not text:
             return []
-        known, found = self.known, []
-        for chunk in CHUNK.findall(MARK + text.replace(" ", MARK)):
-            row = known.get(chunk)
+        head, known, found = self.head, self.known, []
+        for chunk in chunks(text):
+            row = head.get(chunk) or known.get(chunk)
             if row is None:
                 row = self.segment(chunk)
                 if len(chunk) <= TABLE_CHARS:
@@ -85,7 +92,47 @@ def piece_table(model: str) -> PieceTable:
     return worker_state("pieces", model, lambda: PieceTable(model))
 
 
-def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
+def head_table(docs: DataFrame, model: str, rows: int = HEAD_ROWS) -> dict[str, tuple[int, bytes, bytes]]:
+    """The chunks that occur more than once and at least as often as any left out, at most `rows` of them, each segmented once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["chunk", "n"])
+            n.clear()
+            return b
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                n.update(chunks(text))
+                if len(n) > COUNTERS:
+                    yield flush()
+        yield flush()
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = piece_table(model)
+        for b in batches:
+            found = [t.segment(c) for c in b.column("chunk").to_pylist()]
+            cols = zip(*found, strict=True) if found else [[]] * 3
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary()), strict=True))], names=["chunk", "n", "ids", "shown"])
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    counted = cut(in_arrow(texts, "pieces", count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")).filter(f"n > 1 AND length(chunk) <= {TABLE_CHARS}"))
+    often = F.floor(16 * F.log2("n")).cast("int")
+    least, total = None, 0
+    for r in counted.groupBy(often.alias("often")).count().orderBy(F.desc("often")).collect():  # 16 rows for each doubling
+        total += r["count"]
+        if total > rows:
+            break
+        least = r["often"]
+    if least is None:
+        return {}
+    found = in_arrow(counted.filter(often >= least).select("chunk"), "pieces", segment, "chunk string, n int, ids binary, shown binary").collect()  # `rows` at most
+    return {r["chunk"]: (r["n"], bytes(r["ids"]), bytes(r["shown"])) for r in found}
+
+
+def encode_decode(docs: DataFrame, model: str, with_ids: bool = False, head_rows: int = HEAD_ROWS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row, and with_ids the columns `ids` and `decoded` too.
 
     model: path of a SentencePiece model, the same on every node. Null text: as empty (no ids, digests of nothing).
@@ -95,8 +142,11 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
     tune(docs.sparkSession)
     more = ", ids array<int>, decoded string" if with_ids else ""
 
+    held = docs.sparkSession.sparkContext.broadcast(head_table(docs, model, head_rows))  # head_rows at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = piece_table(model)
+        t.head = held.value
         for b in batches:
             n, ids, back, lists, shown = [], [], [], [], []
             for text in b.column("text").to_pylist():
@@ -117,4 +167,4 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return in_arrow(rows, "pieces", run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
