@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, cut, shared_folder, text_bytes, tune, worker_state
+from lettermill.llm.common import NULL_ID, cut, in_arrow, shared_folder, text_bytes, tune, worker_state
 from lettermill.llm.pieces import piece_table
 
 CACHE = "content binary, tokenizer string, n_tokens long"
@@ -52,8 +52,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
 
     tokenizer: path of a .model (sentencepiece) or .json (tokenizers) file, the same on every node. cache: path of the
     cache; None begins a new one in the shared folder. A text's normalised content is its UTF-8 bytes, null as empty:
-    both libraries see every byte, so any wider equality could merge texts of different counts. Texts shared by many
-    rows are encoded once, from the row with the smallest id. Repeated rows give repeated results, a null doc_id stays
+    both libraries see every byte, so any wider equality could merge texts of different counts. A text shared by many
+    rows, of one id or several, is encoded once. Repeated rows give repeated results, a null doc_id stays
     null, other columns are not looked at, an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -68,11 +68,17 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     misses = keys.groupBy("content").agg(F.min("id").alias("id")).join(stored.select("content"), "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: set[bytes] = set()
         for b in batches:
-            n = count_tokens(tokenizer, [x.decode() for x in b.column("bytes").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("content"), pa.array(n, pa.int64())], names=["content", "n_tokens"])
-
-    fresh = rows.join(misses, ["id", "content"]).select("content", "bytes").mapInArrow(encode, "content binary, n_tokens long")
+            # rows of one id and text all match, and the join puts them in a row: the first of them is encoded
+            content = b.column("content").to_pylist()
+            first = [k for k, c in enumerate(content) if c not in last and (not k or c != content[k - 1])]
+            last = set(content)
+            some = b.take(pa.array(first, pa.int64()))
+            n = count_tokens(tokenizer, [x.decode() for x in some.column("bytes").to_pylist()])
+            yield pa.RecordBatch.from_arrays([some.column("content"), pa.array(n, pa.int64())], names=["content", "n_tokens"])
+
+    fresh = in_arrow(rows.join(misses, ["id", "content"]).select("content", "bytes"), "pieces" if tokenizer.endswith(".model") else "token_counts", encode, "content binary, n_tokens long")
     fresh.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(mark).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     # two runs may have appended the same text: one row a digest. Written, so that the join reads both sides as they are and can split a digest that very many rows share
     counts = cut(spark.read.schema(CACHE).parquet(cache).filter(F.col("tokenizer") == mark).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
