@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, U64, cut, mix64, parts, text_bytes, tune
+from lettermill.llm.common import NULL_ID, U64, cut, in_arrow, mix64, parts, text_bytes, tune
 
 GRAM = 32
 #: Windows in a run at most; bytes that are hashed at a time; bytes of a block that is indexed (positions take 20 bits).
 RUN_WINDOWS, PIECE, BLOCK = 96, 1 << 20, 1 << 20
 #: Open runs of one anchor beyond which they are settled window by window.
-HOT_RUNS = 4096
+HOT_RUNS = 1024
 
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=U64)
 _BASE = 0x9E3779B97F4A7C15
@@ -161,12 +161,13 @@ PERIODIC = 1 << 10
 REPEAT, ASKED, HOT = 0, 1, 2
 
 
-def _list_batch(part: np.ndarray, cols: dict[str, np.ndarray], n_parts: int) -> pa.RecordBatch:
-    """A row for each part with the lists of what falls to it."""
+def _list_batch(part: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each part that something falls to, with the lists of it."""
     o = np.argsort(part, kind="stable")
-    offsets = pa.array(np.searchsorted(part[o], np.arange(n_parts + 1)).astype(np.int32))
+    there, first = np.unique(part[o], return_index=True)
+    offsets = pa.array(np.append(first, len(part)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(cols[c][o].astype(_KINDS[c]))) for c in _LISTS]
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(n_parts, dtype=np.int32)), *lists], names=["part", *_LISTS])
+    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *lists], names=["part", *_LISTS])
 
 
 def _identified(docs: DataFrame) -> list:
@@ -191,7 +192,7 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
             cols = {"m": m[o].view(np.int64), "c": c[o].view(np.int64), "i": i[o], "s": s[o], "n": n[o], "h": h[o]}
             part = (mix64(m[o]) % U64(n_parts)).astype(np.int64)  # anchors are minima: mixed, lest they crowd at zero
             first = {k: v[~again] for k, v in cols.items()}
-            yield _list_batch(part[~again], first, n_parts)
+            yield _list_batch(part[~again], first)
             if again.any():  # settled here; a digest of 0 says so. Neighbouring runs of a document become one
                 i, s, n, h = (cols[k][again].astype(np.int64) for k in "isnh")
                 o = np.lexsort((s, h, i))
@@ -201,7 +202,7 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
                 at = np.flatnonzero(new)
                 n = np.add.reduceat(n, at)
                 none = np.zeros(len(at), np.int64)
-                yield _list_batch(i[at] % n_parts, {"m": none, "c": none, "i": i[at], "s": s[at], "n": n, "h": h[at]}, n_parts)
+                yield _list_batch(i[at] % n_parts, {"m": none, "c": none, "i": i[at], "s": s[at], "n": n, "h": h[at]})
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +248,8 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
             yield from one(held)
 
     rows = docs.select(*_identified(docs), text_bytes().alias("text"))
-    dealt = rows.mapInArrow(read, _RUN_SCHEMA).filter("size(i) > 0").repartition(parts(spark), "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(settle, _MARK_SCHEMA)
+    dealt = in_arrow(rows, "suffix", read, _RUN_SCHEMA).repartition(parts(spark), "part").sortWithinPartitions("part")
+    return in_arrow(dealt, "suffix", settle, _MARK_SCHEMA)
 
 
 def _mark_batch(i, h, s, n, m, state) -> pa.RecordBatch:
@@ -383,7 +384,7 @@ def _fetched(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "more", "id", "h", "s", "bytes"])
 
-    return cut(texts.mapInArrow(fetch, "key long, more long, id long, h int, s int, bytes binary"))
+    return cut(in_arrow(texts, "suffix", fetch, "key long, more long, id long, h int, s int, bytes binary"))
 
 
 def _hot(windows: DataFrame) -> DataFrame:
@@ -432,7 +433,7 @@ def _indexed(runs_: DataFrame, span: int) -> DataFrame:
         if held:
             yield block(held)
 
-    return runs_.repartition(parts(spark), "key").sortWithinPartitions("key", "id", "s").mapInArrow(index, "id long, h int, s int, n int")
+    return in_arrow(runs_.repartition(parts(spark), "key").sortWithinPartitions("key", "id", "s"), "suffix", index, "id long, h int, s int, n int")
 
 
 def repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -480,7 +481,7 @@ def dedup(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFra
             cols = [[len(t) for t in texts], [d[1] for d in done], [d[2] for d in done], [hashlib.sha256(d[0]).hexdigest() for d in done]]
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 3 + (pa.string(),), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = _marked(docs, span, hot_runs).select("id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = in_arrow(_marked(docs, span, hot_runs).select("id", "text", "marks"), "suffix", run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return found.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -495,7 +496,7 @@ def without_repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS)
 
     rest = F.struct(*others, F.lit(0).alias("_")).alias("rest")
     schema = docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("text"), rest).schema
-    found = _marked(docs, span, hot_runs, rest).select("id", "text", "marks", "rest").mapInArrow(run, schema)
+    found = in_arrow(_marked(docs, span, hot_runs, rest).select("id", "text", "marks", "rest"), "suffix", run, schema)
     own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
     column = {"doc_id": own, "text": F.col("text"), **{c: F.col("rest")[c] for c in others}}
     if "n_chars" in others:
