@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, U64, cut, mix64, parts, text_bytes, tune
+from lettermill.llm.common import NULL_ID, U64, cut, in_arrow, mix64, parts, text_bytes, tune
 
 #: Fingerprints in one tree; larger shards are split.
 SHARD_ROWS = 4096
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.int64())], names=["id", "fp"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return in_arrow(rows, "bktree", run, "id long, fp long")
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def links(classes: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) ->
         if held:
             yield flush(held)
 
-    return rows.repartition(parts(spark), "cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
+    return in_arrow(rows.repartition(parts(spark), "cell").sortWithinPartitions("cell"), "bktree", search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity
             sets = [shingle_set(x).tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("t"), pa.array(sets, pa.binary())], names=["id", "component", "t", "set"])
 
-    rows = rows.select("id", "text", "component", "t").mapInArrow(read, "id long, component long, t int, set binary")
+    rows = in_arrow(rows.select("id", "text", "component", "t"), "bktree", read, "id long, component long, t int, set binary")
     part = F.pmod(F.xxhash64("id"), F.col("t")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("t") - 1), lambda j: (F.col("t") == 1) | (j != part))
     cells = F.transform(others, lambda j: F.xxhash64("component", F.least(part, j), F.greatest(part, j)))
@@ -393,7 +393,7 @@ def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity
         if out:
             yield batch()
 
-    return rows.repartition(parts(spark), "cell").sortWithinPartitions("cell").mapInArrow(search, "a long, b long")
+    return in_arrow(rows.repartition(parts(spark), "cell").sortWithinPartitions("cell"), "bktree", search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -414,7 +414,7 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROU
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "c1", "c2", "size", "keys"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text"))
-    found = cut(rows.mapInArrow(run, "id long, c1 long, c2 long, size long, keys array<long>"))
+    found = cut(in_arrow(rows, "bktree", run, "id long, c1 long, c2 long, size long, keys array<long>"))
     classes = cut(found.groupBy("c1", "c2", "size", "keys").agg(F.min("id").alias("id")))
     keyed = classes.select("id", F.explode("keys").alias("key"))
     leaders = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first"))
