@@ -273,10 +273,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = at(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # sums are written, so that both sides of the joins are plain exchanges and a hub's links can be split
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.filter("a > m").select("a", F.col("m").alias("b")))
-        large = large.filter("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large.filter("a <> b").distinct())
+        small = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         now = cut(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         before, seen = seen, at(now)
         if seen == before:
