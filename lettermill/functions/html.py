@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from html import escape
 from html.parser import HTMLParser
 
 # Elements that go with their content, that only lose their tags, attributes that go, and links that stay.
 DROPPED = {"script", "style", "iframe", "object", "embed", "form", "svg", "math", "template", "noscript"}
 BARE = {"meta", "base", "link", "input", "button"}
+FRAMES = {"frame", "frameset"}
+# Of the dropped ones: that which has no end tag and no content, and those whose content is plain markup, so that without an end tag only the tag goes.
+VOID, MARKUP = {"embed"}, {"form", "object", "noscript"}
 ATTRIBUTES = {"srcset", "formaction", "poster", "srcdoc", "background"}
 SCHEMES = ("http:", "https:", "mailto:")
 POLICY = "<meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'none'; img-src data:; style-src 'unsafe-inline'\">"
@@ -18,12 +23,18 @@ class _Safe(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.inline, self.remote = inline, remote
-        self.depth, self.blocked = 0, False
+        self.inside: list[str] = []  # dropped elements that are open
+        self.ends: Counter[str] = Counter()  # end tags still to come
+        self.blocked = False
+
+    def feed(self, data: str) -> None:
+        self.ends.update(re.findall(r"</([a-z]+)", data.lower()))
+        super().feed(data)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in DROPPED:
-            self.depth += 1
-        if self.depth or tag in DROPPED or tag in BARE:
+        if tag in DROPPED - VOID and (tag not in MARKUP or self.ends[tag]):
+            self.inside.append(tag)
+        if self.inside or tag in DROPPED | BARE | FRAMES:
             return
         kept = []
         for name, value in attrs:
@@ -46,13 +57,15 @@ class _Safe(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in DROPPED:
-            self.depth = max(0, self.depth - 1)
-        elif not self.depth and tag not in BARE:
+        self.ends[tag] -= 1
+        if tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+        elif not self.inside and tag not in DROPPED | BARE | FRAMES:
             self.out.append(f"</{tag}>")
 
     def handle_data(self, data: str) -> None:
-        if not self.depth:
+        if not self.inside:
             self.out.append(escape(data, quote=False))
 
 
