@@ -116,7 +116,7 @@ def within(queries: DataFrame, stored: DataFrame, radius: int) -> DataFrame:
     first = reduce(lambda e, tc: F.when(tc[1], F.lit(tc[0])).otherwise(e), reversed(list(enumerate(agrees))), F.lit(-1))
     distance = F.bit_count(hi) + F.bit_count(lo)
     on = (q["key"] == s["key"]) & (F.col("t") == F.col("t2")) & (distance <= radius) & (F.col("t") == first)
-    return q.join(s, on).select("query", "fp", distance.alias("distance"))
+    return q.join(s.hint("merge"), on).select("query", "fp", distance.alias("distance"))
 
 
 def edited_likeness(docs: DataFrame, radius: int = 3, query_step: int = 50) -> DataFrame:
@@ -187,8 +187,8 @@ def edited_likeness(docs: DataFrame, radius: int = 3, query_step: int = 50) -> D
     classes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     asks = found.filter((F.col("id") != NULL_ID) & (F.col("id") % query_step == 0)).select("fp")
     # written, so that both sides of the join are plain exchanges and a fingerprint that very many rows share can be split
-    near = cut(within(asks, classes, radius).join(classes, "fp").groupBy("query").agg(F.sum("n").alias("n")))
-    found = found.join(near.withColumnRenamed("query", "fp"), "fp", "left")
+    near = cut(within(asks, classes, radius).join(classes.hint("merge"), "fp").groupBy("query").agg(F.sum("n").alias("n")))
+    found = found.join(near.withColumnRenamed("query", "fp").hint("merge"), "fp", "left")
     fp, edited_fp, next_fp = F.col("fp"), F.col("edited_fp"), F.col("next_fp")
     own = F.when(F.col("id") != NULL_ID, F.col("id"))
     return found.select(

@@ -70,12 +70,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", rang
 
     rules = rules.filter("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.select(F.concat(F.array_join(_reversed("host"), "."), F.lit("#"), "path").cast("binary").alias("key"), F.struct("host", "path", "verdict").alias("rule"))
-    # written, so that both sides of the two joins are plain exchanges, and a key or url that very many rows share can be split
+    # written, so that both sides of the two joins are plain exchanges, and a key or url that very many rows share can be split;
+    # merged in any case, as a written table's size tells little of what a broadcast of it would take
     inner = cut(_swept(asked.select("key").distinct(), rules, ranges or parts(spark)))
     size = F.length("inner.host") + F.length("inner.path")
-    best = asked.join(inner, "key").groupBy("host", "path").agg(F.max(F.struct(size.alias("n"), F.length("inner.host").alias("h"), F.col("inner"))).alias("best"))
+    best = asked.join(inner.hint("merge"), "key").groupBy("host", "path").agg(F.max(F.struct(size.alias("n"), F.length("inner.host").alias("h"), F.col("inner"))).alias("best"))
     best = cut(best.select("host", "path", F.concat("best.inner.host", "best.inner.path").alias("rule"), F.col("best.inner.verdict").alias("found")))
-    judged = seen.filter("host <> ''").join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
+    judged = seen.filter("host <> ''").join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))
     rest = seen.filter("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     return judged.unionByName(rest)
 
