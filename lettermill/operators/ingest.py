@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def inherit_dates(stream: DataFrame) -> DataFrame:
+def inherit_dates(stream: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(container, position, date, date_source): a message without a date takes the resolved date before it in its container.
 
     stream: (container, position, own_date, path_year). The first of a container without any date before it takes the start
-    of its path's year (source `path-year`); the others inherit (`previous-message`), from it too.
+    of its path's year (source `path-year`); the others inherit (`previous-message`), from it too. history: (container, own_date), the
+    last resolved date that is catalogued before the stream begins, which its first messages inherit.
     """
+    if history is not None:
+        first = history.filter("own_date IS NOT NULL").select("container", F.lit(-1).cast(stream.schema["position"].dataType).alias("position"), "own_date", F.lit(None).cast("int").alias("path_year"))
+        return inherit_dates(stream.select("container", "position", "own_date", "path_year").unionByName(first)).filter("position >= 0")
     before = Window.partitionBy("container").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     nth = F.row_number().over(Window.partitionBy("container").orderBy("position"))
     start = F.make_timestamp_ntz("path_year", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) if hasattr(F, "make_timestamp_ntz") else F.concat(F.col("path_year").cast("string"), F.lit("-01-01")).cast("timestamp_ntz")

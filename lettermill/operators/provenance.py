@@ -38,6 +38,17 @@ def in_mailboxes(observed: DataFrame, selections: list[tuple[str | None, str | N
     return observed.filter(hit & F.col("pk").isNotNull()).select("pk").distinct()
 
 
+def in_selected(observed: DataFrame, selections: DataFrame) -> DataFrame:
+    """(pk) of messages in any selection, as `in_mailboxes`, for a table of selections (volume, path) of any size; null: any."""
+    names = F.array_join(F.filter(F.split("path", "/"), lambda p: p != ""), "/")
+    chosen = selections.select("volume", F.when(F.col("path").isNotNull(), names).alias("at")).distinct()
+    each = observed.filter("pk IS NOT NULL").select("pk", "volume", F.explode(F.concat(F.array(F.lit("")), prefixes(F.col("path")))).alias("at"))
+    on = {"both": (["volume", "at"], "volume IS NOT NULL AND at IS NOT NULL"), "path": (["at"], "volume IS NULL AND at IS NOT NULL"), "volume": (["volume"], "volume IS NOT NULL AND at IS NULL")}
+    hits = [each.join(chosen.filter(which).select(*keys), keys, "left_semi").select("pk") for keys, which in on.values()]
+    every = each.join(F.broadcast(chosen.filter("volume IS NULL AND at IS NULL").limit(1).select(F.lit("").alias("at"))), "at", "left_semi").select("pk")  # a row at most
+    return hits[0].union(hits[1]).union(hits[2]).union(every).distinct()
+
+
 def locations(observed: DataFrame, preferred: str) -> DataFrame:
     """(pk, place, volume, path): all places of a message, those on the preferred volume first."""
     from pyspark.sql import Window

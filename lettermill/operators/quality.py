@@ -36,26 +36,31 @@ def token_counts(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def weighted_jaccard(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
     """(key, similarity): sum of the smaller over sum of the larger token counts of the texts of a key on either side; 1 if both have none."""
-    a, b = token_counts(left, key, text).withColumnRenamed("n", "l"), token_counts(right, key, text).withColumnRenamed("n", "r")
+    # only keys of both sides are read
+    common = left.select(key).distinct().join(right.select(key).distinct(), key)
+    only = lambda df: df.select(key, text).join(common, key, "left_semi")
+    a, b = token_counts(only(left), key, text).withColumnRenamed("n", "l"), token_counts(only(right), key, text).withColumnRenamed("n", "r")
     both = a.join(b, [key, "token"], "full_outer").fillna(0, ["l", "r"])
     found = both.groupBy(key).agg(F.sum(F.least("l", "r")).alias("x"), F.sum(F.greatest("l", "r")).alias("y"))
-    keys = left.select(key).join(right.select(key), key).distinct()
-    return keys.join(found, key, "left").select(key, F.round(F.coalesce(F.col("x") / F.col("y"), F.lit(1.0)), 9).alias("similarity"))
+    return common.join(found, key, "left").select(key, F.round(F.coalesce(F.col("x") / F.col("y"), F.lit(1.0)), 9).alias("similarity"))
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """The value at the half-even rounded index share * (n - 1) of the sorted group; an aggregate expression for groups of bounded size."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.bround((F.size(ordered) - 1) * F.lit(share), 0) + 1).cast("int"))
+def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column for each share): the value at the half-even rounded index share * (n - 1) of a group's sorted values.
+
+    Values are summed up to (group, value, count) first, so that a window holds a group's distinct values and no group's rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(value))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
+    at = lambda share: F.bround((F.col("_all") - 1) * F.lit(share), 0)
+    return placed.groupBy(group).agg(*[F.min(F.when(F.col("_upto") > at(share), F.col(value))).alias(name) for name, share in shares.items()])
 
 
 def engine_rollup(results: DataFrame) -> DataFrame:
     """(engine, documents, errors, chars, median_chars, p10, p95) of results (engine, status, chars)."""
-    found = results.groupBy("engine").agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") != "ok").alias("errors"), F.sum("chars").cast("long").alias("chars"), F.median("chars").alias("median_chars"),
-        nearest_rank("chars", 0.1).alias("p10"), nearest_rank("chars", 0.95).alias("p95"),
-    )
-    return found
+    found = results.groupBy("engine").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") != "ok").alias("errors"), F.sum("chars").cast("long").alias("chars"), F.median("chars").alias("median_chars"))
+    return found.join(nearest_ranks(results, "engine", "chars", {"p10": 0.1, "p95": 0.95}), "engine", "left")
 
 
 def outliers(results: DataFrame, group: str, rate: str, size: str, key: str, n: int = 100) -> DataFrame:

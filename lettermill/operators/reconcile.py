@@ -79,3 +79,65 @@ def by_ordinal(expected: DataFrame, found: DataFrame, file: str, ordinal: str, d
     both = e.join(f, [file, ordinal], "full_outer")
     fault = F.when(F.col("f").isNull(), "missing").when(F.col("e").isNull(), "unexpected").when(F.col("e") != F.col("f"), "different")
     return both.select(file, ordinal, fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def semantic_pairs(cache: DataFrame, archive: DataFrame) -> DataFrame:
+    """(cache_pk, pk, semantic): cache rows that no raw hash matches, each with the archive messages of its semantic hash, once."""
+    known = archive.filter("pk IS NOT NULL")
+    open_ = cache.join(known.select("raw"), "raw", "left_anti")
+    return open_.select("cache_pk", "semantic").join(known.select("pk", "semantic").distinct(), "semantic").select("cache_pk", "pk", "semantic").distinct()
+
+
+def service_report(cache: DataFrame, archive: DataFrame, inventory: DataFrame, formatting: DataFrame) -> DataFrame:
+    """Per service the counts of inventory (service, state: complete, partial or unreadable), of outcomes, of archive messages met, of ambiguous rows, and of pairs whose headers were compared (formatting: cache_pk, only_formatting)."""
+    state = lambda s: F.count_if(F.col("state") == s).alias(f"{s}_emlx")
+    files = inventory.groupBy("service").agg(state("complete"), state("partial"), state("unreadable"))
+    known = archive.filter("pk IS NOT NULL").select("pk", "semantic").distinct()
+    met = cache.select("cache_pk", "service", "semantic").join(known, "semantic")
+    one = met.groupBy("cache_pk", "service").agg(F.count_distinct("pk").alias("n"))
+    counts = [
+        match(cache, archive).groupBy("service").agg(F.count(F.lit(1)).alias("compared"), *[F.count_if(F.col("outcome") == o).alias(o.replace("-", "_")) for o in ("exact", "semantic", "cache-only")]),
+        met.groupBy("service").agg(F.count_distinct("pk").alias("archive_matches")),
+        one.groupBy("service").agg(F.count_if(F.col("n") > 1).alias("ambiguous")),
+        formatting.join(cache.select("cache_pk", "service"), "cache_pk").groupBy("service").agg(F.count(F.lit(1)).alias("header_pairs"), F.count_if("only_formatting").alias("formatting_only")),
+    ]
+    found = files
+    for c in counts:
+        found = found.join(c, "service", "left")
+    return found.fillna(0)
+
+
+def relaxed_headers(rows: DataFrame, text: str) -> DataFrame:
+    """rows with `headers`, an array of (name, value): the header block's fields with lower-case names, unfolded, blanks run together; lines that are no field are left out."""
+    lines = F.regexp_replace(F.col(text), r"\r\n|\r|\n", "\n")
+    block = F.regexp_replace(F.substring_index(lines, "\n\n", 1), r"\n[ \t]+", " ")
+    fields = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[!-9;-~]+:"))
+    relaxed = lambda v: F.regexp_replace(F.regexp_replace(v, r"[ \t]+", " "), r"^ | $", "")
+    parts = F.transform(fields, lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("name"), relaxed(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    return rows.withColumn("headers", parts)
+
+
+def review_cases(variants: DataFrame) -> DataFrame:
+    """One row for each semantic class of variants (semantic, role, raw, date, subject, autosave) with more than one raw hash: how many, whether stores share one, and whether date and subject agree.
+
+    A class is summed up by counts of distinct values; no class has to fit into one list.
+    """
+    by_raw = variants.groupBy("semantic", "raw").agg(F.count_distinct("role").alias("roles"), F.count(F.lit(1)).alias("n"), F.count_if("autosave").alias("autosaves"))
+    raws = by_raw.groupBy("semantic").agg(F.count(F.lit(1)).alias("distinct_raw"), F.count_if(F.col("roles") > 1).alias("shared_raw"), F.sum("n").alias("variants"), F.sum("autosaves").alias("autosaves"))
+    texts = variants.groupBy("semantic").agg(
+        (F.count_distinct(F.coalesce("date", F.lit(""))) == 1).alias("date_agrees"), (F.count_distinct(F.coalesce("subject", F.lit(""))) == 1).alias("subject_agrees"),
+        (F.count_if(F.coalesce("date", F.lit("")) == "") == 0).alias("date_on_all"), (F.count_if(F.coalesce("subject", F.lit("")) == "") == 0).alias("subject_on_all"),
+    )
+    return raws.filter("distinct_raw > 1").join(texts, "semantic").withColumn("shared_across_stores", F.col("shared_raw") > 0).drop("shared_raw")
+
+
+def review_totals(cases: DataFrame) -> DataFrame:
+    """(cases, variants, distinct_raw, shared, date_differs, subject_differs) of review cases."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return cases.agg(F.count(F.lit(1)).alias("cases"), n("variants").alias("variants"), n("distinct_raw").alias("distinct_raw"), F.count_if("shared_across_stores").alias("shared"), F.count_if(~F.col("date_agrees")).alias("date_differs"), F.count_if(~F.col("subject_agrees")).alias("subject_differs"))
+
+
+def export_review(cases: DataFrame, variants: DataFrame, path: str) -> None:
+    """The review set under a new folder: cases, and their variants by class. An existing folder is not overwritten."""
+    cases.write.mode("errorifexists").json(f"{path}/cases")
+    variants.join(cases.select("semantic"), "semantic", "left_semi").write.mode("errorifexists").parquet(f"{path}/variants")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,20 +112,46 @@ BOGUS_LOCALS = [r'(^$|^\*$|^-$|^=$|[\x00-\x1f\x7f "/])']
 BOGUS_DOMAINS = [r'(^[.-]|[.-]$|\.\.|[\x00-\x1f\x7f "/])']
 
 
-def classify(address: Column) -> Column:
+@dataclass(frozen=True)
+class Policy:
+    """The patterns by which addresses are told apart; the defaults are one archive's."""
+
+    longest_local: int = LONGEST_LOCAL
+    allowed: tuple[str, ...] = tuple(ALLOWED)
+    list_domains: tuple[str, ...] = tuple(LIST_DOMAINS)
+    list_locals: tuple[str, ...] = tuple(LIST_LOCALS)
+    service_domains: tuple[str, ...] = tuple(SERVICE_DOMAINS)
+    service_locals: tuple[str, ...] = tuple(SERVICE_LOCALS)
+    bogus_locals: tuple[str, ...] = tuple(BOGUS_LOCALS)
+    bogus_domains: tuple[str, ...] = tuple(BOGUS_DOMAINS)
+
+    def changed(self, mode: str, **patterns) -> Policy:
+        """With other values: mode replace puts them in place, extend adds patterns to those there are. Unknown names and modes, and patterns that don't compile, are errors."""
+        if mode not in ("replace", "extend"):
+            raise ValueError(f"unknown mode {mode}")
+        for name, value in patterns.items():
+            if name != "longest_local":
+                for p in value:
+                    re.compile(p)
+                patterns[name] = (*getattr(self, name), *value) if mode == "extend" else tuple(value)
+        return replace(self, **patterns)
+
+
+def classify(address: Column, policy: Policy | None = None) -> Column:
     """struct(kind, reason) of an address, by the first rule that applies."""
-    any_of = lambda x, patterns: x.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    policy = policy or Policy()
+    any_of = lambda x, patterns: x.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
     local, domain = F.substring_index(address, "@", 1), F.when(F.instr(address, "@") > 0, F.substring(address, F.instr(address, "@") + 1, F.length(address))).otherwise(F.lit(""))
     as_ = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
     return (
-        F.when(any_of(address, ALLOWED), as_("human", "allow-pattern"))
+        F.when(any_of(address, policy.allowed), as_("human", "allow-pattern"))
         .when((F.instr(address, "@") == 0) | domain.contains("@"), as_("bogus", "malformed-at-sign"))
         .when(address.rlike("[\\p{Cc}\\p{Cs}�]"), as_("bogus", "invalid-unicode"))
-        .when(any_of(local, BOGUS_LOCALS), as_("bogus", "invalid-local-part"))
-        .when((domain == "") | any_of(domain, BOGUS_DOMAINS), as_("bogus", "invalid-domain"))
-        .when(any_of(domain, LIST_DOMAINS) | any_of(local, LIST_LOCALS), as_("mailing-list", "mailing-list-pattern"))
-        .when(any_of(domain, SERVICE_DOMAINS) | any_of(local, SERVICE_LOCALS), as_("service", "service-pattern"))
-        .when(F.length(local) > LONGEST_LOCAL, as_("bogus", "long-local-part"))
+        .when(any_of(local, policy.bogus_locals), as_("bogus", "invalid-local-part"))
+        .when((domain == "") | any_of(domain, policy.bogus_domains), as_("bogus", "invalid-domain"))
+        .when(any_of(domain, policy.list_domains) | any_of(local, policy.list_locals), as_("mailing-list", "mailing-list-pattern"))
+        .when(any_of(domain, policy.service_domains) | any_of(local, policy.service_locals), as_("service", "service-pattern"))
+        .when(F.length(local) > policy.longest_local, as_("bogus", "long-local-part"))
         .otherwise(as_("human", "no-exclusion-rule"))
     )
 

@@ -70,10 +70,18 @@ def locations(records: DataFrame) -> DataFrame:
     """(mailbox, position, ordinal, byte_offset, byte_length): where each record stands when a mailbox's records follow one another, a blank line between."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("mailbox").orderBy("position")
-    n = F.length("record").cast("long")
-    before = F.coalesce(F.sum(n + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return records.select("mailbox", "position", F.row_number().over(w).alias("ordinal"), before.alias("byte_offset"), n.alias("byte_length"))
+    from lettermill.tables import cut
+
+    lengths = records.select("mailbox", "position", F.length("record").cast("long").alias("byte_length"))
+    placed = cut(lengths.repartitionByRange(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mailbox", "position").withColumn("_part", F.spark_partition_id()))
+    # a mailbox may fill many ranges: each is summed on its own, then come the sums of those before it
+    before = Window.partitionBy("mailbox").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("mailbox", "_part").agg(F.sum(F.col("byte_length") + 1).alias("b"), F.count(F.lit(1)).alias("n"))
+    sums = sums.select("mailbox", "_part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("_bytes"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_rows"))
+    own = Window.partitionBy("mailbox", "_part").orderBy("position")
+    offset = F.coalesce(F.sum(F.col("byte_length") + 1).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_bytes")
+    rows = placed.join(sums, ["mailbox", "_part"])
+    return rows.select("mailbox", "position", (F.row_number().over(own) + F.col("_rows")).cast("int").alias("ordinal"), offset.alias("byte_offset"), "byte_length")
 
 
 def write_mailboxes(records: DataFrame, path: str) -> None:

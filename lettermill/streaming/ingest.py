@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.mail import parsed, with_date
 from lettermill.functions.text import path_year
-from lettermill.operators.ingest import decide, inherit_dates
+from lettermill.operators.ingest import decide, inherit_dates, resume_after
 from lettermill.sources.containers import discover, records
 
 MESSAGE = "container string, position long, message_id string, sha256 string, semantic_sha256 string, sender string, subject string, date timestamp_ntz, date_source string, autosave boolean, exclusion string, disposition string, batch long"
@@ -21,12 +21,16 @@ def empty(spark: SparkSession, path: str, schema: str) -> None:
 def observe(containers: DataFrame, archive: DataFrame, batch: int, permissive: bool = False) -> DataFrame:
     """Observations (MESSAGE) of the containers' records, in the order container, position.
 
-    Excluded, then autosaved, then messages that the archive or an earlier record has by id and raw hash (duplicate); the rest is archived.
+    Mailboxes with a start are read from there on, and their first undated messages inherit from the archive. Excluded, then autosaved, then messages that the archive or an earlier record has by id and raw hash (duplicate); the rest is archived.
     """
     read = with_date(parsed(records(containers, permissive).filter("raw IS NOT NULL"), permissive=permissive).filter("m IS NOT NULL"))
     year = F.coalesce(path_year(F.col("container")), F.lit(1970))
     kept = read.filter("exclusion IS NULL").select("container", "position", "own_date", year.alias("path_year"))
-    dates = inherit_dates(kept).withColumnRenamed("date_source", "how")
+    history = None
+    if "start" in containers.columns:  # a resumed mailbox goes on from the last date that is catalogued before it
+        dated = archive.filter("date IS NOT NULL AND exclusion IS NULL").select("container", "position", F.col("date").alias("own_date"))
+        history = resume_after(dated, containers.filter("start > 0").select(F.col("path").alias("container"), F.col("start").alias("cursor")))
+    dates = inherit_dates(kept, history).withColumnRenamed("date_source", "how")
     rows = read.select("container", "position", "m.message_id", "m.sha256", "m.semantic_sha256", "m.sender", "m.subject", "m.autosave", "exclusion", "date_source").join(dates, ["container", "position"], "left")
     rows = rows.withColumn("date_source", F.coalesce("date_source", "how")).drop("how")
     fresh = F.col("exclusion").isNull() & ~F.col("autosave")
