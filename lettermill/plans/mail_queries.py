@@ -11,6 +11,7 @@ from lettermill.operators import identity, quality, verify
 from lettermill.plans.queries import query
 from lettermill.plans.views import table
 from lettermill.sources import containers, sinks
+from lettermill.tables import spread
 
 #: A message of each order, in SQL that both engines read alike but for the date's format.
 _RAW = """concat('From: Ann <C', o_custkey, '@Example.org>', chr(10), 'To: s1@example.net, S1@example.net', chr(10), 'Subject:  order', chr(10), ' ', o_orderpriority, chr(10),
@@ -22,7 +23,8 @@ _ENVELOPE = "concat('From c', o_custkey, '@example.org ', strftime(o_orderdate -
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr(_RAW.format(date="date_format(o_orderdate, 'EEE, dd MMM yyyy HH:mm:ss')"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", raw.cast("binary").alias("raw"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))
+    return orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", raw.cast("binary").alias("raw"))
 
 
 @query(f"""SELECT o_orderkey, 'm' || o_orderkey || '@example.org' AS message_id, sha256(raw) AS sha256, 'c' || o_custkey || '@example.org' AS sender, 's1@example.net/to' AS recipients,
@@ -74,7 +76,7 @@ _SIGNED = "'Hello' || chr(10) || chr(10) || '-- ' || chr(10) || 'Ann Bee' || chr
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.evidence(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pk"), F.expr(_SIGNED).alias("body")))
+    return identity.evidence(spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("pk"), F.expr(_SIGNED).alias("body")))
 
 
 @query("""SELECT c_custkey AS pk, unnest(['name', 'email', 'phone']) AS kind, unnest(['Ann Bee', c_custkey || '@example.org', '+1 555 ' || (1000000 + c_custkey)]) AS value, unnest(['ann bee', c_custkey || '@example.org', '+1555' || (1000000 + c_custkey)]) AS normalized, 0.98::DOUBLE AS confidence FROM customer""")
@@ -124,7 +126,7 @@ def i19_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.map(lambda x: mail.html_text(x or ""))
 
     text = F.pandas_udf(run, "string")
-    return table(spark, sf_dir, "pages").select("page_id", text("html").alias("text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text("html").alias("text"))
 
 
 @query()
@@ -133,4 +135,4 @@ def i20_safe_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([html.sanitized(x or "") for x in s], columns=["html", "blocked"])
 
     safe = F.pandas_udf(run, "html string, blocked boolean")
-    return table(spark, sf_dir, "pages").select("page_id", safe("html").alias("s")).select("page_id", "s.html", "s.blocked")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", safe("html").alias("s")).select("page_id", "s.html", "s.blocked")
