@@ -22,10 +22,12 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return known, places, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("generation"), F.col("n_name").alias("filename"))
 
 
-@query(f"""WITH {_PLACES} SELECT a.pk, CASE WHEN k.pk IS NULL THEN 'no-message' WHEN g.filename IS NULL THEN 'no-location' ELSE 'ok' END AS status, g.filename, CASE WHEN g.filename IS NOT NULL THEN p."offset" END AS "offset",
-CASE WHEN g.filename IS NOT NULL THEN p.length END AS length, k.sha256 FROM (SELECT DISTINCT l_partkey AS pk FROM lineitem) a LEFT JOIN known k USING (pk) LEFT JOIN (places p JOIN generations g USING (generation)) USING (pk)""")
+@query(f"""WITH {_PLACES} SELECT a.pk, CASE WHEN k.pk IS NULL THEN 'no-message' WHEN g.filename IS NULL THEN 'no-location' ELSE 'ok' END AS status, coalesce(g.filename, '') AS filename,
+CASE WHEN g.filename IS NOT NULL THEN p."offset" ELSE -1 END AS "offset", CASE WHEN g.filename IS NOT NULL THEN p.length ELSE -1 END AS length, coalesce(k.sha256, '') AS sha256
+FROM (SELECT DISTINCT l_partkey AS pk FROM lineitem) a LEFT JOIN known k USING (pk) LEFT JOIN (places p JOIN generations g USING (generation)) USING (pk)""")
 def j12_message_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.lookup(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pk")), *_places(spark, sf_dir))
+    found = archive.lookup(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pk")), *_places(spark, sf_dir))
+    return found.fillna(-1, ["offset", "length"]).fillna("", ["filename", "sha256"])
 
 
 @query("""WITH d AS (SELECT doc_id AS pk, unhex(substr(hex(encode(text)), 9, 80)) AS raw FROM documents)
@@ -142,14 +144,14 @@ def p15_volume_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", archive.volume_label(json).alias("label"))
 
 
-@query("""SELECT pk, CASE WHEN pk % 2 = 0 OR pk % 3 = 0 THEN [sender] ELSE [] END AS candidates, CASE WHEN pk % 2 = 0 THEN 'sender' WHEN pk % 3 = 0 THEN 'return_path' ELSE '' END AS candidate_field,
+@query("""SELECT pk, CASE WHEN pk % 2 = 0 OR pk % 3 = 0 THEN sender ELSE '' END AS candidates, CASE WHEN pk % 2 = 0 THEN 'sender' WHEN pk % 3 = 0 THEN 'return_path' ELSE '' END AS candidate_field,
 CASE WHEN pk % 7 = 0 THEN 'recoverable-from' WHEN pk % 2 = 0 OR pk % 3 = 0 THEN 'recoverable-fallback-header' WHEN pk % 5 = 0 THEN 'recoverable-source-envelope' WHEN pk % 11 = 0 THEN 'gmail-chat-or-export' WHEN pk % 13 = 0 THEN 'invalid-from' ELSE 'no-from-or-fallback' END AS kind FROM messages""")
 def p20_missing_sender_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = V.messages(spark, sf_dir)
     when = lambda k, c: F.when(F.col("pk") % k == 0, c)
     one = F.array("sender")
     rows = m.select("pk", when(7, one).alias("from_addresses"), when(13, F.lit("?")).alias("from_value"), when(2, F.array(F.upper("sender"), F.lit(""))).alias("sender"), F.array().cast("array<string>").alias("reply_to"), when(3, one).alias("return_path"), when(5, F.lit("From x")).alias("envelope"), when(11, F.lit("1")).alias("thread"))
-    return archive.missing_kind(rows).select("pk", "candidates", "candidate_field", "kind")
+    return archive.missing_kind(rows).select("pk", F.array_join("candidates", ",").alias("candidates"), "candidate_field", "kind")
 
 
 @query(f"WITH {_CACHE} SELECT DISTINCT c.cache_pk, a.pk, semantic FROM cache c JOIN archive a USING (semantic) WHERE a.pk IS NOT NULL AND c.raw NOT IN (SELECT raw FROM archive WHERE pk IS NOT NULL)")
