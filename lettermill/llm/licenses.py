@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.llm.common import cut
+
 # The wording of public licences and of the notices that name them.
 _BSD_HEAD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
@@ -112,13 +114,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     license: of the entire text, else null. n_license_lines: lines that are a licence or a notice as a whole;
     line_licenses: theirs, distinct, sorted, joined by commas, else ''. Null text: as empty. Repeated rows give repeated
-    results, a null doc_id stays null, other columns are not looked at, an empty table gives no rows. known: a table
-    (license, text) of the texts to look for in place of `known_texts`.
+    results, a null doc_id stays null, other columns are not looked at. known: a table
+    (license, text) of the texts to look for in place of `known_texts`; it may be of any size, as only the fixed table is
+    broadcast. Texts and lines of any length are read whole, an empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     units = rows.select("row", "doc_id", F.expr("posexplode(concat(array(text), split(text, chr(10))))").alias("unit", "text"))
     units = units.select("row", "doc_id", "unit", F.sha2(F.expr(canonical_sql("text")), 256).alias("digest"))
-    hit = units.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left")
+    digests = known_digests(docs.sparkSession, known)
+    # a caller's table is written, so that both sides of the join are plain exchanges and the digest of a very frequent line can be split
+    hit = units.join(F.broadcast(digests) if known is None else cut(digests), "digest", "left")
     whole = F.col("unit") == 0
     line = ~whole & F.col("license").isNotNull()
     return (
