@@ -428,7 +428,10 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROU
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """docs without the rows that have a near copy with a smaller id (`near_groups`)."""
+    """docs without the rows that have a near copy with a smaller id (`near_groups`).
+
+    Columns are kept as they are. Rows of one doc_id stay or go together, texts of any length are read whole, an empty table gives no rows.
+    """
     more = near_groups(docs, similarity, group_rows).select(F.col("id").alias("_near_copy"))
     return docs.join(more, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == more["_near_copy"], "left_anti")
 
@@ -439,7 +442,7 @@ def near_dedup(docs: DataFrame, width: int = 3, radius: int = 3, shard_rows: int
     Texts of one fingerprint are one class, standing as its smallest id; classes at `radius` or fewer differing bits are
     linked, and component_id is the smallest doc_id reachable. Null text: as empty. No words: fingerprint zero, linked
     like any other. Repeated rows give repeated results. Null doc_id: kept; it sorts first, so its component_id is null.
-    Columns other than doc_id and text are not looked at. An empty table gives no rows.
+    Texts of any length are read whole. Columns other than doc_id and text are not looked at. An empty table gives no rows.
     """
     found = cut(fingerprints(docs, width))
     classes = cut(found.groupBy("fp").agg(F.min("id").alias("id")))

@@ -279,7 +279,7 @@ def pack_rows(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece of every row of docs in its sequence.
 
-    tokenizer: path of a tokenizers file that drops white space. Null text: as empty, one piece that is end_id. Repeated
+    tokenizer: path of a tokenizers file that drops white space. Null text: as empty, one piece that is end_id. Texts of any length are read whole. Repeated
     rows are packed each for itself, a null doc_id stays null, other columns are not looked at, an empty table gives no
     rows. sequence_id: any distinct numbers.
     """

@@ -471,7 +471,8 @@ def dedup(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFra
     A byte goes if it is covered by a `span`-byte string of the UTF-8 text that also starts earlier: in a smaller doc_id, or in
     the same doc_id at a smaller offset, judged on the input. Matches never cross documents. Null text: as empty. Null
     doc_id: smaller than any other. Rows of one doc_id count as one document: equal strings at equal offsets of them don't
-    remove one another. Shorter texts lose nothing. Columns other than doc_id and text are not looked at. An empty table gives no rows.
+    remove one another. Shorter texts lose nothing. Texts of any length are
+    read whole, in pieces that overlap. Columns other than doc_id and text are not looked at. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +487,10 @@ def dedup(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFra
 
 
 def without_repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """docs with each text cut as by `dedup` and n_chars, if there, counted anew; a character that was cut apart goes whole."""
+    """docs with each text cut as by `dedup` and n_chars, if there, counted anew; a character that was cut apart goes whole.
+
+    Other columns are kept as they are, whatever their names. Null text comes back as empty, a null doc_id stays null, an empty table gives no rows.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -369,7 +369,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    Null text: as empty, which scores as any text without a term. Repeated rows
+    Null text: as empty, which scores as any text without a term. Texts of any length are read whole. Repeated rows
     give repeated results, a null doc_id stays null (and is not held out), other columns are not looked at, an empty table gives no rows.
     """
     tune(docs.sparkSession)
@@ -386,7 +386,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model predicts toxic; columns as they are."""
+    """docs without the rows that the model predicts toxic; columns as they are.
+
+    Null text: as empty. Repeated rows stay or go alike, texts of any length are read whole, an empty table gives no rows.
+    """
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
