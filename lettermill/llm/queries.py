@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lettermill.llm import bktree, licenses, maxscore, packing, pieces, simhash, suffix, token_counts, toxicity, url_filter
+from lettermill.llm import bktree, centroids, licenses, maxscore, packing, periodic, pieces, sharding, simhash, suffix, token_counts, toxicity, url_filter
 from lettermill.llm.common import table
 
 
@@ -60,11 +60,24 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.near_dedup(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.collapse(table(spark, sf_dir, "documents"), edit=periodic.repeat_tail))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), shards=40)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_fingerprints, op2_suffix_dedup, op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_simhash_fingerprints, op2_suffix_dedup, op3_maxscore_top_k, op4_license_scan, op5_best_fit_packing, op6_toxicity, op7_url_filter, op8_sentencepiece, op9_token_counts, op10_simhash_near_dedup, op11_periodic_runs, op12_centroid_clustering, op13_sharding)
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_maxscore_top_k": maxscore.oracle_sql(),
     "op4_license_scan": licenses.oracle_sql(),
     "op7_url_filter": url_filter.oracle_sql(),
+    "op12_centroid_clustering": centroids.oracle_sql(),
 }
