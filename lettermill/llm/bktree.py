@@ -290,6 +290,8 @@ def components(edges: DataFrame) -> DataFrame:
 SHINGLE, BANDS, BAND_HASHES = 5, 24, 5
 #: Texts, and shingles, of a candidate group that are compared in one list; larger groups are cut into cells.
 GROUP_ROWS, GROUP_SHINGLES = 2048, 1 << 20
+#: Digests of sets that a task remembers, so that repeated rows don't go on.
+SEEN_ROWS = 200_000
 
 _odd = np.random.default_rng(20240801).integers(0, 2**63, (2, BANDS * BAND_HASHES, 1), dtype=U64)
 _SCALE, _SHIFT = _odd[0] * U64(2) + U64(1), _odd[1]
@@ -341,28 +343,35 @@ def near_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
 
 
 def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity: float, group_rows: int) -> DataFrame:
-    """(a, b): links at the similarity within candidate groups (id, component), a spanning forest of each cell's. sizes: (id, size).
+    """(a, b): links at the similarity within candidate groups (id, component), a spanning forest of each cell's. sizes: (id, sets, size), of the different sets of an id.
 
-    A group too large for one list is cut into `t` parts by a hash of the id, every two of which meet in a cell.
+    A group too large for one list is cut into `t` parts by a hash of the id and the set, every two of which meet in a cell. Of repeated rows one counts and comes.
     """
     spark = docs.sparkSession
     grouped = cut(group.join(sizes, "id"))
-    some = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    some = grouped.groupBy("component").agg(F.sum("sets").alias("n"), F.sum("size").alias("size"))
     t = F.greatest(F.ceil(2 * F.col("n") / group_rows), F.ceil(2 * F.col("size") / GROUP_SHINGLES)).cast("int")
     t = F.when((F.col("n") <= group_rows) & (F.col("size") <= GROUP_SHINGLES), 1).otherwise(F.greatest(t, F.lit(2)))
     dealt = cut(grouped.select("id", "component").join(some.select("component", t.alias("t")), "component"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text")).join(dealt, "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             sets = [shingle_set(x).tobytes() for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("component"), b.column("t"), pa.array(sets, pa.binary())], names=["id", "component", "t", "set"])
-
-    rows = in_arrow(rows.select("id", "text", "component", "t"), "bktree", read, "id long, component long, t int, set binary")
-    part = F.pmod(F.xxhash64("id"), F.col("t")).cast("int")
+            digests = [xxhash.xxh3_128_digest(x + i.to_bytes(8, "little", signed=True)) for x, i in zip(sets, b.column("id").to_pylist(), strict=True)]
+            new = [k for k, d in enumerate(digests) if d not in seen and not seen.add(d)]  # an id's rows come to one task, or to few
+            if len(seen) > SEEN_ROWS:
+                seen.clear()
+            at = pa.array(new, pa.int64())
+            columns = [b.column("id").take(at), b.column("component").take(at), b.column("t").take(at), pa.array([int.from_bytes(digests[k][:8], "little", signed=True) for k in new], pa.int64()), pa.array([sets[k] for k in new], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "component", "t", "digest", "set"])
+
+    rows = in_arrow(rows.select("id", "text", "component", "t"), "bktree", read, "id long, component long, t int, digest long, set binary")
+    part = F.pmod("digest", F.col("t")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("t") - 1), lambda j: (F.col("t") == 1) | (j != part))
     cells = F.transform(others, lambda j: F.xxhash64("component", F.least(part, j), F.greatest(part, j)))
-    rows = rows.select("id", "set", F.explode(cells).alias("cell"))
+    rows = rows.select("id", "digest", "set", F.explode(cells).alias("cell"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -382,10 +391,12 @@ def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
         for b in batches:
-            for cell, i, s in zip(*(b.column(c).to_pylist() for c in ("cell", "id", "set")), strict=True):
-                if cell != last:
+            for cell, i, digest, s in zip(*(b.column(c).to_pylist() for c in ("cell", "id", "digest", "set")), strict=True):
+                if (cell, i, digest) == last:
+                    continue
+                if last is None or cell != last[0]:
                     close()
-                    last = cell
+                last = cell, i, digest
                 ids.append(i)
                 sets.append(np.frombuffer(s, U64))
             if out:
@@ -394,7 +405,7 @@ def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity
         if out:
             yield batch()
 
-    return in_arrow(rows.repartition(parts(spark), "cell").sortWithinPartitions("cell"), "bktree", search, "a long, b long")
+    return in_arrow(rows.repartition(parts(spark), "cell").sortWithinPartitions("cell", "id", "digest"), "bktree", search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -421,7 +432,8 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROU
     leaders = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first"))
     candidates = components(keyed.join(leaders, "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
     group = candidates.unionByName(candidates.select(F.col("component").alias("id"), "component").distinct())
-    joined = components(_exact_links(docs, group, classes.groupBy("id").agg(F.sum("size").alias("size")), similarity, group_rows))
+    sizes = found.select("id", "c1", "c2", "size").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("size"))
+    joined = components(_exact_links(docs, group, sizes, similarity, group_rows))
     copies = found.join(classes.select("c1", "c2", F.col("id").alias("first")), ["c1", "c2"]).select("id", "first")
     label = copies.join(joined.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     return label.filter("id <> component").distinct()

@@ -141,9 +141,13 @@ def _first(change: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
 
 
-def _repeats(m: np.ndarray, c: np.ndarray, i: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by anchor, digest, document, start; and which rows, in that order, repeat an earlier run."""
-    o = np.lexsort((s, i, c, m))
+def _repeats(m: np.ndarray, c: np.ndarray, i: np.ndarray, s: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by anchor, digest, document, start, without rows that are there already; and which rows, in that order, repeat an earlier run."""
+    o = np.lexsort((h, s, i, c, m))
+    rows = np.stack([x[o].astype(np.int64, copy=False) if x.dtype != U64 else x[o].view(np.int64) for x in (m, c, i, s, h)])
+    other = np.ones(len(o), bool)
+    other[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+    o = o[other]
     m, c, i, s = m[o], c[o], i[o], s[o]
     new = np.ones(len(o), bool)
     new[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
@@ -179,17 +183,21 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
     """Steps 1: runs that repeat, and runs whose bytes the index needs."""
     spark = docs.sparkSession
     n_parts = 2 * parts(spark)
-    most_runs = min(hot_runs, BLOCK // (RUN_WINDOWS + span - 1))  # an anchor's open runs fit into a block
+    most_runs = min(hot_runs, BLOCK // (RUN_WINDOWS + span - 1))  # an anchor's open runs fit into a block, as each row of (id, h, start) counts and comes once
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, s, n, m, c, periodic = runs(b.column("text").to_pylist(), span)
+            # repeated rows have the same runs: one of them is read
+            ids, hashes = b.column("id").to_numpy(), b.column("h").to_numpy()
+            which = np.sort(np.unique(np.stack([ids, hashes.astype(np.int64)]), axis=1, return_index=True)[1])
+            ids, hashes = ids[which], hashes[which]
+            d, s, n, m, c, periodic = runs(b.column("text").take(pa.array(which)).to_pylist(), span)
             if not len(d):
                 continue
-            i, h = b.column("id").to_numpy()[d], b.column("h").to_numpy()[d]
-            o, again = _repeats(m, c, i, s)
-            n = np.where(again[np.argsort(o)], n, n + PERIODIC * periodic)
-            cols = {"m": m[o].view(np.int64), "c": c[o].view(np.int64), "i": i[o], "s": s[o], "n": n[o], "h": h[o]}
+            i, h = ids[d], hashes[d]
+            o, again = _repeats(m, c, i, s, h)
+            n = np.where(again, n[o], n[o] + PERIODIC * periodic[o])
+            cols = {"m": m[o].view(np.int64), "c": c[o].view(np.int64), "i": i[o], "s": s[o], "n": n, "h": h[o]}
             part = (mix64(m[o]) % U64(n_parts)).astype(np.int64)  # anchors are minima: mixed, lest they crowd at zero
             first = {k: v[~again] for k, v in cols.items()}
             yield _list_batch(part[~again], first)
@@ -198,7 +206,7 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
                 o = np.lexsort((s, h, i))
                 i, s, n, h = i[o], s[o], n[o], h[o]
                 new = np.ones(len(o), bool)
-                new[1:] = (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (s[1:] != (s + n)[:-1]) | (np.arange(1, len(o)) % 300 == 0)
+                new[1:] = (i[1:] != i[:-1]) | (h[1:] != h[:-1]) | (s[1:] != (s + n)[:-1]) | (s[1:] >> 13 != s[:-1] >> 13)
                 at = np.flatnonzero(new)
                 n = np.add.reduceat(n, at)
                 none = np.zeros(len(at), np.int64)
@@ -220,7 +228,7 @@ def _marks(docs: DataFrame, span: int, hot_runs: int) -> DataFrame:
             keep = ~known & (twice[at] == m)
             m, c, i, s, n, h = (x[keep] for x in (m, c, i, s, n, h))
             n, periodic = n % PERIODIC, n >= PERIODIC
-            o, again = _repeats(m, c, i, s)
+            o, again = _repeats(m, c, i, s, h)
             m, c, i, s, n, h, periodic = (x[o] for x in (m, c, i, s, n, h, periodic))
             new = np.ones(len(m), bool)
             new[1:] = m[1:] != m[:-1]
@@ -364,13 +372,18 @@ def repeated_windows(contexts: list[bytes], key: np.ndarray, ids: np.ndarray, st
 
 def _fetched(docs: DataFrame, asked: DataFrame, span: int) -> DataFrame:
     """(key, more, id, h, s, bytes): the runs that are asked for with their bytes, by anchor; of crowded anchors each window's 128-bit digest (key, more), no bytes."""
-    wanted = asked.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n", "anchor", "state")).alias("asked"))  # runs of one document
+    # runs of one document; written, so that both sides of the join are plain exchanges and the rows of one id can be split
+    wanted = cut(asked.groupBy("id", "h").agg(F.collect_list(F.struct("s", "n", "anchor", "state")).alias("asked")))
     texts = docs.select(*_identified(docs), text_bytes().alias("text")).join(wanted, ["id", "h"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
             rows: list[tuple] = []
             for i, h, text, asks in zip(*(b.column(c).to_pylist() for c in ("id", "h", "text", "asked")), strict=True):
+                if (i, h) == last:  # repeated rows arrive together
+                    continue
+                last = i, h
                 for a in asks:
                     s, n = a["s"], a["n"]
                     if a["state"] == ASKED:
@@ -415,6 +428,8 @@ def _indexed(runs_: DataFrame, span: int) -> DataFrame:
         size = group_size = 0
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "h", "s", "bytes")), strict=True):
+                if group and group[-1][:4] == row[:4]:  # of repeated rows that a split join has parted
+                    continue
                 if group and group[0][0] != row[0]:
                     if held and size + group_size >= BLOCK:
                         yield block(held)
@@ -425,6 +440,7 @@ def _indexed(runs_: DataFrame, span: int) -> DataFrame:
                     group, group_size = [], 0
                 group.append(row)
                 group_size += len(row[4])
+                assert group_size <= BLOCK, "more open runs of one anchor than were counted"
         if held and size + group_size >= BLOCK:
             yield block(held)
             held = []
@@ -433,7 +449,7 @@ def _indexed(runs_: DataFrame, span: int) -> DataFrame:
         if held:
             yield block(held)
 
-    return in_arrow(runs_.repartition(parts(spark), "key").sortWithinPartitions("key", "id", "s"), "suffix", index, "id long, h int, s int, n int")
+    return in_arrow(runs_.repartition(parts(spark), "key").sortWithinPartitions("key", "id", "s", "h"), "suffix", index, "id long, h int, s int, n int")
 
 
 def repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -443,7 +459,8 @@ def repeats(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataF
     known = marks.filter(F.col("state") == REPEAT).select("id", "h", "s", "n")
     fetched = _fetched(docs, marks.filter(F.col("state") != REPEAT), span)
     more = _indexed(fetched.filter("bytes IS NOT NULL").drop("more"), span).unionByName(_hot(fetched.filter("bytes IS NULL").drop("bytes")))
-    return known.unionByName(more).groupBy("id", "h").agg(F.collect_list(F.struct("s", "n")).alias("marks"))  # runs of one document
+    # runs of one document, each once, whatever the number of its rows; written, as in `_fetched`
+    return cut(known.unionByName(more).groupBy("id", "h").agg(F.collect_set(F.struct("s", "n")).alias("marks")))
 
 
 def kept_bytes(text: bytes, marks: list[dict] | None, span: int) -> tuple[bytes, int, int]:
@@ -470,7 +487,7 @@ def dedup(docs: DataFrame, span: int = 100, hot_runs: int = HOT_RUNS) -> DataFra
 
     A byte goes if it is covered by a `span`-byte string of the UTF-8 text that also starts earlier: in a smaller doc_id, or in
     the same doc_id at a smaller offset, judged on the input. Matches never cross documents. Null text: as empty. Null
-    doc_id: smaller than any other. Rows of one doc_id count as one document: equal strings at equal offsets of them don't
+    doc_id: smaller than any other. Rows of one doc_id count as one document, repeated rows are read once: equal strings at equal offsets of them don't
     remove one another. Shorter texts lose nothing. Texts of any length are
     read whole, in pieces that overlap. Columns other than doc_id and text are not looked at. An empty table gives no rows.
     """
