@@ -42,7 +42,9 @@ def _swept(keys: DataFrame, rules: DataFrame, ranges: int) -> DataFrame:
     events = event(keys, key, 1, 0, none).unionByName(event(rules, key, 0, 1, F.col("rule"))).unionByName(event(rules, F.concat("key", F.lit(END)), 2, -1, none))
     dealt = cut(events.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id()))
     firsts = dealt.groupBy("range").agg(F.min("key").alias("first"))  # a row for each range
-    begins = firsts.select("range", F.explode(F.sequence(F.lit(1), F.octet_length("first") - 1)).alias("n"), "first").filter("n >= 1 AND n < octet_length(first)")
+    # only the beginnings that are as long as some rule: their bytes grow with the rules, not with the square of a url's length
+    lengths = sorted(r[0] for r in rules.select(F.octet_length("key")).distinct().collect())
+    begins = firsts.select("range", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n"), "first").filter("n < octet_length(first)")
     begins = begins.select("range", F.expr("substring(first, 1, n)").alias("key"))
     open_ = begins.join(rules, "key").select("key", F.lit(0).alias("turn"), F.lit(1).alias("step"), "rule", "range")
     past = lambda *by: Window.partitionBy(*by).orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, 0)
