@@ -4,7 +4,7 @@ Documents become token pieces of at most the capacity. Shards of pieces are pack
 search moves documents between underfull bins (one for none, one for one, two for one, one for two), only ever raising
 the sum of squared fills, so that the emptiest bins drain; it ends when the bins are as few as the total needs or no bin
 admits a step. What shards leave clearly underfull is dealt anew into groups of the same size and packed again, for as
-long as that makes fewer bins.
+long as a round makes fewer bins than it was given.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from lettermill.llm.common import cut, in_arrow, release, tune, worker_state
 
 #: Pieces that one group packs, and the share of the capacity up to which a bin is open.
 SHARD_ROWS, OPEN_FILL = 4096, 0.98
-#: Share of the open bins that packing them again must save for another round.
-LEAST_SAVED = 0.01
 #: Entries of a worker's table of parts.
 PART_ROWS = 500_000
 
@@ -306,7 +304,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
         dealt = waiting.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(level)), F.lit(groups)))
         now = cut(dealt.groupBy("shard").applyInPandas(packed(level), kinds))
         n, left, made = now.agg(F.count_if("open"), F.count_if(F.col("open") & (F.col("offset") == 0)), F.count_if(F.col("offset") == 0)).first()
-        if groups == 1 or (bins is not None and made > (1 - LEAST_SAVED) * bins):
+        if groups == 1 or (bins is not None and made >= bins):  # one group's search is at its end, or a round has saved nothing
             done.append(now)
             break
         # every step among one group's bins has been tried: only other groups' bins can help
