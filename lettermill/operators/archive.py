@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettermill.functions.storage import recovered
 from lettermill.operators.search import page
+from lettermill.sources import stores
 from lettermill.tables import cut
 
 
@@ -20,12 +27,78 @@ def lookup(asked: DataFrame, messages: DataFrame, locations: DataFrame, generati
     return found.select("pk", status.alias("status"), "filename", "offset", "length", "sha256")
 
 
+#: Bytes between two records of a file that are read rather than skipped; of a file that one task reads in a go; of one read.
+GAP, WINDOW, MOST_READ = 64 << 10, 256 << 20, 16 << 20
+
+
+def _reading(stored: bytes, sha256: str) -> bytes | None:
+    """The message with that digest in a record's stored bytes: as they stand, or in one of the forms in which mailboxes store it."""
+    if not re.fullmatch("[0-9a-f]{64}", sha256 or ""):
+        return None
+    return stored if hashlib.sha256(stored).hexdigest() == sha256 else recovered(stored, sha256)
+
+
 def read_records(found: DataFrame, containers: DataFrame) -> DataFrame:
-    """(pk, status, raw): the located bytes of each message, checked against its digest: damaged if they differ. containers: (filename, content)."""
+    """(pk, status, raw): the located message of each row, read as `storage.recovered` does and checked against its digest: damaged if no reading has it. containers: (filename, content), small ones."""
     rows = found.join(containers, "filename", "left")
-    raw = F.substring("content", F.col("offset") + 1, F.col("length"))
-    status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("content").isNull(), "no-container").when(F.sha2(raw, 256) != F.col("sha256"), "damaged").otherwise("ok")
-    return rows.select("pk", status.alias("status"), raw.alias("raw")).withColumn("raw", F.when(F.col("status") == "ok", F.col("raw")))
+    stored = F.substring("content", F.col("offset") + 1, F.col("length"))
+    status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("content").isNull(), "no-container").otherwise("ok")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(pk, status, _reading(x, sha) if status == "ok" else None) for pk, status, x, sha in zip(*(b.column(c).to_pylist() for c in ("pk", "status", "stored", "sha256")), strict=True)]
+            yield _read_batch(b.column("pk"), out)
+
+    return rows.select("pk", status.alias("status"), F.when(status == "ok", stored).alias("stored"), "sha256").mapInArrow(run, _read_schema(found))
+
+
+def _read_schema(found: DataFrame, more: str = "") -> str:
+    return f"pk {found.schema['pk'].dataType.simpleString()}, status string, raw binary{more}"
+
+
+def _read_batch(pks: pa.Array, out: list[tuple], **more: list[int]) -> pa.RecordBatch:
+    status = ["damaged" if s == "ok" and raw is None else s for _, s, raw in out]
+    return pa.RecordBatch.from_arrays([pks, pa.array(status, pa.string()), pa.array([raw for *_, raw in out], pa.binary()), *(pa.array(v, pa.int64()) for v in more.values())], names=["pk", "status", "raw", *more])
+
+
+def read_ranges(found: DataFrame, gap: int = GAP, window: int = WINDOW) -> DataFrame:
+    """(pk, status, raw, fetched): as `read_records`, from files of any size, of which only what is asked for is read. filename: a path that `sources.stores` opens.
+
+    Requests meet by file and window of it, in order; those nearer than `gap` are one read of at most MOST_READ bytes (or one record). fetched: the bytes
+    of such a read, at its first request. A file that isn't there: no-container. Beyond its end: damaged.
+    """
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = found.withColumn("offset", F.col("offset").cast("long")).withColumn("length", F.col("length").cast("long"))
+    dealt = asked.repartition(n, "filename", F.expr(f"offset div {window}"), F.when(F.col("status") != "ok", F.xxhash64("pk"))).sortWithinPartitions("filename", "offset", "pk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("pk", "status", "filename", "offset", "length", "sha256")), strict=True))
+            out, fetched, k = [], [], 0
+            while k < len(rows):
+                pk, status, name, offset, length, sha = rows[k]
+                if status != "ok":
+                    out.append((pk, status, None))
+                    fetched.append(0)
+                    k += 1
+                    continue
+                end, last = offset + length, k + 1
+                while last < len(rows) and rows[last][1:3] == (status, name) and rows[last][3] <= end + gap and max(end, rows[last][3] + rows[last][4]) - offset <= MOST_READ:
+                    end, last = max(end, rows[last][3] + rows[last][4]), last + 1
+                try:
+                    data = stores.between(name, offset, end)
+                except FileNotFoundError:
+                    data = None
+                for j in range(k, last):
+                    pk, _, _, at, size, sha = rows[j]
+                    stored = data[at - offset : at - offset + size] if data is not None else None
+                    whole = stored is not None and len(stored) == size
+                    out.append((pk, "ok" if data is not None else "no-container", _reading(stored, sha) if whole else None))
+                    fetched.append(len(data or b"") if j == k else 0)
+                k = last
+            yield _read_batch(b.column("pk"), out, fetched=fetched)
+
+    return dealt.mapInArrow(run, _read_schema(found, ", fetched long"))
 
 
 def attachment_places(attachments: DataFrame, messages: DataFrame, locations: DataFrame, generations: DataFrame) -> DataFrame:
@@ -44,7 +117,7 @@ def page_with_more(found: DataFrame, order: str, descending: bool, limit: int, o
 
 def recent_first(recent: DataFrame, whole: DataFrame, order: str, descending: bool, limit: int) -> DataFrame:
     """The page of the recent window if that fills it, else of all that is found."""
-    first = page(recent, order, descending, limit)
+    first = cut(page(recent, order, descending, limit))
     return first if first.count() == limit else page(whole, order, descending, limit)
 
 
@@ -135,26 +208,6 @@ def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).filter("change IS NOT NULL")
 
 
-def publish(rows: DataFrame, path: str, expected: int) -> None:
-    """Put a derived table in place as a whole: written beside it, counted, and only then renamed over the old one."""
-    spark = rows.sparkSession
-    jvm = spark._jvm
-    target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows.write.mode("overwrite").parquet(fresh.toString())
-    n = spark.read.parquet(fresh.toString()).count()
-    if n != expected:
-        fs.delete(fresh, True)
-        raise ValueError(f"{n} rows instead of {expected}: not published")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    if not fs.rename(fresh, target):
-        fs.rename(old, target)
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(old, True)
-
-
 def first_names(headers: DataFrame) -> DataFrame:
     """(pk, address, name): for each address of a message the first non-empty display name in header order, else ''. headers: (pk, ordinal, address, name)."""
     found = headers.filter("address <> ''").groupBy("pk", "address").agg(F.min_by("name", F.when(F.col("name") != "", F.col("ordinal"))).alias("name"))

@@ -114,15 +114,6 @@ def test_exports(spark, tmp_path):
         assert any(end in p.read_text() for p in (tmp_path / form).glob("part*"))
 
 
-def test_publish(spark, tmp_path):
-    path = str(tmp_path / "index")
-    archive.publish(spark.range(5), path, 5)
-    archive.publish(spark.range(7), path, 7)
-    with pytest.raises(ValueError, match="not published"):
-        archive.publish(spark.range(6), path, 7)
-    assert spark.read.parquet(path).count() == 7 and {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"index"}
-
-
 def test_numbers_and_offsets_over_ranges(spark):
     rows = spark.createDataFrame([(f"m{k % 3}", k * 7 % 101, bytearray(b"x" * (k % 5))) for k in range(101)], "mailbox string, position long, record binary").repartition(5)
     assert {r["position"]: r["number"] for r in archive.numbered(rows, "position", ranges=6).collect()} == {k: k + 1 for k in range(101)}
