@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.operators import archive
+from lettermill.operators import archive, segments
 from lettermill.plans import views as V
 from lettermill.plans.mail_queries import _ORDERS, _STORED, _framed
-from lettermill.plans.queries import query
+from lettermill.plans.queries import PADDED, query
 from lettermill.sources import mail, sinks, versions
 from lettermill.streaming import dates
 from lettermill.tables import cut, shared_folder
@@ -77,3 +77,19 @@ def r11_published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = versions.publish(of(m), root, {"senders": m.select("sender").distinct().count()})
     parts = [versions.read(spark, root, t, number).select(F.lit(t).alias("part"), "name", "messages") for t in ("senders", "subjects")]
     return parts[0].unionByName(parts[1])
+
+
+@query("""WITH b AS (SELECT pk, CASE WHEN pk % 5 = 0 THEN concat('on the ', body) ELSE body END AS body FROM bodies WHERE pk % 7 <> 0 OR pk % 10 = 0)
+SELECT pk FROM b WHERE contains(""" + PADDED.format("body") + """, ' on the ')""")
+def k12_segmented_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added in three parts, some replaced, some removed and a few of these added again, merged: what a rebuild would give."""
+    b = V.bodies(spark, sf_dir).select("pk", "body")
+    root = _folder(spark, "segments")
+    changed = F.when(F.col("pk") % 5 == 0, F.concat(F.lit("on the "), F.col("body"))).otherwise(F.col("body"))
+    for k in range(3):
+        segments.add(b.filter(F.col("pk") % 3 == k), root)
+    segments.add(b.filter("pk % 5 = 0").withColumn("body", changed), root)
+    segments.remove(b.filter("pk % 7 = 0"), root)
+    segments.add(b.filter("pk % 70 = 0").withColumn("body", changed), root)
+    segments.compact(spark, root)
+    return segments.phrase(spark, root, ["on", "the"])

@@ -80,25 +80,6 @@ def records(containers: DataFrame, permissive: bool = False) -> DataFrame:
     return containers.filter("content IS NOT NULL").select(*cols).mapInArrow(run, RECORD)
 
 
-def large_mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """(container, block, raw, envelope) of mailboxes too large for one row: the text reader splits files at `From ` lines, so one file feeds many tasks.
-
-    Records are in order by (container, block) and, within a block, as they come.
-    """
-    lines = spark.read.option("lineSep", "\nFrom ").text(path).select(F.col("_metadata.file_path").alias("container"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            envelope, raw = [], []
-            for v in b.column("value").to_pylist():
-                head, _, rest = v.partition(b"\n")
-                envelope.append((head if head.startswith(b"From ") else b"From " + head) + b"\n")
-                raw.append(rest)
-            yield pa.RecordBatch.from_arrays([b.column("container"), b.column("block"), pa.array(raw, pa.binary()), pa.array(envelope, pa.binary())], names=["container", "block", "raw", "envelope"])
-
-    return lines.mapInArrow(run, "container string, block long, raw binary, envelope binary")
-
-
 def inventory(found: DataFrame) -> DataFrame:
     """(disposition, kind, files, bytes) of discovered files."""
     return found.groupBy("disposition", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

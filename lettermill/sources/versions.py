@@ -61,6 +61,20 @@ def newest(spark: SparkSession, root: str) -> int:
     return max(_pointers(spark, root), default=0)
 
 
+def point(spark: SparkSession, root: str, number: int, text: str) -> None:
+    """The pointer of that number, with its text, by one rename; an error if another run has set it."""
+    fresh = _path(spark, root, "pointers", f".{uuid.uuid4().hex}")
+    _write_text(spark, fresh, text)
+    _rename(spark, fresh, _path(spark, root, "pointers", f"{number:012d}"), over=False)
+
+
+def pointed(spark: SparkSession, root: str, number: int | None = None) -> tuple[int, str | None]:
+    """(number, text) of the newest pointer, or of that number; (0, None) if there is none."""
+    pointers = _pointers(spark, root)
+    at = number or max(pointers, default=0)
+    return at, _read_text(spark, pointers[at]) if at else None
+
+
 def publish(tables: dict[str, DataFrame], root: str, expected: dict[str, int] | None = None) -> int:
     """Put tables in place together, as a new version of root; its number.
 
@@ -78,9 +92,7 @@ def publish(tables: dict[str, DataFrame], root: str, expected: dict[str, int] |
             n = seen.get.get("rows", 0)
             if expected is not None and n != expected.get(table, n):
                 raise ValueError(f"{table}: {n} rows instead of {expected[table]}: not published")
-        fresh = _path(spark, root, "pointers", f".{name}")
-        _write_text(spark, fresh, name)
-        _rename(spark, fresh, _path(spark, root, "pointers", f"{number:012d}"), over=False)
+        point(spark, root, number, name)
     except BaseException:
         _fs(spark, folder).delete(folder, True)
         raise
@@ -89,10 +101,9 @@ def publish(tables: dict[str, DataFrame], root: str, expected: dict[str, int] |
 
 def read(spark: SparkSession, root: str, table: str, number: int | None = None) -> DataFrame:
     """A table of the newest version, or of that number. Read several tables of one number to have them of one version."""
-    pointers = _pointers(spark, root)
-    if not pointers:
+    name = pointed(spark, root, number)[1]
+    if name is None:
         raise ValueError(f"nothing is published in {root}")
-    name = _read_text(spark, pointers[number or max(pointers)])
     return spark.read.parquet(f"{root.rstrip('/')}/versions/{name}/{table}")
 
 
