@@ -1,67 +1,120 @@
-"""Signature blocks and the facts in them."""
+"""Signature blocks and the facts in them, as columns: a body's last lines are an array, and each rule is a search in it."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-# How sure each kind of block is, the lines looked at, words that no name holds, and the patterns of facts.
-CONFIDENCE = {"delimiter": 0.98, "mobile-footer": 0.97, "contact-block": 0.88, "sign-off": 0.64}
-VISIBLE_LINES = 30
-CONTACT_WORDS = {"email", "e-mail", "phone", "tel", "fax", "mobile", "cell", "office", "www", "http"}
-SIGN_OFFS = ("best", "best regards", "regards", "kind regards", "sincerely", "thanks", "thank you", "cheers", "yours")
-EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
-URL = re.compile(r"\b(?:https?://|www\.)[^\s<>\"]+")
-PHONE = re.compile(r"(?<![\w.])\+?\(?\d[\d().\s-]{6,}\d(?!\w)")
-MOBILE = re.compile(r"(?i)^sent from my .+$")
-
-
-def normalized(text: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
-
-
-def phone_digits(text: str) -> str:
-    return ("+" if text.strip().startswith("+") else "") + re.sub(r"\D", "", text)
-
-
-def is_name(line: str) -> bool:
-    """One to five alphabetic tokens in 60 characters, none of them a contact word."""
-    tokens = line.strip().split()
-    return len(line.strip()) <= 60 and 1 <= len(tokens) <= 5 and all(t.strip(".,'-").replace("-", "").replace("'", "").replace(".", "").isalpha() for t in tokens) and not CONTACT_WORDS & {t.lower().strip(":") for t in tokens}
-
-
-def block(body: str) -> tuple[str, float, list[str]] | None:
-    """(kind, confidence, lines) of the surest signature block in the last visible lines before quoted text."""
-    lines = []
-    for line in body.splitlines():
-        if line.startswith(">") or re.match(r"(?i)on .+ wrote:\s*$", line):
-            break
-        lines.append(line.rstrip())
-    while lines and not lines[-1]:
-        lines.pop()
-    lines = lines[-VISIBLE_LINES:]
-    for k in range(len(lines) - 1, -1, -1):
-        if lines[k] in ("--", "-- ") or lines[k].rstrip() == "--":
-            if k + 1 < len(lines):
-                return "delimiter", CONFIDENCE["delimiter"], lines[k + 1 :]
-    if lines and MOBILE.match(lines[-1]):
-        return "mobile-footer", CONFIDENCE["mobile-footer"], lines[-1:]
-    last = max((k for k, x in enumerate(lines) if not x), default=-1)
-    tail = lines[last + 1 :]
-    if tail and is_name(tail[0]) and any(EMAIL.search(x) or PHONE.search(x) or URL.search(x) for x in tail[1:]):
-        return "contact-block", CONFIDENCE["contact-block"], tail
-    for k in range(len(lines) - 1, max(-1, len(lines) - 8), -1):
-        if normalized(lines[k]).rstrip(",.!") in SIGN_OFFS and k + 1 < len(lines):
-            return "sign-off", CONFIDENCE["sign-off"], [x for x in lines[k + 1 :] if x]
-    return None
-
-
-def facts(lines: list[str], confidence: float) -> list[tuple[str, str, str, float]]:
-    """(kind, value, normalised, confidence) of addresses, links, phones and the name in a block."""
-    found = []
-    for line in lines:
-        found += [("email", v, v.lower(), confidence) for v in EMAIL.findall(line)]
-        found += [("url", v.rstrip(".,;"), v.rstrip(".,;").lower(), confidence) for v in URL.findall(line)]
-        found += [("phone", v, phone_digits(v), confidence) for v in PHONE.findall(URL.sub(" ", EMAIL.sub(" ", line)))]
-    name = next((x for x in lines if is_name(x)), None)
-    return [("name", name.strip(), normalized(name), confidence), *found] if name else found
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# How sure each kind of block is, the lines looked at and kept, and the patterns of lines and facts.
+CONFIDENCE = {"delimiter": 0.98, "mobile-footer": 0.97, "contact-block": 0.88, "signoff": 0.64}
+PHONE_SHARE, NAME_SHARE = 0.95, 0.70
+TAIL_LINES, BLOCK_LINES, SIGNOFF_TAIL, SIGNOFF_LINES, NAME_LINES, LEAST_DIGITS = 30, 12, 6, 4, 4, 7
+EMAIL = r"(?U)(?<![\w.+-])[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w.-])"
+URL = r"(?iU)\b(?:https?://|www\.)[^\s<>()]+"
+PHONE = r"(?U)(?<!\w)(?:\+?\d[\d .()/-]{5,}\d)(?!\w)"
+DELIMITER = r"(?U)^\s*(?:--+|__+|==+)\s*$"
+QUOTED = r"(?iU)^(?:>+\s?|on .{0,160}wrote:|from:\s|sent:\s|-----\s*original message\s*-----)"
+MOBILE = r"(?iU)^(?:sent from|get outlook for|envoy[eé] de mon)\b"
+SIGNOFF = r"(?iU)^(?:best|best regards|cheers|cordially|kind regards|many thanks|regards|sincerely|thanks|thank you)[,!]?$"
+CONTACT_WORD = r"(?iU)\b(?:fax|mobile|office|phone|tel|telephone|www|linkedin|department|university|institute|corporation|company)\b"
+
+#: Lines before the tail that a block in it may begin with.
+_CONTEXT = 14
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "     　"
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " " * 6
+
+
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
+def normalized(text: Column) -> Column:
+    """For comparison: lower case (ß as ss), wide forms narrow, white space as single blanks. Other compatibility forms stay as they are."""
+    return stripped(F.regexp_replace(F.replace(F.lower(F.translate(text, _WIDE, _NARROW)), F.lit("ß"), F.lit("ss")), r"(?U)\s+", " "))
+
+
+def phone_digits(text: Column) -> Column:
+    return F.concat(F.when(stripped(text).startswith("+"), F.lit("+")).otherwise(F.lit("")), F.regexp_replace(text, r"(?U)\D", ""))
+
+
+def _phones(line: Column) -> Column:
+    return F.filter(F.regexp_extract_all(line, F.lit(PHONE), 0), lambda p: F.length(F.regexp_replace(p, r"(?U)\D", "")) >= LEAST_DIGITS)
+
+
+def has_contact(line: Column) -> Column:
+    """An address, a link or a number of enough digits."""
+    return line.rlike(EMAIL) | line.rlike(URL) | (F.size(_phones(line)) > 0)
+
+
+def is_name(line: Column) -> Column:
+    """One to five words of letters in 60 characters; no closing formula, no contact word."""
+    own = F.regexp_replace(line, "^[ ,]+|[ ,]+$", "")
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(own, "[.']", ""), "-", " "), r"(?U)\s+"), lambda w: w != "")
+    return F.size(words).between(1, 5) & (F.length(own) <= 60) & F.forall(words, lambda w: w.rlike(r"^\p{L}+$")) & ~own.rlike(SIGNOFF) & ~own.rlike(CONTACT_WORD)
+
+
+def visible_lines(body: Column) -> Column:
+    """The lines before the first quoted one, without blanks at their ends."""
+    lines = F.split(F.regexp_replace(F.coalesce(body, F.lit("")), r"\r\n|\r", "\n"), "\n")
+    quoted = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(stripped(x).rlike(QUOTED), i)), lambda i: i.isNotNull()))
+    shown = F.slice(lines, F.lit(1), F.coalesce(quoted, F.size(lines)))
+    return F.transform(shown, lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+
+
+def _where(flags: Column) -> Column:
+    """Indices (from 0) at which an array of conditions holds."""
+    return F.filter(F.transform(flags, lambda ok, i: F.when(ok, i)), lambda i: i.isNotNull())
+
+
+def _empty(line: Column) -> Column:
+    return stripped(line) == ""
+
+
+def with_block(rows, body: str = "body"):
+    """rows (a DataFrame) with `block`: (kind, confidence, start_line, end_line, lines) of the surest signature block at the end of the body, else null.
+
+    By falling sureness: what follows a delimiter line; a mobile footer; the paragraph of the last line with a contact, and a closing formula above it; a closing formula with a name
+    below. A delimiter that nothing follows ends the search.
+    """
+    shown, at = F.col("_lines"), lambda i: F.get("_lines", i)
+    rows = rows.withColumn("_all", visible_lines(F.col(body)))
+    rows = rows.withColumn("_from", F.greatest(F.lit(0), F.size("_all") - TAIL_LINES - _CONTEXT))
+    rows = rows.withColumn("_lines", F.slice("_all", F.col("_from") + 1, F.lit(TAIL_LINES + _CONTEXT)))
+    n = F.size("_lines")
+    tail = F.greatest(F.lit(0), n - TAIL_LINES)  # the lines before the tail are there as context only
+    last = lambda test: F.array_max(F.filter(_where(F.transform(shown, test)), lambda i: i >= F.col("_tail")))
+    rows = rows.withColumns({"_n": n, "_tail": tail}).withColumns({"_delimiter": last(lambda x: x.rlike(DELIMITER)), "_mobile": last(lambda x: stripped(x).rlike(MOBILE)), "_contact": last(has_contact), "_gaps": _where(F.transform(shown, _empty))})
+    # the paragraph of the contact, at most BLOCK_LINES long
+    above = F.coalesce(F.array_max(F.filter("_gaps", lambda g: g < F.col("_contact"))), F.lit(-1)) + 1
+    start = F.greatest(above, F.col("_contact") - (BLOCK_LINES - 1))
+    below = F.coalesce(F.array_min(F.filter("_gaps", lambda g: g > F.col("_contact"))), F.col("_n"))
+    rows = rows.withColumn("_start", start).withColumn("_end", F.least(below, F.col("_start") + BLOCK_LINES))
+    formula = (F.col("_start") + F.col("_from") >= 2) & stripped(at(F.col("_start") - 2)).rlike(SIGNOFF) & _empty(at(F.col("_start") - 1))
+    span = lambda lo, hi: F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+    full = lambda idx: F.filter(idx, lambda i: ~_empty(at(i)))
+    after = F.slice(full(span(F.col("_delimiter") + 1, F.col("_n"))), F.lit(1), F.lit(BLOCK_LINES))
+    paragraph = F.concat(F.when(F.coalesce(formula, F.lit(False)), F.array(F.col("_start") - 2)).otherwise(F.array().cast("array<int>")), span(F.col("_start"), F.col("_end")))
+    closing = F.filter(span(F.greatest(F.col("_tail"), F.col("_n") - SIGNOFF_TAIL), F.col("_n")), lambda i: stripped(at(i)).rlike(SIGNOFF))
+    named = F.filter(F.transform(closing, lambda i: full(span(i, F.least(i + SIGNOFF_LINES, F.col("_n"))))), lambda b: (F.size(b) >= 2) & F.coalesce(is_name(at(F.get(b, F.lit(1)))), F.lit(False)))
+    kind = F.when(F.col("_delimiter").isNotNull(), "delimiter").when(F.col("_mobile").isNotNull(), "mobile-footer").when(F.col("_contact").isNotNull(), "contact-block").when(F.col("_signoff").isNotNull(), "signoff")
+    rows = rows.withColumn("_signoff", F.get(named, F.lit(0))).withColumn("_kind", kind)
+    which = F.when(F.col("_kind") == "delimiter", after).when(F.col("_kind") == "mobile-footer", F.array("_mobile")).when(F.col("_kind") == "contact-block", paragraph).when(F.col("_kind") == "signoff", F.col("_signoff"))
+    sure = F.element_at(F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair]), F.col("_kind"))
+    rows = rows.withColumn("_which", which)
+    line = lambda k: (F.element_at("_which", k) + F.col("_from")).cast("int")
+    block = F.struct(F.col("_kind").alias("kind"), sure.alias("confidence"), line(1).alias("start_line"), line(-1).alias("end_line"), F.transform("_which", at).alias("lines"))
+    found = rows.withColumn("block", F.when(F.size("_which") > 0, block))
+    return found.drop(*[c for c in found.columns if c in ("_all", "_from", "_lines", "_n", "_tail", "_delimiter", "_mobile", "_contact", "_gaps", "_start", "_end", "_signoff", "_kind", "_which")])
+
+
+def line_facts(line: Column, ordinal: Column, confidence: Column) -> Column:
+    """Array of (line, kind, value, normalized, confidence) of one line of a block; every line that may be a name is marked as one."""
+    own = stripped(line)
+    fact = lambda kind, value, form, sure: F.struct(ordinal.alias("line"), F.lit(kind).alias("kind"), value.alias("value"), form.alias("normalized"), sure.alias("confidence"))
+    none = F.array().cast("array<struct<line: int, kind: string, value: string, normalized: string, confidence: double>>")
+    text = F.array(fact("text", own, normalized(own), confidence))
+    emails = F.transform(F.regexp_extract_all(own, F.lit(EMAIL), 0), lambda v: fact("email", v, F.lower(v), confidence))
+    urls = F.transform(F.regexp_extract_all(own, F.lit(URL), 0), lambda v: fact("url", v, F.regexp_replace(F.lower(v), "[.,]+$", ""), confidence))
+    phones = F.transform(_phones(own), lambda v: fact("phone", v, phone_digits(v), confidence * PHONE_SHARE))
+    name = F.when(is_name(own) & (ordinal < NAME_LINES), F.array(fact("name-candidate", own, normalized(own), confidence * NAME_SHARE))).otherwise(none)
+    return F.when(own == "", none).otherwise(F.concat(text, emails, urls, phones, name))

@@ -1,44 +1,118 @@
-"""Evidence of identity: header observations, signature blocks and facts, as one pass and exploded relations."""
+"""Evidence of identity: who stands in a message's header fields, what marks it as list or automatic mail, and the signature below its text. One parse of a message feeds all relations."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from email import policy
+from email.parser import BytesParser
+from email.utils import getaddresses
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.functions import signature
+from lettermill.functions import mail, signature
+from lettermill.tables import cut
 
-EVIDENCE = "pk long, kind string, confidence double, lines array<string>, facts array<struct<kind: string, value: string, normalized: string, confidence: double>>"
+# The header fields with people, and those that mark list and automatic mail.
+ROLES = ("from", "to", "cc", "bcc")
+MARKERS = ("List-Id", "List-Post", "List-Unsubscribe", "Mailing-List", "Precedence", "Auto-Submitted", "X-BeenThere", "Sender", "Reply-To")
+_PERSON = pa.struct([("role", pa.string()), ("ordinal", pa.int32()), ("address", pa.string()), ("display_name", pa.string())])
+_MARKER = pa.struct([("header", pa.string()), ("ordinal", pa.int32()), ("value", pa.string())])
+PARSED = "pk long, sha256 string, people array<struct<role: string, ordinal: int, address: string, display_name: string>>, markers array<struct<header: string, ordinal: int, value: string>>, body string, error string"
 
 
-def evidence(bodies: DataFrame) -> DataFrame:
-    """(pk, kind, confidence, lines, facts) of bodies (pk, body) that end in a signature block."""
+def _one(raw: bytes, expected: str | None) -> tuple:
+    digest = hashlib.sha256(raw).hexdigest()
+    if expected is not None and expected != digest:
+        raise ValueError("digest differs from the catalogue")
+    m = BytesParser(policy=policy.compat32).parsebytes(raw)
+    text = lambda v: mail.header_text(str(v).encode("utf-8", "surrogateescape"))[0].strip()
+    people = [{"role": role, "ordinal": k, "address": a.strip().casefold(), "display_name": text(name)} for role in ROLES for k, (name, a) in enumerate(getaddresses([str(v) for v in m.get_all(role, [])])) if a.strip()]
+    markers = [{"header": name.lower(), "ordinal": k, "value": text(v)} for name in MARKERS for k, v in enumerate(m.get_all(name, []))]
+    return digest, people, markers, mail.preferred_text(m), None
+
+
+def extracted(messages: DataFrame) -> DataFrame:
+    """PARSED of messages (pk, raw[, sha256, which must agree]): one parse of each. A message that can't be read is a row with `error`."""
+    rows = messages.select(F.col("pk").cast("long").alias("pk"), "raw", (F.col("sha256") if "sha256" in messages.columns else F.lit(None).cast("string")).alias("expected"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("normalized", pa.string()), ("confidence", pa.float64())]))
         for b in batches:
-            rows = []
-            for pk, body in zip(b.column("pk").to_pylist(), b.column("body").to_pylist(), strict=True):
-                if found := signature.block(body or ""):
-                    kind, sure, lines = found
-                    rows.append((pk, kind, sure, lines, [dict(zip(("kind", "value", "normalized", "confidence"), f, strict=True)) for f in signature.facts(lines, sure)]))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.string()), kinds), strict=True)], names=["pk", "kind", "confidence", "lines", "facts"])
+            out = []
+            for raw, expected in zip(b.column("raw").to_pylist(), b.column("expected").to_pylist(), strict=True):
+                try:
+                    out.append(_one(raw or b"", expected))
+                except Exception as e:  # noqa: BLE001  of any kind: the row tells which
+                    out.append((expected, [], [], None, f"{type(e).__name__}: {e}"))
+            digests, people, markers, bodies, errors = zip(*out, strict=True) if out else ([],) * 5
+            columns = [b.column("pk"), pa.array(digests, pa.string()), pa.array(people, pa.list_(_PERSON)), pa.array(markers, pa.list_(_MARKER)), pa.array(bodies, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["pk", "sha256", "people", "markers", "body", "error"])
 
-    return bodies.select("pk", "body").mapInArrow(run, EVIDENCE)
+    return rows.mapInArrow(run, PARSED)
+
+
+def evidence(bodies: DataFrame) -> DataFrame:
+    """(pk, kind, confidence, start_line, end_line, lines) of bodies (pk, body) that end in a signature block; in columns, without Python."""
+    return signature.with_block(bodies.select("pk", "body")).filter("block IS NOT NULL").select("pk", "block.*")
 
 
 def facts(found: DataFrame) -> DataFrame:
-    return found.select("pk", F.explode("facts").alias("f")).select("pk", "f.kind", "f.value", "f.normalized", "f.confidence")
+    """(pk, ordinal, line, kind, value, normalized, confidence) of `evidence`: texts, addresses, links, numbers and the first line that may be a name."""
+    each = F.flatten(F.transform("lines", lambda x, i: signature.line_facts(x, i, F.col("confidence"))))
+    first = F.array_min(F.transform(F.filter("f", lambda f: f["kind"] == "name-candidate"), lambda f: f["line"]))
+    kept = found.select("pk", each.alias("f")).withColumn("name", first)
+    kept = kept.select("pk", F.posexplode(F.filter("f", lambda f: (f["kind"] != "name-candidate") | (f["line"] == F.col("name")))).alias("ordinal", "f"))
+    return kept.select("pk", "ordinal", "f.*")
+
+
+def observations(parsed: DataFrame) -> DataFrame:
+    """(pk, role, ordinal, address, display_name, normalized_name): people of the header fields, in order."""
+    each = parsed.select("pk", F.explode("people").alias("p")).select("pk", "p.*")
+    return each.withColumn("normalized_name", signature.normalized(F.col("display_name")))
+
+
+def markers(parsed: DataFrame) -> DataFrame:
+    return parsed.select("pk", F.explode("markers").alias("m")).select("pk", "m.*")
+
+
+TABLES = ("messages", "header_observations", "message_markers", "signature_blocks", "signature_facts", "extraction_errors")
+
+
+def relations(messages: DataFrame) -> dict[str, DataFrame]:
+    """TABLES of messages (pk, raw[, sha256]), from one parse that is written once."""
+    parsed = cut(extracted(messages))
+    good = parsed.filter("error IS NULL")
+    blocks = evidence(good)
+    found = (good.select("pk", "sha256"), observations(good), markers(good), blocks, facts(blocks), parsed.filter("error IS NOT NULL").select("pk", "sha256", "error"))
+    return dict(zip(TABLES, found, strict=True))
+
+
+def merge(messages: DataFrame, shard: str, root: str) -> None:
+    """Evidence of one shard's messages into the tables below root: what a shard had before is replaced, so that a run may be repeated; other shards aren't touched."""
+    for name, rows in relations(messages).items():
+        # a shard without rows leaves nothing behind either: it gets one row of nulls, which `read` passes over
+        marked = rows.withColumn("shard", F.lit(shard))
+        spark = rows.sparkSession
+        none = spark.createDataFrame([(shard,)], "shard string").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields], "shard")
+        marked.unionByName(none).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{root}/{name}")
+
+
+def read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").filter("pk IS NOT NULL")
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """(blocks, facts, emails, phones, urls, names, people): counts of evidence and of distinct normalised addresses."""
-    n = lambda kind: F.sum(F.size(F.filter("facts", lambda f: f["kind"] == kind))).cast("long")
-    people = F.count_distinct(F.try_element_at(F.filter("facts", lambda f: f["kind"] == "email"), F.lit(1))["normalized"])
-    return found.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.size("facts")).cast("long").alias("facts"), n("email").alias("emails"), n("phone").alias("phones"), n("url").alias("urls"), n("name").alias("names"), people.alias("people"))
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(messages, errors, header_observations, message_markers, distinct_addresses, distinct_nonempty_names, signature_blocks, signature_facts) of TABLES."""
+    n = lambda t, name: tables[t].agg(F.count(F.lit(1)).alias(name))
+    people = tables["header_observations"].agg(F.count(F.lit(1)).alias("header_observations"), F.count_distinct("address").alias("distinct_addresses"), F.count_distinct(F.nullif("normalized_name", F.lit(""))).alias("distinct_nonempty_names"))
+    rows = [people, n("messages", "messages"), n("extraction_errors", "errors"), n("message_markers", "message_markers"), n("signature_blocks", "signature_blocks"), n("signature_facts", "signature_facts")]
+    long = rows[0].select(F.explode(F.create_map(*[x for c in rows[0].columns for x in (F.lit(c), F.col(c))])).alias("name", "n"))
+    for r in rows[1:]:
+        long = long.unionByName(r.select(F.lit(r.columns[0]).alias("name"), F.col(r.columns[0]).alias("n")))
+    names = ("messages", "errors", "header_observations", "message_markers", "distinct_addresses", "distinct_nonempty_names", "signature_blocks", "signature_facts")
+    return long.agg(*[F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in names])
 
 
 def requests(cases: DataFrame, model: str) -> DataFrame:

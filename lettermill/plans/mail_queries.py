@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from lettermill.operators import identity, quality, verify
 from lettermill.plans.queries import query
 from lettermill.plans.views import table
 from lettermill.sources import containers, sinks
-from lettermill.tables import spread
+from lettermill.tables import shared_folder, spread
 
 #: A message of each order, in SQL that both engines read alike but for the date's format.
 _RAW = """concat('From: Ann <C', o_custkey, '@Example.org>', chr(10), 'To: s1@example.net, S1@example.net', chr(10), 'Subject:  order', chr(10), ' ', o_orderpriority, chr(10),
@@ -79,14 +81,61 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.evidence(spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("pk"), F.expr(_SIGNED).alias("body")))
 
 
-@query("""SELECT c_custkey AS pk, unnest(['name', 'email', 'phone']) AS kind, unnest(['Ann Bee', c_custkey || '@example.org', '+1 555 ' || (1000000 + c_custkey)]) AS value, unnest(['ann bee', c_custkey || '@example.org', '+1555' || (1000000 + c_custkey)]) AS normalized, 0.98::DOUBLE AS confidence FROM customer""")
+_FACTS = """SELECT pk, ordinal, line, kind, value, normalized, confidence FROM (SELECT c_custkey AS pk, unnest(range(0, 6))::INTEGER AS ordinal, unnest([0, 0, 1, 1, 2, 2])::INTEGER AS line, unnest(['text', 'name-candidate', 'text', 'email', 'text', 'phone']) AS kind,
+unnest(['Ann Bee', 'Ann Bee', c_custkey || '@example.org', c_custkey || '@example.org', '+1 555 ' || (1000000 + c_custkey), '+1 555 ' || (1000000 + c_custkey)]) AS value,
+unnest(['ann bee', 'ann bee', c_custkey || '@example.org', c_custkey || '@example.org', '+1 555 ' || (1000000 + c_custkey), '+1555' || (1000000 + c_custkey)]) AS normalized,
+unnest([0.98::DOUBLE, 0.98::DOUBLE * 0.70::DOUBLE, 0.98::DOUBLE, 0.98::DOUBLE, 0.98::DOUBLE, 0.98::DOUBLE * 0.95::DOUBLE]) AS confidence FROM customer)"""
+
+
+@query(_FACTS)
 def i09_signature_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.facts(_evidence(spark, sf_dir))
 
 
-@query("SELECT count(*) AS blocks, 3 * count(*) AS facts, count(*) AS emails, count(*) AS phones, 0::BIGINT AS urls, count(*) AS names, count(*) AS people FROM customer")
+#: Bodies of all four rules and of none, by number; quoted text and long texts before and after.
+_BODY = """CASE {k} % 7 WHEN 0 THEN concat('Hi', chr(10), repeat(concat('line', chr(10)), 40), '--', chr(10), 'Ann Bee', chr(10), chr(10), {k}, chr(10), '> quoted', chr(10), '--', chr(10), 'Not seen')
+WHEN 1 THEN concat('Hi', chr(10), 'Sent from my phone ', {k}, chr(10), chr(10), 'On Monday X wrote:', chr(10), 'call 555 123 4567')
+WHEN 2 THEN concat('Hi', chr(10), 'Regards,', chr(10), chr(10), 'Bo ', chr(9), 'Li', chr(10), 'www.Example.org/', {k}, '.', chr(10), chr(10), 'bye')
+WHEN 3 THEN concat('Hi', chr(13), chr(10), 'Thanks', chr(10), 'Cy Di', chr(10), 'x', {k}) WHEN 4 THEN concat('Hi', chr(10), '--', chr(10), '  ') WHEN 5 THEN concat('Thanks', chr(10), {k}) ELSE concat('From: x', chr(10), '--', chr(10), 'Ann') END"""
+
+
+@query(f"""SELECT o_orderkey AS pk, CASE o_orderkey % 7 WHEN 0 THEN 'delimiter' WHEN 1 THEN 'mobile-footer' WHEN 2 THEN 'contact-block' ELSE 'signoff' END AS kind, CASE o_orderkey % 7 WHEN 0 THEN 0.98 WHEN 1 THEN 0.97 WHEN 2 THEN 0.88 ELSE 0.64 END::DOUBLE AS confidence,
+CASE o_orderkey % 7 WHEN 0 THEN 42 ELSE 1 END AS start_line, CASE o_orderkey % 7 WHEN 0 THEN 44 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 3 END AS end_line,
+CASE o_orderkey % 7 WHEN 0 THEN 'Ann Bee|' || o_orderkey WHEN 1 THEN 'Sent from my phone ' || o_orderkey WHEN 2 THEN 'Regards,|Bo ' || chr(9) || 'Li|www.Example.org/' || o_orderkey || '.' ELSE 'Thanks|Cy Di|x' || o_orderkey END AS lines FROM orders WHERE o_orderkey % 7 < 4""")
+def i10_signature_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    found = identity.evidence(o.select(F.col("o_orderkey").alias("pk"), F.expr(_BODY.format(k="o_orderkey")).alias("body")))
+    return found.withColumn("lines", F.array_join("lines", "|"))
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    m = _messages(spark, sf_dir).select(F.col("o_orderkey").alias("pk"), F.concat(F.lit(b"List-Id: one\nlist-id: =?utf-8?q?tw=C3=B6?=\nPrecedence: bulk\n"), "raw", F.lit(b"-- \nAnn Bee\n")).alias("raw"))
+    return identity.relations(m)
+
+
+@query("""SELECT o_orderkey AS pk, unnest(['from', 'to', 'to']) AS role, unnest([0, 0, 1])::INTEGER AS ordinal, unnest(['c' || o_custkey || '@example.org', 's1@example.net', 's1@example.net']) AS address, unnest(['Ann', '', '']) AS display_name, unnest(['ann', '', '']) AS normalized_name FROM orders""")
+def p16_header_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(spark, sf_dir)["header_observations"]
+
+
+@query("SELECT o_orderkey AS pk, unnest(['list-id', 'list-id', 'precedence']) AS header, unnest([0, 1, 0])::INTEGER AS ordinal, unnest(['one', 'twö', 'bulk']) AS value FROM orders")
+def p16_message_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(spark, sf_dir)["message_markers"]
+
+
+@query("""SELECT count(*) AS messages, 0::BIGINT AS errors, 3 * count(*) AS header_observations, 3 * count(*) AS message_markers, count(DISTINCT o_custkey) + CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS distinct_addresses, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END::BIGINT AS distinct_nonempty_names, count(*) AS signature_blocks, 2 * count(*) AS signature_facts FROM orders""")
 def a17_evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.summary(_evidence(spark, sf_dir))
+    return identity.summary(_relations(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS pk, 'ann bee' AS normalized, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS shard FROM orders""")
+def k20_merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two shards, of which one is extracted twice, the first time with messages that it no longer has."""
+    m = _messages(spark, sf_dir).select(F.col("o_orderkey").alias("pk"), F.concat("raw", F.lit(b"-- \nAnn Bee\n")).alias("raw"))
+    root = f"{shared_folder(spark)}/lettermill/evidence-{uuid.uuid4().hex}"
+    for shard, which in (("a", "pk % 6 = 0 OR pk % 3 = 1"), ("b", "pk % 3 <> 0"), ("a", "pk % 3 = 0")):
+        identity.merge(m.filter(which), shard, root)
+    return identity.read(spark, root, "signature_facts").filter("kind = 'name-candidate'").select("pk", "normalized", "shard")
 
 
 @query("""SELECT sha256(o_orderkey || chr(10) || '{"model":"m","input":"' || o_orderpriority || '"}') AS id, upper(o_orderpriority) AS answer FROM orders""")

@@ -1,12 +1,13 @@
 """Storing, verifying, evidence and safe HTML."""
 
 import hashlib
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.functions import html, signature, storage
+from lettermill.functions import html, storage
 from lettermill.functions.mail import semantic_bytes
 from lettermill.operators import identity, verify
 from lettermill.sources import containers, sinks
@@ -85,15 +86,57 @@ def test_safe_html():
     assert html.sanitized('<img src="http://e/f.png">', remote=True)[1] is False
 
 
+BLOCKS = {
+    "Hi\n-- \nAnn B. O'Neil-Smith\n\nann@x.org, http://x.org/a.\nTel +1 (555) 123-4567\n12 34\n": ("delimiter", 2, 6, ["Ann B. O'Neil-Smith", "ann@x.org, http://x.org/a.", "Tel +1 (555) 123-4567", "12 34"]),
+    "Hi\n\nGet Outlook for iOS\n\n": ("mobile-footer", 2, 2, ["Get Outlook for iOS"]),
+    "Hi\nBest,\n\nAnn\nann@x.org\nCompany\n\nps\n": ("contact-block", 1, 5, ["Best,", "Ann", "ann@x.org", "Company"]),
+    "\n".join(f"l{k}" for k in range(30)) + "\nwww.x.org": ("contact-block", 19, 30, [f"l{k}" for k in range(19, 30)] + ["www.x.org"]),
+    "www.x.org\n" + "\n".join(f"l{k}" for k in range(30)): None,
+    "www.x.org\n" + "\n".join(f"l{k}" for k in range(29)): ("contact-block", 0, 11, ["www.x.org", *(f"l{k}" for k in range(11))]),
+    "Hi\n\nRegards\nAnn": ("signoff", 2, 3, ["Regards", "Ann"]),
+    "Hi\n\nRegards\n\nAnn Bee\n1\n2": ("signoff", 2, 5, ["Regards", "Ann Bee", "1"]),
+    "Hi\n\nRegards\nfax": None,
+    "Thanks\nAnn\n3\n4\n5\n6\n7": None,
+    "Hi\n> -- \n> Bob": None,
+    "Hi\n==\n \n": None,
+    "": None,
+}
+
+
 def test_signatures(spark):
-    body = "Hello\n\n-- \nAnn Smith\nExample Ltd\nann@example.org\n+1 (555) 123-4567\nhttps://example.org/x.\n"
-    kind, sure, lines = signature.block(body)
-    assert (kind, sure) == ("delimiter", 0.98) and {f[0] for f in signature.facts(lines, sure)} == {"name", "email", "phone", "url"}
-    assert signature.block("Hi\n\nSent from my phone")[0] == "mobile-footer" and signature.block("Hi\n\nRegards,\nAnn")[0] == "sign-off"
-    assert signature.block("Hi\n> -- \n> Bob") is None and signature.phone_digits(" +1 (2)") == "+12"
-    found = identity.evidence(spark.createDataFrame([(1, body), (2, None), (3, "x")], "pk long, body string"))
-    assert identity.summary(found).first().asDict() == {"blocks": 1, "facts": 4, "emails": 1, "phones": 1, "urls": 1, "names": 1, "people": 1}
-    assert identity.facts(found).filter("kind = 'phone'").first()["normalized"] == "+15551234567"
+    bodies = [*BLOCKS, None]
+    found = identity.evidence(spark.createDataFrame(list(enumerate(bodies)), "pk int, body string"))
+    got = {r["pk"]: (r["kind"], r["start_line"], r["end_line"], r["lines"]) for r in found.collect()}
+    for k, body in enumerate(bodies):
+        assert got.get(k) == BLOCKS.get(body), body
+    assert not re.search("Python|Arrow", found._jdf.queryExecution().executedPlan().toString())
+    first = [(r["line"], r["kind"], r["value"], r["normalized"], round(r["confidence"], 6)) for r in identity.facts(found).filter("pk = 0").orderBy("ordinal").collect()]
+    assert first == [
+        (0, "text", "Ann B. O'Neil-Smith", "ann b. o'neil-smith", 0.98), (0, "name-candidate", "Ann B. O'Neil-Smith", "ann b. o'neil-smith", 0.686), (1, "text", "ann@x.org, http://x.org/a.", "ann@x.org, http://x.org/a.", 0.98),
+        (1, "email", "ann@x.org", "ann@x.org", 0.98), (1, "url", "http://x.org/a.", "http://x.org/a", 0.98), (2, "text", "Tel +1 (555) 123-4567", "tel +1 (555) 123-4567", 0.98), (2, "phone", "+1 (555) 123-4567", "+15551234567", 0.931), (3, "text", "12 34", "12 34", 0.98),
+    ]
+
+
+def test_evidence_of_messages(spark, tmp_path):
+    raw = b"From: =?utf-8?q?J=C3=B6rg_Stra=C3=9Fe?= <J@X.org>\nTo: a@x.org, \"B, C\" <b@x.org>\nTo: c@x.org\nBcc: <>\nReply-To: r@x.org\nX-BeenThere: l\nPrecedence: bulk\n\nHi\n--\nAnn\n"
+    sha = hashlib.sha256(raw).hexdigest()
+    m = spark.createDataFrame([(1, bytearray(raw), sha), (2, bytearray(raw), "0" * 64), (3, None, None)], "pk long, raw binary, sha256 string")
+    tables = identity.relations(m)
+    people = [tuple(r) for r in tables["header_observations"].collect()]
+    assert people == [(1, "from", 0, "j@x.org", "Jörg Straße", "jörg strasse"), (1, "to", 0, "a@x.org", "", ""), (1, "to", 1, "b@x.org", "B, C", "b, c"), (1, "to", 2, "c@x.org", "", "")]
+    assert [tuple(r) for r in tables["message_markers"].collect()] == [(1, "precedence", 0, "bulk"), (1, "x-beenthere", 0, "l"), (1, "reply-to", 0, "r@x.org")]
+    assert [(r["pk"], r["error"]) for r in tables["extraction_errors"].collect()] == [(2, "ValueError: digest differs from the catalogue")]
+    s = identity.summary(tables).first()
+    assert s.asDict() == {"messages": 2, "errors": 1, "header_observations": 4, "message_markers": 3, "distinct_addresses": 4, "distinct_nonempty_names": 2, "signature_blocks": 1, "signature_facts": 2}
+    root = str(tmp_path / "evidence")
+    for _ in range(2):  # a run repeated on one shard changes nothing
+        identity.merge(m, "a", root)
+        identity.merge(m.filter("pk = 3"), "b", root)
+        again = identity.summary({t: identity.read(spark, root, t) for t in identity.TABLES}).first()
+        assert again.asDict() == s.asDict() | {"messages": 3}
+    identity.merge(m.filter("pk > 9"), "a", root)
+    assert identity.read(spark, root, "messages").count() == 1 and identity.read(spark, root, "signature_facts").isEmpty()
+
 
 
 def test_correlation(spark):
