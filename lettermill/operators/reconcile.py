@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettermill.functions.mail import parsed
+from lettermill.sources import versions
+from lettermill.tables import cut
+
 
 def match(cache: DataFrame, archive: DataFrame) -> DataFrame:
     """cache rows with `outcome`: exact (its raw hash is archived), semantic (only its semantic hash is), or cache-only.
@@ -137,7 +141,31 @@ def review_totals(cases: DataFrame) -> DataFrame:
     return cases.agg(F.count(F.lit(1)).alias("cases"), n("variants").alias("variants"), n("distinct_raw").alias("distinct_raw"), F.count_if("shared_across_stores").alias("shared"), F.count_if(~F.col("date_agrees")).alias("date_differs"), F.count_if(~F.col("subject_agrees")).alias("subject_differs"))
 
 
-def export_review(cases: DataFrame, variants: DataFrame, path: str) -> None:
-    """The review set under a new folder: cases, and their variants by class. An existing folder is not overwritten."""
-    cases.write.mode("errorifexists").json(f"{path}/cases")
-    variants.join(cases.select("semantic"), "semantic", "left_semi").write.mode("errorifexists").parquet(f"{path}/variants")
+# A role's folder in a case, and what its files' names begin with.
+REVIEW_FOLDERS = {"cache": ("apple-cache", "cache"), "archive": ("canonical-archive", "archive")}
+
+
+def review_files(cases: DataFrame, variants: DataFrame) -> DataFrame:
+    """(case_number, role, file, reference, sha256, byte_length, raw): the messages of the cases' classes, numbered in each role by reference.
+
+    cases: (case_number, semantic); variants: (semantic, role, reference, pk, sha256, raw), raw as it is read now. One that no longer has its digests is an error.
+    """
+    held = variants.join(cases.select("case_number", "semantic"), "semantic")
+    now = parsed(held.withColumn("raw", F.coalesce("raw", F.lit(b""))), permissive=True)
+    changed = F.raise_error(F.concat(F.lit("changed since it was indexed: "), F.col("reference"))).cast("binary")
+    same = (F.sha2("raw", 256) == F.col("sha256")) & F.coalesce(F.col("m.semantic_sha256") == F.col("semantic"), F.lit(False))
+    n = F.row_number().over(Window.partitionBy("case_number", "role").orderBy("reference", "pk"))
+    folder = F.concat(F.lit("case-"), F.lpad(F.col("case_number").cast("string"), 2, "0"), F.lit("-h3-"), F.left("semantic", F.lit(16)))
+    place, first = (F.when(F.col("role") == "cache", REVIEW_FOLDERS["cache"][k]).otherwise(REVIEW_FOLDERS["archive"][k]) for k in (0, 1))
+    which = F.when(F.col("role") == "cache", "").otherwise(F.concat(F.lit("-message-"), F.col("pk").cast("string")))
+    name = F.concat(folder, F.lit("/"), place, F.lit("/"), first, F.lit("-"), F.lpad(n.cast("string"), 3, "0"), which, F.lit("-h2-"), F.left("sha256", F.lit(16)), F.lit(".eml"))
+    return now.select("case_number", "role", name.alias("file"), "reference", "sha256", F.length("raw").cast("long").alias("byte_length"), F.when(same, F.col("raw")).otherwise(changed).alias("raw"))
+
+
+def export_review(cases: DataFrame, variants: DataFrame, root: str) -> None:
+    """The review set as a new folder of two tables, cases (with their files and bytes) and files (`review_files`), which appear together or not at all. An existing one is not overwritten."""
+    if versions.newest(cases.sparkSession, root):
+        raise FileExistsError(f"review set already exists: {root}")
+    files = cut(review_files(cases, variants))
+    size = files.groupBy("case_number").agg(F.count_if(F.col("role") == "cache").alias("cache_files"), F.count_if(F.col("role") != "cache").alias("archive_files"), F.sum("byte_length").alias("exported_bytes"))
+    versions.publish({"cases": cases.join(size, "case_number", "left").fillna(0, size.columns[1:]), "files": files}, root, {"cases": cases.count()})

@@ -191,3 +191,9 @@ def owner_rule(sender: Column, include: list[str], exclude: list[str]) -> Column
         return found
 
     return (address != "") & fits(include) & ~fits(exclude)
+
+
+def review(observed: DataFrame, sources: DataFrame, run: int | None = None) -> DataFrame:
+    """(observation_pk, disposition, detail, path) of what was observed (observation_pk, run_pk, source_pk, disposition, detail), in order; of one run or of all. sources: (source_pk, path)."""
+    found = observed if run is None else observed.filter(F.col("run_pk") == run)
+    return found.join(sources, "source_pk").select("observation_pk", "disposition", "detail", "path").orderBy("observation_pk")

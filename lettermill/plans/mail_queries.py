@@ -37,8 +37,12 @@ def p01_parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "m.message_id", "m.sha256", "m.sender", people.alias("recipients"), "m.subject", F.col("own_date").alias("date"), "date_source", "m.body", F.size("m.defects").alias("defects"))
 
 
-@query(f"""SELECT o_orderkey, sha256(concat('lettermill/hash/semantic/v1', chr(0), 'from:Ann <C', o_custkey, '@Example.org>', chr(13), chr(10), 'to:s1@example.net, S1@example.net', chr(13), chr(10), 'date:', strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S'), ' +0100', chr(13), chr(10),
-'message-id:<M', o_orderkey, '@example.org>', chr(13), chr(10), 'subject:order ', o_orderpriority, chr(13), chr(10), chr(13), chr(10), 'Dear ', o_orderstatus, chr(13), chr(10), 'From here', chr(13), chr(10))) AS semantic FROM {_ORDERS}""")
+#: The semantic hash of a message of `_SQL_RAW`.
+_SEMANTIC = """sha256(concat('lettermill/hash/semantic/v1', chr(0), 'from:Ann <C', o_custkey, '@Example.org>', chr(13), chr(10), 'to:s1@example.net, S1@example.net', chr(13), chr(10), 'date:', strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S'), ' +0100', chr(13), chr(10),
+'message-id:<M', o_orderkey, '@example.org>', chr(13), chr(10), 'subject:order ', o_orderpriority, chr(13), chr(10), chr(13), chr(10), 'Dear ', o_orderstatus, chr(13), chr(10), 'From here', chr(13), chr(10)))"""
+
+
+@query(f"SELECT o_orderkey, {_SEMANTIC} AS semantic FROM {_ORDERS}")
 def i30_semantic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.parsed(_messages(spark, sf_dir)).select("o_orderkey", F.col("m.semantic_sha256").alias("semantic"))
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lettermill.operators import archive, segments
+from lettermill.functions import mail as mailfn
+from lettermill.functions import render
+from lettermill.operators import archive, reconcile, reports, segments
 from lettermill.plans import views as V
-from lettermill.plans.mail_queries import _ORDERS, _STORED, _framed
+from lettermill.plans.mail_queries import _ORDERS, _SEMANTIC, _STORED, _framed, _messages
 from lettermill.plans.queries import PADDED, query
-from lettermill.sources import mail, sinks, versions
+from lettermill.sources import mail, prepare, sinks, versions
 from lettermill.streaming import dates
 from lettermill.tables import cut, shared_folder
 
@@ -93,3 +95,57 @@ def k12_segmented_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments.add(b.filter("pk % 70 = 0").withColumn("body", changed), root)
     segments.compact(spark, root)
     return segments.phrase(spark, root, ["on", "the"])
+
+
+@query(f"""SELECT mailbox, sha256(replace(raw, chr(10) || 'From here', chr(10) || '>From here')) AS sha256, 'eml' AS form FROM {_STORED} WHERE mailbox <> 'INFECTED1.mbox'""")
+def s28_prepared_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' mailboxes but the quarantined one, split into messages; as many as there are orders of the others, or nothing is published."""
+    root = _folder(spark, "prepared")
+    expected = _framed(spark, sf_dir).filter("mailbox <> 'INFECTED1.mbox'").count()
+    prepare.prepare(spark, _mailboxes(spark, sf_dir), root, "messages", include=("**/part-*",), exclude=("mailbox=INFECTED1.mbox/*",), expected=expected)
+    return versions.read(spark, root, "prepared").select(F.regexp_extract("source", "/mailbox=([^/]+)/", 1).alias("mailbox"), F.sha2("raw", 256).alias("sha256"), "form")
+
+
+@query("""SELECT event_id AS observation_pk, event_type AS disposition, 'user ' || user_id AS detail, n_name AS path FROM events JOIN nation ON n_nationkey = user_id % 30 WHERE user_id % 7 = 3 ORDER BY 1""")
+def f18_review_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("observation_pk"), (F.col("user_id") % 7).alias("run_pk"), (F.col("user_id") % 30).alias("source_pk"), F.col("event_type").alias("disposition"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("detail"))
+    return reports.review(e, V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source_pk"), F.col("n_name").alias("path")), run=3)
+
+
+@query(f"""SELECT o_orderkey AS pk, concat('To: s1@example.net, S1@example.net', chr(10), 'From: Ann <C', o_custkey, '@Example.org>', chr(10), 'Subject: order ', o_orderpriority, chr(10), 'Date: ', strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S'), ' +0100', chr(10), chr(10), 'Dear ', o_orderstatus, chr(10), 'From here', chr(10)) AS text FROM {_ORDERS}""")
+def p13_text_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.text_views(_orders(spark, sf_dir))
+
+
+@query(f"""SELECT o_orderkey AS pk, '<M' || o_orderkey || '@example.org>' AS message_id, 0 AS attachments, '' AS error FROM {_ORDERS}""")
+def p17_bag_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.bag_entries(_orders(spark, sf_dir).withColumn("fallback", F.lit("none")))
+
+
+@query(f"""SELECT o_orderkey AS pk, concat('Ann <C', o_custkey, '@Example.org>', chr(10), 's1@example.net, S1@example.net', chr(10), chr(10), 'order ', o_orderpriority, chr(10), strftime(o_orderdate, '%a, %d %b %Y %H:%M:%S'), ' +0100', chr(10), 'Dear ', o_orderstatus, chr(10), 'From here', chr(10)) AS content,
+'c' || o_custkey || '@example.org=Ann,s1@example.net=' AS suggestions, 'Dear ' || o_orderstatus || ' From here' AS preview, 'order ' || o_orderpriority AS subject FROM {_ORDERS}""")
+def p07_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = F.array_join(F.transform("suggestions", lambda s: F.concat(s["address"], F.lit("="), s["display_name"])), ",")
+    return render.index_documents(_orders(spark, sf_dir)).select("pk", "content", people.alias("suggestions"), "preview", "subject")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select(F.col("o_orderkey").alias("pk"), "raw")
+
+
+_REVIEWED = f"(SELECT *, sha256(raw) AS h2, {_SEMANTIC} AS h3 FROM {_ORDERS})"
+
+
+@query(f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM {_REVIEWED} WHERE o_orderkey % 100 = 7 QUALIFY n <= 20),
+v AS (SELECT n, h3, h2, 'cache' AS role, 'a' AS place, o_orderkey FROM c UNION ALL SELECT n, h3, sha256(replace(raw, 'To:', 'X-Seen: 1' || chr(10) || 'To:')), 'archive', 'b', o_orderkey FROM c)
+SELECT CAST(n AS INTEGER) AS case_number, role, 'case-' || lpad(CAST(n AS VARCHAR), 2, '0') || '-h3-' || left(h3, 16) || CASE role WHEN 'cache' THEN '/apple-cache/cache-001-h2-' || left(h2, 16) ELSE '/canonical-archive/archive-001-message-' || o_orderkey || '-h2-' || left(h2, 16) END || '.eml' AS file, h2 AS sha256 FROM v""")
+def k22_review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty of some orders as review cases: a cached message each, and the archive's with one more header field."""
+    m = mailfn.parsed(_orders(spark, sf_dir).filter("pk % 100 = 7")).select("pk", "raw", F.col("m.semantic_sha256").alias("semantic"))
+    first = m.orderBy("pk").limit(20).select("semantic", F.row_number().over(Window.orderBy("pk")).alias("case_number"))  # twenty rows
+    cache = m.select("semantic", F.lit("cache").alias("role"), F.concat(F.lit("o"), F.col("pk").cast("string")).alias("reference"), F.lit(None).cast("long").alias("pk"), F.sha2("raw", 256).alias("sha256"), "raw")
+    seen = F.replace(F.col("raw").cast("string"), F.lit("To:"), F.lit("X-Seen: 1\nTo:")).cast("binary")
+    kept = m.select("semantic", F.lit("archive").alias("role"), F.concat(F.lit("m"), F.col("pk").cast("string")).alias("reference"), "pk", F.sha2(seen, 256).alias("sha256"), seen.alias("raw"))
+    root = _folder(spark, "review")
+    reconcile.export_review(first, cache.unionByName(kept), root)
+    return versions.read(spark, root, "files").select("case_number", "role", "file", "sha256")

@@ -75,10 +75,10 @@ def pointed(spark: SparkSession, root: str, number: int | None = None) -> tuple[
     return at, _read_text(spark, pointers[at]) if at else None
 
 
-def publish(tables: dict[str, DataFrame], root: str, expected: dict[str, int] | None = None) -> int:
+def publish(tables: dict[str, DataFrame], root: str, expected: dict[str, int] | None = None, filled: tuple[str, ...] = ()) -> int:
     """Put tables in place together, as a new version of root; its number.
 
-    They are written to a folder of their own and counted as they are written; a table that has not as many rows as expected is an error, and nothing is published. Then a pointer with the next
+    They are written to a folder of their own and counted as they are written; a table that has not as many rows as expected, or none though it must be filled, is an error, and nothing is published. Then a pointer with the next
     number appears by one rename. Readers see the version before or this one, of all tables; a run that ends early leaves only a folder that no pointer names. Of two that
     publish at once the later fails.
     """
@@ -92,6 +92,8 @@ def publish(tables: dict[str, DataFrame], root: str, expected: dict[str, int] |
             n = seen.get.get("rows", 0)
             if expected is not None and n != expected.get(table, n):
                 raise ValueError(f"{table}: {n} rows instead of {expected[table]}: not published")
+            if table in filled and not n:
+                raise ValueError(f"{table}: no rows: not published")
         point(spark, root, number, name)
     except BaseException:
         _fs(spark, folder).delete(folder, True)

@@ -145,8 +145,30 @@ def test_review_set(spark, tmp_path):
     v = spark.createDataFrame([("s", "cache", "r1", "d", "x", True), ("s", "archive", "r1", "d", "x", False), ("s", "archive", "r2", "e", "x", False), ("t", "cache", "r3", "d", None, False)], "semantic string, role string, raw string, date string, subject string, autosave boolean")
     (r,) = reconcile.review_cases(v).collect()
     assert (r["distinct_raw"], r["variants"], r["autosaves"], r["date_agrees"], r["subject_agrees"], r["shared_across_stores"]) == (2, 3, 1, False, True, True)
-    reconcile.export_review(reconcile.review_cases(v), v, str(tmp_path / "set"))
-    assert spark.read.parquet(str(tmp_path / "set" / "variants")).count() == 3 and spark.read.json(str(tmp_path / "set" / "cases")).count() == 1
+
+
+def test_exported_review_set(spark, tmp_path):
+    from lettermill.functions.mail import semantic_bytes
+    from lettermill.sources import versions
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    one, two = message(1), message(1).replace(b"\n\n", b"\nX-Other: 1\n\n", 1)
+    semantic = sha(semantic_bytes(one))
+    assert semantic == sha(semantic_bytes(two))
+    kind = "semantic string, role string, reference string, pk long, sha256 string, raw binary"
+    rows = [(semantic, "cache", "b.emlx", None, sha(one), bytearray(one)), (semantic, "cache", "a.emlx", None, sha(two), bytearray(two)), (semantic, "archive", "m@0+5", 77, sha(two), bytearray(two)), ("other", "cache", "c", None, sha(one), bytearray(one))]
+    cases, root = spark.createDataFrame([(1, semantic)], "case_number int, semantic string"), str(tmp_path / "set")
+    reconcile.export_review(cases, spark.createDataFrame(rows, kind), root)
+    files = {r["file"]: bytes(r["raw"]) for r in versions.read(spark, root, "files").collect()}
+    top = f"case-01-h3-{semantic[:16]}"
+    assert files == {f"{top}/apple-cache/cache-001-h2-{sha(two)[:16]}.eml": two, f"{top}/apple-cache/cache-002-h2-{sha(one)[:16]}.eml": one, f"{top}/canonical-archive/archive-001-message-77-h2-{sha(two)[:16]}.eml": two}
+    assert tuple(versions.read(spark, root, "cases").first()) == (1, semantic, 2, 1, len(one) + 2 * len(two))
+    with pytest.raises(FileExistsError):
+        reconcile.export_review(cases, spark.createDataFrame(rows, kind), root)
+    for broken in ((semantic, "cache", "z", None, sha(one), bytearray(two)), (semantic, "cache", "z", None, sha(message(2)), bytearray(message(2)))):
+        with pytest.raises(Exception, match="changed since it was indexed"):
+            reconcile.export_review(cases, spark.createDataFrame([*rows, broken], kind), str(tmp_path / "new"))
+        assert versions.newest(spark, str(tmp_path / "new")) == 0
 
 
 def test_small_columns(spark):
