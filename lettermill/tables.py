@@ -24,11 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder as Parquet and read again: lineage ends there, and a lost executor costs no earlier stage.
 
-    The files stay until the folder is emptied, as other jobs of the session may still read them.
+    The files stay until the folder is emptied, as other jobs of the session may still read them, or until they are discarded.
     """
     path = f"{shared_folder(df.sparkSession)}/lettermill/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `cut` has given and that nothing reads any more, such as those of the rounds before in a loop."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -171,6 +171,25 @@ def test_exported_review_set(spark, tmp_path):
         assert versions.newest(spark, str(tmp_path / "new")) == 0
 
 
+def test_discarded_tables(spark):
+    from lettermill.tables import cut, discard
+
+    one = cut(spark.range(3))
+    two = cut(one.filter("id > 0"))
+    discard(one)
+    assert two.count() == 2
+    with pytest.raises(Exception, match="exist|No such|NOT_EXIST"):
+        one.count()
+
+
+def test_bundles_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    m = spark.createDataFrame([(k, "s", bytearray(b"x" * 100)) for k in range(3)], "pk long, subject string, raw binary")
+    monkeypatch.setattr(exports, "MOST_BYTES", 299)
+    with pytest.raises(ValueError, match="bytes"):
+        exports.write_bundle(m, str(tmp_path / "z.zip"))
+    assert exports.write_bundle(m.filter("pk < 2"), str(tmp_path / "z.zip")) == 2
+
+
 def test_small_columns(spark):
     one = spark.range(1)
     assert one.select(text.trigrams(F.lit("AbcD"))).first()[0] == ["abc", "bcd"] and one.select(text.trigrams(F.lit("ab"))).first()[0] == []
