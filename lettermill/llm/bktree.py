@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import NULL_ID, U64, cut, in_arrow, mix64, parts, text_bytes, tune
+from lettermill.llm.common import NULL_ID, U64, cut, discard, in_arrow, mix64, parts, text_bytes, tune
 
 #: Fingerprints in one tree; larger shards are split.
 SHARD_ROWS = 4096
@@ -278,7 +278,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.filter("a > m").select("a", F.col("m").alias("b")))
         large = cut(large.filter("a <> b").distinct())
         small = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        replaced = (now, least, large, small)
         now = cut(large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        discard(*replaced)
         before, seen = seen, at(now)
         if seen == before:
             break

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.tables import cut, shared_folder, spread  # noqa: F401  the operators have them from here
+from lettermill.tables import cut, discard, shared_folder, spread  # noqa: F401  the operators have them from here
 
 #: Stands for a null document id inside the operators; nulls sort before every id.
 NULL_ID = -(2**63)
