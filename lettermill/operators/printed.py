@@ -47,3 +47,18 @@ def messages(found: DataFrame, text: str = "page_text") -> DataFrame:
 def field(name: str) -> Column:
     """Value of the first header of the name, any case; null if there is none."""
     return F.try_element_at(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), F.lit(1))["value"]
+
+
+# Fields of a printed message that its record takes over.
+COPIED = ("from", "to", "cc", "bcc", "reply-to", "date", "subject")
+
+
+def derived(found: DataFrame) -> DataFrame:
+    """found (`messages` rows with source_name, source_sha256, page) with `raw`: a message made of the printed one, marked as such, with the fields it shows, its own number and where it came from."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " "))
+    own = F.concat(F.lit("<page-"), "source_sha256", F.lit("-p"), F.col("page").cast("string"), F.lit("@derived.invalid>"))
+    marks = [line("Message-ID", own), F.lit("X-Derived: printed-email"), F.lit("X-Transcription-Status: machine-unreviewed"), line("X-Source-Name", F.col("source_name")), line("X-Source-SHA256", F.col("source_sha256")), line("X-Source-Page", F.col("page").cast("string"))]
+    copied = F.transform(F.filter("headers", lambda h: F.lower(h["name"]).isin("message-id", *COPIED)), lambda h: F.concat(F.when(F.lower(h["name"]) == "message-id", F.lit("X-Observed-Message-ID")).otherwise(h["name"]), F.lit(": "), h["value"]))
+    mime = [F.lit("MIME-Version: 1.0"), F.lit('Content-Type: text/plain; charset="utf-8"'), F.lit("Content-Transfer-Encoding: 8bit")]
+    head = F.array_join(F.concat(F.array(*marks), copied, F.array(*mime)), "\n")
+    return found.withColumn("raw", F.concat(head, F.lit("\n\n"), F.regexp_replace("body", r"\n*$", ""), F.lit("\n")).cast("binary"))

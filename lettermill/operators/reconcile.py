@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.mail import parsed
-from lettermill.sources import versions
+from lettermill.sources import mail, versions
 from lettermill.tables import cut
 
 
@@ -169,3 +169,28 @@ def export_review(cases: DataFrame, variants: DataFrame, root: str) -> None:
     files = cut(review_files(cases, variants))
     size = files.groupBy("case_number").agg(F.count_if(F.col("role") == "cache").alias("cache_files"), F.count_if(F.col("role") != "cache").alias("archive_files"), F.sum("byte_length").alias("exported_bytes"))
     versions.publish({"cases": cases.join(size, "case_number", "left").fillna(0, size.columns[1:]), "files": files}, root, {"cases": cases.count()})
+
+
+def cache_scan(spark: SparkSession, root: str, services: DataFrame) -> DataFrame:
+    """(path, service, state, sha256, semantic_sha256) of the `.emlx` files below root: partial, complete, or unreadable, which has no digests.
+
+    path: relative to root; services: (account, service), where an account is the folder below the store's version, in any case; others are unknown.
+    """
+    top = root.rstrip("/") + "/"
+    files = mail.files(spark, root).filter(F.lower("path").endswith(".emlx"))
+    partial = F.lower("path").endswith(".partial.emlx")
+    read = mail.records(files.filter(~partial).select("path", "length", F.lit(0).alias("start")), permissive=True)
+    hashed = parsed(read.select(F.col("container").alias("path"), "raw"), permissive=True).select("path", F.sha2("raw", 256).alias("sha256"), "m.semantic_sha256")
+    found = files.select("path", partial.alias("partial")).join(hashed, "path", "left")
+    state = F.when(F.col("partial"), "partial").when(F.col("semantic_sha256").isNull(), "unreadable").otherwise("complete")
+    relative = F.substring("path", F.instr("path", top) + len(top), F.length("path"))
+    account = F.lower(F.regexp_extract("relative", r"^V[^/]*/([^/]+)/", 1))
+    rows = found.withColumn("state", state).withColumn("relative", relative).withColumn("account", account)
+    known = services.select(F.lower("account").alias("account"), "service").dropDuplicates(["account"])
+    return rows.join(known, "account", "left").select(F.col("relative").alias("path"), F.coalesce("service", F.lit("unknown")).alias("service"), "state", F.when(F.col("state") == "complete", F.col("sha256")).alias("sha256"), "semantic_sha256")
+
+
+def cache_inventory(scan: DataFrame) -> DataFrame:
+    """(service, complete, partial, unreadable) of `cache_scan`; unreadable files are complete ones that can't be read."""
+    is_ = lambda *x: F.count_if(F.col("state").isin(*x))
+    return scan.groupBy("service").agg(is_("complete", "unreadable").alias("complete"), is_("partial").alias("partial"), is_("unreadable").alias("unreadable"))

@@ -102,3 +102,9 @@ def integrity_rows(records: DataFrame) -> DataFrame:
 def oxum(files: DataFrame) -> DataFrame:
     """(oxum): bytes and number of payload files (path, length), as `bytes.files`."""
     return files.agg(F.concat_ws(".", F.coalesce(F.sum("length"), F.lit(0)).cast("string"), F.count(F.lit(1)).cast("string")).alias("oxum"))
+
+
+def write_mbox(messages: DataFrame, path: str) -> None:
+    """Messages (position, raw) as one mailbox: a new folder whose part files, in order of their names, are the mailbox; nothing is overwritten."""
+    rows = messages.select("position", "raw", F.lit(None).cast("timestamp_ntz").alias("date"), F.lit("Archive").alias("category"), F.lit("").alias("sender"))
+    framed(rows).repartitionByRange("position").sortWithinPartitions("position").select(F.col("record").cast("string").alias("value")).write.mode("errorifexists").text(path)
