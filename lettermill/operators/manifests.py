@@ -161,6 +161,10 @@ def manifest_faults(lines: DataFrame, files: DataFrame, records: DataFrame, pref
 
 def numbered_lines(spark, path: str) -> DataFrame:
     """(mailbox, at, line) of what `write_manifests` wrote: part files in order of their names, lines in order within them."""
-    files = spark.read.option("wholetext", False).text(path).select("mailbox", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    w = Window.partitionBy("mailbox").orderBy("file", "block", "id")
-    return files.select("mailbox", F.row_number().over(w).cast("long").alias("at"), "line")
+    lines = spark.read.text(path).select("mailbox", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # a mailbox may fill many files: each is numbered on its own, behind the sum of those before it
+    sizes = lines.groupBy("mailbox", "file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("mailbox").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = sizes.select("mailbox", "file", "block", F.coalesce(before, F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("mailbox", "file", "block").orderBy("id"))
+    return lines.withColumn("own", own).join(ahead, ["mailbox", "file", "block"]).select("mailbox", (F.col("own") + F.col("ahead")).cast("long").alias("at"), "line")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import mail as mailfn
 from lettermill.functions import render
-from lettermill.operators import archive, reconcile, reports, segments
+from lettermill.operators import archive, controls, manifests, printed, reconcile, reports, segments
 from lettermill.plans import views as V
 from lettermill.plans.mail_queries import _ORDERS, _SEMANTIC, _STORED, _framed, _messages
 from lettermill.plans.queries import PADDED, query
@@ -149,3 +149,35 @@ def k22_review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark, "review")
     reconcile.export_review(first, cache.unionByName(kept), root)
     return versions.read(spark, root, "files").select("case_number", "role", "file", "sha256")
+
+
+@query(f"""SELECT mailbox, n AS at, concat(n, chr(9), '"m', o_orderkey, '@example.org"', chr(9), 'h2:', sha256(raw), chr(9), 'h3:', semantic) AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY o_orderkey) AS n, {_SEMANTIC} AS semantic FROM {_STORED})""")
+def k04_integrity_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all mailboxes' manifests, written and read again."""
+    records = mailfn.parsed(_framed(spark, sf_dir)).select("mailbox", "position", "record", "m.message_id", "m.sha256", "m.semantic_sha256")
+    files = records.groupBy("mailbox").agg(F.sum(F.length("record") + 1).alias("bytes"), F.lit("0" * 64).alias("sha256"))
+    folder = _folder(spark, "manifests")
+    manifests.write_manifests(manifests.manifest_lines(records, files), folder)
+    heads = len(manifests.REQUIRED) + 4
+    return manifests.numbered_lines(spark, folder).filter(F.col("at") > heads).select("mailbox", (F.col("at") - heads).alias("at"), "line")
+
+
+@query(f"""SELECT mailbox, CAST(sum(octet_length(encode(record)) + 1) AS BIGINT) AS bytes, 0::BIGINT AS faults FROM {_STORED} GROUP BY mailbox""")
+def x06_checked_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mailboxes' bytes by the evidence of a checkpoint that a check has found to hold, and the faults of that check."""
+    folder, root = _mailboxes(spark, sf_dir), _folder(spark, "controls")
+    controls.checkpoint(spark, folder, root)
+    n = controls.faults(spark, folder, root).count()
+    box = F.regexp_extract("subject", "mailbox=([^/]+)/part-", 1)
+    return controls.verify(spark, folder, root).filter(box != "").groupBy(box.alias("mailbox")).agg(F.sum("byte_length").alias("bytes"), F.lit(n).cast("long").alias("faults"))
+
+
+@query("""SELECT o_orderkey AS pk, concat('Message-ID: <page-', sha256(o_orderkey || ''), '-p1@derived.invalid>', chr(10), 'X-Derived: printed-email', chr(10), 'X-Transcription-Status: machine-unreviewed', chr(10), 'X-Source-Name: ', o_orderkey, '.pdf', chr(10), 'X-Source-SHA256: ', sha256(o_orderkey || ''), chr(10), 'X-Source-Page: 1', chr(10),
+'From: c', o_custkey, '@example.org', chr(10), 'Subject: ', o_orderpriority, ' and more', chr(10), 'MIME-Version: 1.0', chr(10), 'Content-Type: text/plain; charset="utf-8"', chr(10), 'Content-Transfer-Encoding: 8bit', chr(10), chr(10), 'Dear ', o_orderstatus, chr(10)) AS raw FROM orders""")
+def k25_printed_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.table(spark, sf_dir, "orders")
+    name = F.col("o_orderkey").cast("string")
+    page = F.concat(F.lit("From: c"), F.col("o_custkey").cast("string"), F.lit("@example.org\nX-Seen: 1\nSubject: "), F.col("o_orderpriority"), F.lit("\n and more\n\nDear "), F.col("o_orderstatus"), F.lit("\n\n\f"))
+    rows = o.select(F.col("o_orderkey").alias("pk"), F.concat(name, F.lit(".pdf")).alias("source_name"), F.sha2(name, 256).alias("source_sha256"), page.alias("text"))
+    return printed.derived(printed.messages(printed.pages(rows))).select("pk", F.col("raw").cast("string").alias("raw"))
