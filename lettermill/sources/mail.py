@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,8 @@ from lettermill.sources import containers, stores
 
 #: Bytes of a mailbox that a task reads, and files that it reads at most; bytes of an Arrow batch.
 SPLIT, FILES, BATCH = 128 << 20, 1000, 8 << 20
+#: Bytes that are read at a time behind a range.
+BEYOND = 64 << 10
 #: size: the record's bytes in the container; length: what was known of the container when it was read.
 RECORD = containers.RECORD + ", size long, length long"
 _ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (c.split() for c in RECORD.split(", "))])
@@ -73,7 +76,9 @@ def read_range(path: str, begin: int, end: int, length: int, start: int = 0) ->
     if kind == "mbox":
         framed = head.split(b"\n", 1)[0].rstrip(b"\r") == framing.MMDF
         at = max(0, begin - 1)
-        for position, stored in stored_records(stores.pieces(path, at, length), at, begin, end):
+        # behind its end a range reads on only until its last record is whole
+        chunks = chain(stores.pieces(path, at, min(end, length)), stores.pieces(path, min(end, length), length, BEYOND))
+        for position, stored in stored_records(chunks, at, begin, end):
             try:
                 yield row(framing.mailbox_record(position, stored, framed), len(stored))
             except ValueError as e:

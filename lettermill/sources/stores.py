@@ -43,11 +43,12 @@ def listing(path: str) -> list[tuple[str, int, int]]:
     return sorted((f"{path.rstrip('/')}{f.path[len(own.rstrip('/')) :]}" if outer not in ("file:", "file://") else f"file:{f.path}", f.size, f.mtime_ns or 0) for f in keep)
 
 
-def pieces(path: str, begin: int, end: int) -> Iterator[bytes]:
-    """The bytes from begin up to end, CHUNK at a time."""
+def pieces(path: str, begin: int, end: int, most: int | None = None) -> Iterator[bytes]:
+    """The bytes from begin up to end, CHUNK (or, if that is less, `most`) at a time."""
+    size = min(CHUNK, most or CHUNK)
     with opened(path) as f:
         f.seek(begin)
-        while begin < end and (b := f.read(min(CHUNK, end - begin))):
+        while begin < end and (b := f.read(min(size, end - begin))):
             yield b
             begin += len(b)
 
