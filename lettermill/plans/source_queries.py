@@ -29,20 +29,24 @@ def _mailboxes(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-#: Bytes of a mailbox that one task reads in these queries, so that small tables too are read in several ranges.
-SPLIT = 64 << 10
+def _split(spark: SparkSession, folder: str) -> int:
+    """Bytes of a mailbox for one task: a few ranges for each core where the mailboxes are small, so that these too are cut; never more than usual."""
+    total = mail.files(spark, folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return min(mail.SPLIT, max(64 << 10, total // (4 * spark.sparkContext.defaultParallelism)))
 
 
 @query(f"""SELECT mailbox, sha256(replace(raw, chr(10) || 'From here', chr(10) || '>From here')) AS sha256 FROM {_STORED}""")
 def s05_split_mailboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail.register(spark)
-    found = spark.read.format("mail").option("split", SPLIT).load(_mailboxes(spark, sf_dir))
+    folder = _mailboxes(spark, sf_dir)
+    found = spark.read.format("mail").option("split", _split(spark, folder)).load(folder)
     return found.select(F.regexp_extract("container", "/mailbox=([^/]+)/", 1).alias("mailbox"), F.sha2("raw", 256).alias("sha256"))
 
 
 @query(f"""SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 7 = 0 THEN 'damaged' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 7 <> 0 THEN sha256(raw) END AS sha256 FROM {_ORDERS} WHERE o_orderkey % 3 = 0""")
 def s22_range_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = mail.records(mail.files(spark, _mailboxes(spark, sf_dir)).withColumn("start", F.lit(0)), split=SPLIT)
+    folder = _mailboxes(spark, sf_dir)
+    stored = mail.records(mail.files(spark, folder).withColumn("start", F.lit(0)), split=_split(spark, folder))
     key = F.regexp_extract(F.col("raw").cast("string"), r"Message-ID: <M(\d+)@", 1).cast("long")
     places = cut(stored.select(key.alias("pk"), F.col("container").alias("filename"), F.col("position").alias("offset"), F.col("size").alias("length")))
     known = _framed(spark, sf_dir).select(F.col("position").cast("long").alias("pk"), F.when(F.col("position") % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("raw", 256)).alias("sha256"))
