@@ -46,9 +46,17 @@ def unescape_path(path: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """`512 B`, `1.5 KiB`, ... with one decimal."""
-    unit = lambda k, name: F.format_string(f"%.1f {name}", n / F.lit(float(1024**k)))
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024**2, unit(1, "KiB")).when(n < 1024**3, unit(2, "MiB")).otherwise(unit(3, "GiB"))
+    """`512 B`, `1.5 KiB`, ... with one decimal, halves to the even one; in whole numbers, as Spark's `%.1f` takes halves up."""
+    n = n.cast("long")
+
+    def unit(k: int, name: str) -> Column:
+        size = F.lit(1024**k)
+        tenths, left = F.floor(F.pmod(n, size) * 10 / size), F.pmod(F.pmod(n, size) * 10, size)
+        up = (left * 2 > size) | ((left * 2 == size) & (tenths % 2 == 1))
+        tenths = F.floor(n / size) * 10 + tenths + up.cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}"))
+
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, unit(1, "KiB")).when(n < 1024**3, unit(2, "MiB")).otherwise(unit(3, "GiB"))
 
 
 def path_year(path: Column) -> Column:
