@@ -155,10 +155,10 @@ def review_files(cases: DataFrame, variants: DataFrame) -> DataFrame:
     changed = F.raise_error(F.concat(F.lit("changed since it was indexed: "), F.col("reference"))).cast("binary")
     same = (F.sha2("raw", 256) == F.col("sha256")) & F.coalesce(F.col("m.semantic_sha256") == F.col("semantic"), F.lit(False))
     n = F.row_number().over(Window.partitionBy("case_number", "role").orderBy("reference", "pk"))
-    folder = F.concat(F.lit("case-"), F.lpad(F.col("case_number").cast("string"), 2, "0"), F.lit("-h3-"), F.left("semantic", F.lit(16)))
+    folder = F.concat(F.lit("case-"), F.format_string("%02d", "case_number"), F.lit("-h3-"), F.left("semantic", F.lit(16)))
     place, first = (F.when(F.col("role") == "cache", REVIEW_FOLDERS["cache"][k]).otherwise(REVIEW_FOLDERS["archive"][k]) for k in (0, 1))
     which = F.when(F.col("role") == "cache", "").otherwise(F.concat(F.lit("-message-"), F.col("pk").cast("string")))
-    name = F.concat(folder, F.lit("/"), place, F.lit("/"), first, F.lit("-"), F.lpad(n.cast("string"), 3, "0"), which, F.lit("-h2-"), F.left("sha256", F.lit(16)), F.lit(".eml"))
+    name = F.concat(folder, F.lit("/"), place, F.lit("/"), first, F.lit("-"), F.format_string("%03d", n), which, F.lit("-h2-"), F.left("sha256", F.lit(16)), F.lit(".eml"))
     return now.select("case_number", "role", name.alias("file"), "reference", "sha256", F.length("raw").cast("long").alias("byte_length"), F.when(same, F.col("raw")).otherwise(changed).alias("raw"))
 
 

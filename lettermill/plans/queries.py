@@ -520,7 +520,7 @@ def k05_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lettermill.sources.sinks import split_rows
 
     d = table(spark, sf_dir, "documents")
-    rows = d.select("doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit(":"), F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source"), 256)).alias("id"))
+    rows = d.select("doc_id", F.concat(F.format_string("%05d", F.col("doc_id")), F.lit(":"), F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "source"), 256)).alias("id"))
     return split_rows(rows, "doc_id", 400)
 
 
