@@ -96,11 +96,11 @@ def i09_signature_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.facts(_evidence(spark, sf_dir))
 
 
-#: Bodies of all four rules and of none, by number; quoted text and long texts before and after.
+#: Bodies of all four rules and of none, by number; quoted text and long texts before and after. No line is a number alone where no block must be: seven digits are a telephone number.
 _BODY = """CASE {k} % 7 WHEN 0 THEN concat('Hi', chr(10), repeat(concat('line', chr(10)), 40), '--', chr(10), 'Ann Bee', chr(10), chr(10), {k}, chr(10), '> quoted', chr(10), '--', chr(10), 'Not seen')
 WHEN 1 THEN concat('Hi', chr(10), 'Sent from my phone ', {k}, chr(10), chr(10), 'On Monday X wrote:', chr(10), 'call 555 123 4567')
 WHEN 2 THEN concat('Hi', chr(10), 'Regards,', chr(10), chr(10), 'Bo ', chr(9), 'Li', chr(10), 'www.Example.org/', {k}, '.', chr(10), chr(10), 'bye')
-WHEN 3 THEN concat('Hi', chr(13), chr(10), 'Thanks', chr(10), 'Cy Di', chr(10), 'x', {k}) WHEN 4 THEN concat('Hi', chr(10), '--', chr(10), '  ') WHEN 5 THEN concat('Thanks', chr(10), {k}) ELSE concat('From: x', chr(10), '--', chr(10), 'Ann') END"""
+WHEN 3 THEN concat('Hi', chr(13), chr(10), 'Thanks', chr(10), 'Cy Di', chr(10), 'x', {k}) WHEN 4 THEN concat('Hi', chr(10), '--', chr(10), '  ') WHEN 5 THEN concat('Thanks', chr(10), 'x', {k}) ELSE concat('From: x', chr(10), '--', chr(10), 'Ann') END"""
 
 
 @query(f"""SELECT o_orderkey AS pk, CASE o_orderkey % 7 WHEN 0 THEN 'delimiter' WHEN 1 THEN 'mobile-footer' WHEN 2 THEN 'contact-block' ELSE 'signoff' END AS kind, CASE o_orderkey % 7 WHEN 0 THEN 0.98 WHEN 1 THEN 0.97 WHEN 2 THEN 0.88 ELSE 0.64 END::DOUBLE AS confidence,
