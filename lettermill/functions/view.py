@@ -6,9 +6,7 @@ import base64
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from email import policy
 from email.message import Message
-from email.parser import BytesParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.charset import decode
 from lettermill.functions.html import sanitized
-from lettermill.functions.mail import header_text, is_attachment, part_text, raw_fields
+from lettermill.functions.mail import header_text, message, part_text, raw_fields
 from lettermill.functions.text import safe_filename
 from lettermill.operators.export import is_risky
 
@@ -45,17 +43,18 @@ def legacy_html(raw: bytes, m: Message) -> str | None:
 
 def show_message(raw: bytes, remote: bool = False) -> dict:
     """A row of SCHEMA. Parts have the role text, html, attachment or other; images of content ids are put into the html."""
-    m = BytesParser(policy=policy.compat32).parsebytes(raw)
+    m = message(raw)
     values: dict[bytes, list[bytes]] = defaultdict(list)
     for name, value in raw_fields(raw):
         values[name].append(value)
     seen: Counter = Counter()
+    charset = m.get_content_charset()
     headers = []
     for name in m.keys():
         key = name.lower().encode("utf-8", "surrogateescape")
         k = seen[key]
         seen[key] += 1
-        headers.append({"name": name, "occurrence": k, "value": header_text(values[key][k], m.get_content_charset())[0] if k < len(values[key]) else ""})
+        headers.append({"name": name, "occurrence": k, "value": header_text(values[key][k], charset)[0] if k < len(values[key]) else ""})
     leaves = [(k, p) for k, p in enumerate(m.walk()) if not p.is_multipart()]
     images = {}
     for _, p in leaves:
@@ -66,15 +65,16 @@ def show_message(raw: bytes, remote: bool = False) -> dict:
     parts = []
     for k, p in leaves:
         kind = p.get_content_type()
-        role = "attachment" if is_attachment(p) or kind.startswith("image/") or kind == "application/pdf" else {"text/plain": "text", "text/html": "html"}.get(kind, "other")
+        given, disposition = p.get_filename(), p.get_content_disposition()
+        role = "attachment" if disposition == "attachment" or given is not None or kind.startswith("image/") or kind == "application/pdf" else {"text/plain": "text", "text/html": "html"}.get(kind, "other")
         text, blocked = (None, False) if role in ("attachment", "other") else (part_text(p), False)
         if role == "html":
             text, blocked = sanitized(text, images, remote)
         if old is not None and role != "attachment":
             role, k = "html", LEGACY
             text, blocked = sanitized(old, images, remote)
-        name = header_text((p.get_filename() or "").encode("utf-8", "surrogateescape"))[0]
-        inline = p.get_content_disposition() == "inline" or p.get("Content-ID") is not None
+        name = header_text((given or "").encode("utf-8", "surrogateescape"))[0]
+        inline = disposition == "inline" or p.get("Content-ID") is not None
         parts.append({"part": k, "role": role, "mime_type": kind, "filename": name, "inline": inline, "text": text, "remote_blocked": blocked, "content": _content(p) if role == "attachment" else None})
     return {"headers": headers, "parts": parts}
 

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from email import policy
-from email.parser import BytesParser
-from email.utils import getaddresses
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +24,9 @@ def _one(raw: bytes, expected: str | None) -> tuple:
     digest = hashlib.sha256(raw).hexdigest()
     if expected is not None and expected != digest:
         raise ValueError("digest differs from the catalogue")
-    m = BytesParser(policy=policy.compat32).parsebytes(raw)
+    m = mail.message(raw)
     text = lambda v: mail.header_text(str(v).encode("utf-8", "surrogateescape"))[0].strip()
-    people = [{"role": role, "ordinal": k, "address": a.strip().casefold(), "display_name": text(name)} for role in ROLES for k, (name, a) in enumerate(getaddresses([str(v) for v in m.get_all(role, [])])) if a.strip()]
+    people = [{"role": role, "ordinal": k, "address": a.strip().casefold(), "display_name": text(name)} for role in ROLES for k, (name, a) in enumerate(mail.addresses(m.get_all(role, []))) if a.strip()]
     markers = [{"header": name.lower(), "ordinal": k, "value": text(v)} for name in MARKERS for k, v in enumerate(m.get_all(name, []))]
     return digest, people, markers, mail.preferred_text(m), None
 

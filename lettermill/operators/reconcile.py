@@ -151,7 +151,7 @@ def review_files(cases: DataFrame, variants: DataFrame) -> DataFrame:
     cases: (case_number, semantic); variants: (semantic, role, reference, pk, sha256, raw), raw as it is read now. One that no longer has its digests is an error.
     """
     held = variants.join(cases.select("case_number", "semantic"), "semantic")
-    now = parsed(held.withColumn("raw", F.coalesce("raw", F.lit(b""))), permissive=True)
+    now = parsed(held.withColumn("raw", F.coalesce("raw", F.lit(b""))), permissive=True, fields=("semantic_sha256",))
     changed = F.raise_error(F.concat(F.lit("changed since it was indexed: "), F.col("reference"))).cast("binary")
     same = (F.sha2("raw", 256) == F.col("sha256")) & F.coalesce(F.col("m.semantic_sha256") == F.col("semantic"), F.lit(False))
     n = F.row_number().over(Window.partitionBy("case_number", "role").orderBy("reference", "pk"))

@@ -10,6 +10,7 @@ from lettermill.operators import export, printed, provenance, quality
 from lettermill.plans import views as V
 from lettermill.plans.queries import query
 from lettermill.plans.views import table
+from lettermill.tables import dealt
 
 
 @query("""SELECT address, bool_or(sent) AS is_owner, count(DISTINCT original) AS spellings, NULL::VARCHAR AS fault FROM (
@@ -95,7 +96,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda kind, body: F.concat(F.lit(f"--b\nContent-Type: {kind}\n\n"), body, F.lit("\n"))
     html = F.when(F.col("o_orderkey") % 2 == 0, part("text/html", F.concat(F.lit("<p onclick='x'>"), key, F.lit("</p>")))).otherwise("")
     raw = F.concat(F.lit('Subject: s\nX-A: 1\nx-a: 2\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="b"\n\n'), part("text/plain", key), html, part("image/png; name=\"a b.png\"", key), F.lit("--b--\n"))
-    return view.shown(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pk"), raw.cast("binary").alias("raw")))
+    return view.shown(dealt(table(spark, sf_dir, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("pk"), raw.cast("binary").alias("raw")))
 
 
 @query("SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS preferred, CAST(5 AS BIGINT) AS headers, 1 AS last_x_a FROM orders")

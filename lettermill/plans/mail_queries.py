@@ -13,7 +13,7 @@ from lettermill.operators import identity, quality, verify
 from lettermill.plans.queries import query
 from lettermill.plans.views import table
 from lettermill.sources import containers, sinks
-from lettermill.tables import shared_folder, spread
+from lettermill.tables import cut, dealt, shared_folder
 
 #: A message of each order, in SQL that both engines read alike but for the date's format.
 _RAW = """concat('From: Ann <C', o_custkey, '@Example.org>', chr(10), 'To: s1@example.net, S1@example.net', chr(10), 'Subject:  order', chr(10), ' ', o_orderpriority, chr(10),
@@ -25,14 +25,14 @@ _ENVELOPE = "concat('From c', o_custkey, '@example.org ', strftime(o_orderdate -
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr(_RAW.format(date="date_format(o_orderdate, 'EEE, dd MMM yyyy HH:mm:ss')"))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))
     return orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", raw.cast("binary").alias("raw"))
 
 
 @query(f"""SELECT o_orderkey, 'm' || o_orderkey || '@example.org' AS message_id, sha256(raw) AS sha256, 'c' || o_custkey || '@example.org' AS sender, 's1@example.net/to' AS recipients,
 'order ' || o_orderpriority AS subject, o_orderdate - INTERVAL 1 HOUR AS date, 'date' AS date_source, 'Dear ' || o_orderstatus || chr(10) || 'From here' || chr(10) AS body, 0 AS defects FROM {_ORDERS}""")
 def p01_parsed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mail.with_date(mail.parsed(_messages(spark, sf_dir)))
+    found = mail.with_date(mail.parsed(_messages(spark, sf_dir), fields=("message_id", "sha256", "sender", "recipients", "subject", "own_date", "received", "body_date", "body", "defects")))
     people = F.array_join(F.transform("m.recipients", lambda r: F.concat(r["address"], F.lit("/"), r["role"])), ",")
     return found.select("o_orderkey", "m.message_id", "m.sha256", "m.sender", people.alias("recipients"), "m.subject", F.col("own_date").alias("date"), "date_source", "m.body", F.size("m.defects").alias("defects"))
 
@@ -44,7 +44,7 @@ _SEMANTIC = """sha256(concat('lettermill/hash/semantic/v1', chr(0), 'from:Ann <C
 
 @query(f"SELECT o_orderkey, {_SEMANTIC} AS semantic FROM {_ORDERS}")
 def i30_semantic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mail.parsed(_messages(spark, sf_dir)).select("o_orderkey", F.col("m.semantic_sha256").alias("semantic"))
+    return mail.parsed(_messages(spark, sf_dir), fields=("semantic_sha256",)).select("o_orderkey", F.col("m.semantic_sha256").alias("semantic"))
 
 
 def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,9 @@ def s05_mailbox_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT mailbox, ordinal, CASE WHEN o_orderkey % 7 = 0 THEN 'raw hash mismatch' ELSE 'missing record' END AS fault FROM (SELECT mailbox, o_orderkey, CAST(row_number() OVER (PARTITION BY mailbox ORDER BY o_orderkey) AS INTEGER) AS ordinal FROM {_STORED}) WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""")
 def v01_record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _framed(spark, sf_dir)
-    hashed = mail.parsed(r).select("position", "m.sha256", "m.semantic_sha256")
-    placed = r.join(sinks.locations(r).select("mailbox", "position", "ordinal"), ["mailbox", "position"]).join(hashed, "position")
+    hashed = mail.parsed(_framed(spark, sf_dir), fields=("sha256", "semantic_sha256"))
+    r = cut(hashed.select("mailbox", "position", "record", "m.sha256", "m.semantic_sha256"))
+    placed = r.join(sinks.locations(r).select("mailbox", "position", "ordinal"), ["mailbox", "position"])
     touched = placed.filter("position % 11 <> 0 OR position % 7 = 0").select("mailbox", "ordinal", F.when(F.col("position") % 7 == 0, F.concat("record", F.lit(b"x"))).otherwise(F.col("record")).alias("record"))
     return verify.record_faults(placed.select("mailbox", "ordinal", "sha256", "semantic_sha256"), touched)
 
@@ -82,7 +82,7 @@ _SIGNED = "'Hello' || chr(10) || chr(10) || '-- ' || chr(10) || 'Ann Bee' || chr
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.evidence(spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("pk"), F.expr(_SIGNED).alias("body")))
+    return identity.evidence(dealt(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("pk"), F.expr(_SIGNED).alias("body")))
 
 
 _FACTS = """SELECT pk, ordinal, line, kind, value, normalized, confidence FROM (SELECT c_custkey AS pk, unnest(range(0, 6))::INTEGER AS ordinal, unnest([0, 0, 1, 1, 2, 2])::INTEGER AS line, unnest(['text', 'name-candidate', 'text', 'email', 'text', 'phone']) AS kind,
@@ -107,7 +107,7 @@ WHEN 3 THEN concat('Hi', chr(13), chr(10), 'Thanks', chr(10), 'Cy Di', chr(10),
 CASE o_orderkey % 7 WHEN 0 THEN 42 ELSE 1 END AS start_line, CASE o_orderkey % 7 WHEN 0 THEN 44 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 3 END AS end_line,
 CASE o_orderkey % 7 WHEN 0 THEN 'Ann Bee|' || o_orderkey WHEN 1 THEN 'Sent from my phone ' || o_orderkey WHEN 2 THEN 'Regards,|Bo ' || chr(9) || 'Li|www.Example.org/' || o_orderkey || '.' ELSE 'Thanks|Cy Di|x' || o_orderkey END AS lines FROM orders WHERE o_orderkey % 7 < 4""")
 def i10_signature_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey"))
     found = identity.evidence(o.select(F.col("o_orderkey").alias("pk"), F.expr(_BODY.format(k="o_orderkey")).alias("body")))
     return found.withColumn("lines", F.array_join("lines", "|"))
 
@@ -179,7 +179,7 @@ def i19_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         return s.map(lambda x: mail.html_text(x or ""))
 
     text = F.pandas_udf(run, "string")
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text("html").alias("text"))
+    return dealt(table(spark, sf_dir, "pages").select("page_id", "html"), 2_000).select("page_id", text("html").alias("text"))
 
 
 @query()
@@ -188,4 +188,4 @@ def i20_safe_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([html.sanitized(x or "") for x in s], columns=["html", "blocked"])
 
     safe = F.pandas_udf(run, "html string, blocked boolean")
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", safe("html").alias("s")).select("page_id", "s.html", "s.blocked")
+    return dealt(table(spark, sf_dir, "pages").select("page_id", "html"), 2_000).select("page_id", safe("html").alias("s")).select("page_id", "s.html", "s.blocked")

@@ -40,6 +40,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(scan: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A scan for Python that costs alike for each row: dealt out evenly to tasks of at most `rows`, one for each core at least. Row groups of Parquet need not be even, nor more than the cores."""
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-scan.count() // rows)))
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A plain scan for work that costs far more than reading: a table in fewer splits than there are cores is dealt out once; larger ones are left as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
