@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lettermill.functions.storage import canonical_json, strict_json
 from lettermill.operators.verify import record_faults
 from lettermill.sources import sinks
+from lettermill.tables import cut
 
 # Digest lengths, what each standard is of, its input and canonical form, the heads of the table, and the standards that every manifest has.
 ALGORITHMS = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128}
@@ -102,6 +103,7 @@ def manifest_lines(records: DataFrame, files: DataFrame, prefix: str = ID_PREFIX
 
 def write_manifests(lines: DataFrame, path: str) -> None:
     """A folder for each mailbox, whose part files in order of their names are its manifest; nothing is overwritten."""
+    lines = cut(lines)  # the bounds of the ranges are of these rows
     lines.repartitionByRange("mailbox", "at").sortWithinPartitions("mailbox", "at").select("mailbox", F.col("line").alias("value")).write.mode("errorifexists").partitionBy("mailbox").text(path)
 
 

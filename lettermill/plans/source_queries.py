@@ -145,7 +145,7 @@ v AS (SELECT n, h3, h2, 'cache' AS role, 'a' AS place, o_orderkey FROM c UNION A
 SELECT CAST(n AS INTEGER) AS case_number, role, 'case-' || lpad(CAST(n AS VARCHAR), 2, '0') || '-h3-' || left(h3, 16) || CASE role WHEN 'cache' THEN '/apple-cache/cache-001-h2-' || left(h2, 16) ELSE '/canonical-archive/archive-001-message-' || o_orderkey || '-h2-' || left(h2, 16) END || '.eml' AS file, h2 AS sha256 FROM v""")
 def k22_review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty of some orders as review cases: a cached message each, and the archive's with one more header field."""
-    m = mailfn.parsed(_orders(spark, sf_dir).filter("pk % 100 = 7")).select("pk", "raw", F.col("m.semantic_sha256").alias("semantic"))
+    m = mailfn.parsed(_orders(spark, sf_dir).filter("pk % 100 = 7"), fields=("semantic_sha256",)).select("pk", "raw", F.col("m.semantic_sha256").alias("semantic"))
     first = m.orderBy("pk").limit(20).select("semantic", F.row_number().over(Window.orderBy("pk")).alias("case_number"))  # twenty rows
     cache = m.select("semantic", F.lit("cache").alias("role"), F.concat(F.lit("o"), F.col("pk").cast("string")).alias("reference"), F.lit(None).cast("long").alias("pk"), F.sha2("raw", 256).alias("sha256"), "raw")
     seen = F.replace(F.col("raw").cast("string"), F.lit("To:"), F.lit("X-Seen: 1\nTo:")).cast("binary")
@@ -159,7 +159,8 @@ def k22_review_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY o_orderkey) AS n, {_SEMANTIC} AS semantic FROM {_STORED})""")
 def k04_integrity_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of all mailboxes' manifests, written and read again."""
-    records = mailfn.parsed(_framed(spark, sf_dir)).select("mailbox", "position", "record", "m.message_id", "m.sha256", "m.semantic_sha256")
+    found = mailfn.parsed(_framed(spark, sf_dir), fields=("message_id", "sha256", "semantic_sha256"))
+    records = cut(found.select("mailbox", "position", "record", "m.message_id", "m.sha256", "m.semantic_sha256"))
     files = records.groupBy("mailbox").agg(F.sum(F.length("record") + 1).alias("bytes"), F.lit("0" * 64).alias("sha256"))
     folder = _folder(spark, "manifests")
     manifests.write_manifests(manifests.manifest_lines(records, files), folder)
