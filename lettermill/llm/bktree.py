@@ -410,11 +410,20 @@ def _exact_links(docs: DataFrame, group: DataFrame, sizes: DataFrame, similarity
     return in_arrow(rows.repartition(parts(spark), "cell").sortWithinPartitions("cell", "id", "digest"), "bktree", search, "a long, b long")
 
 
+def fingerprint_links(found: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): ids of rows (id, fp) that the BK-trees link; rows of one fingerprint are linked with their smallest id."""
+    found = cut(found.distinct())
+    same = cut(found.groupBy("fp").agg(F.min("id").alias("first")))
+    copies = found.join(same, "fp").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return copies.unionByName(links(same.select(F.col("first").alias("id"), "fp"), radius))
+
+
 def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, component): the ids that have a near copy with a smaller id, and the smallest id of their group.
 
     Texts are near copies if the exact Jaccard similarity of their sets of five-word shingles is `similarity` or more.
-    Texts that share a band of least hashes are candidates; groups connected by them are compared by their whole sets.
+    Texts whose fingerprints the BK-trees link, and those that share a band of least hashes, are candidates; groups connected
+    by them are compared by their whole sets.
     Texts with equal sets are one class first. Null text: as empty; empty texts are alike. Null id: NULL_ID. Rows of one
     id are one document.
     """
@@ -425,14 +434,16 @@ def near_groups(docs: DataFrame, similarity: float = 0.8, group_rows: int = GROU
             sets = [shingle_set(x) for x in b.column("text").to_pylist()]
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), np.int64).reshape(-1, 2)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), keys], names=["id", "c1", "c2", "size", "keys"])
+            fps = pa.array([majority(shingle_hashes(t, 3)) for t in b.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), keys, fps], names=["id", "c1", "c2", "size", "keys", "fp"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("text"))
-    found = cut(in_arrow(rows, "bktree", run, "id long, c1 long, c2 long, size long, keys array<long>"))
+    found = cut(in_arrow(rows, "bktree", run, "id long, c1 long, c2 long, size long, keys array<long>, fp long"))
     classes = cut(found.groupBy("c1", "c2", "size", "keys").agg(F.min("id").alias("id")))
     keyed = classes.select("id", F.explode("keys").alias("key"))
     leaders = cut(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first"))
-    candidates = components(keyed.join(leaders, "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    banded = keyed.join(leaders, "key").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    candidates = components(fingerprint_links(found.join(classes.select("id"), "id", "left_semi").select("id", "fp")).unionByName(banded))
     group = candidates.unionByName(candidates.select(F.col("component").alias("id"), "component").distinct())
     sizes = found.select("id", "c1", "c2", "size").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("size"))
     joined = components(_exact_links(docs, group, sizes, similarity, group_rows))
