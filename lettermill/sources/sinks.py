@@ -73,7 +73,7 @@ def locations(records: DataFrame) -> DataFrame:
     from lettermill.tables import cut
 
     lengths = records.select("mailbox", "position", F.length("record").cast("long").alias("byte_length"))
-    placed = cut(lengths.repartitionByRange(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mailbox", "position").withColumn("_part", F.spark_partition_id()))
+    placed = cut(cut(lengths).repartitionByRange(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mailbox", "position").withColumn("_part", F.spark_partition_id()))
     # a mailbox may fill many ranges: each is summed on its own, then come the sums of those before it
     before = Window.partitionBy("mailbox").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("mailbox", "_part").agg(F.sum(F.col("byte_length") + 1).alias("b"), F.count(F.lit(1)).alias("n"))
@@ -86,7 +86,10 @@ def locations(records: DataFrame) -> DataFrame:
 
 def write_mailboxes(records: DataFrame, path: str) -> None:
     """A folder for each mailbox; its part files, put together in order of their names, are the mailbox. Nothing is overwritten."""
-    ordered = records.repartitionByRange("mailbox", "position").sortWithinPartitions("mailbox", "position")
+    from lettermill.tables import cut
+
+    # the bounds of ranges need a look at the rows, which are not made twice for it
+    ordered = cut(records.select("mailbox", "position", "record")).repartitionByRange("mailbox", "position").sortWithinPartitions("mailbox", "position")
     ordered.select("mailbox", F.col("record").cast("string").alias("value")).write.mode("errorifexists").partitionBy("mailbox").text(path)
 
 
