@@ -59,22 +59,23 @@ def records(containers: DataFrame, permissive: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("container", pa.string()), ("kind", pa.string()), ("position", pa.int64()), ("raw", pa.binary()), ("envelope", pa.binary()), ("rule", pa.string()), ("source_sha256", pa.string()), ("exclusion", pa.string()), ("error", pa.string())])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        held, size = [], 0  # of several containers: many hold a few records
         for b in batches:
             for row in b.to_pylist():
-                held, size = [], 0
                 try:
                     for r in framing.records(row["kind"], row["content"], row.get("start") or 0):
                         held.append((row["path"], row["kind"], r.position, r.raw, r.envelope, r.rule, r.source_sha256, r.exclusion, None))
                         size += len(r.raw)
-                        if size > 8 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                        if size > 8 << 20 or len(held) == 10_000:
+                            yield batch(held)
                             held, size = [], 0
                 except ValueError as e:
                     if not permissive:
                         raise
                     held.append((row["path"], row["kind"], None, None, None, None, None, None, str(e)))
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        if held:
+            yield batch(held)
 
     cols = ["path", "kind", "content", *(["start"] if has_start else [])]
     return containers.filter("content IS NOT NULL").select(*cols).mapInArrow(run, RECORD)
