@@ -47,9 +47,12 @@ def i30_semantic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.parsed(_messages(spark, sf_dir), fields=("semantic_sha256",)).select("o_orderkey", F.col("m.semantic_sha256").alias("semantic"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select(F.col("o_orderkey").alias("position"), F.col("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "P", "INFECTED").otherwise("Archive").alias("category"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.org")).alias("sender"), "raw", F.col("o_custkey").alias("owner"))
+
+
 def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _messages(spark, sf_dir).select(F.col("o_orderkey").alias("position"), F.col("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "P", "INFECTED").otherwise("Archive").alias("category"), F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@example.org")).alias("sender"), "raw", F.col("o_custkey").alias("owner"))
-    return sinks.framed(m)
+    return sinks.framed(_placed(spark, sf_dir))
 
 
 _STORED = f"(SELECT *, {_ENVELOPE} || replace(raw, chr(10) || 'From here', chr(10) || '>From here') AS record, CASE WHEN o_orderstatus = 'P' THEN 'INFECTED1.mbox' ELSE year(o_orderdate) || '-Archive1.mbox' END AS mailbox FROM {_ORDERS})"

@@ -11,7 +11,7 @@ from lettermill.functions import mail as mailfn
 from lettermill.functions import render
 from lettermill.operators import archive, controls, manifests, printed, reconcile, reports, segments
 from lettermill.plans import views as V
-from lettermill.plans.mail_queries import _ORDERS, _SEMANTIC, _STORED, _framed, _messages
+from lettermill.plans.mail_queries import _ORDERS, _SEMANTIC, _STORED, _framed, _messages, _placed
 from lettermill.plans.queries import PADDED, query
 from lettermill.sources import mail, prepare, sinks, versions
 from lettermill.streaming import dates
@@ -49,7 +49,7 @@ def s22_range_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mail.records(mail.files(spark, folder).withColumn("start", F.lit(0)), split=_split(spark, folder))
     key = F.regexp_extract(F.col("raw").cast("string"), r"Message-ID: <M(\d+)@", 1).cast("long")
     places = cut(stored.select(key.alias("pk"), F.col("container").alias("filename"), F.col("position").alias("offset"), F.col("size").alias("length")))
-    known = _framed(spark, sf_dir).select(F.col("position").cast("long").alias("pk"), F.when(F.col("position") % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("raw", 256)).alias("sha256"))
+    known = _placed(spark, sf_dir).select(F.col("position").cast("long").alias("pk"), F.when(F.col("position") % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("raw", 256)).alias("sha256"))
     found = places.filter("pk % 3 = 0").join(known, "pk").withColumn("status", F.lit("ok"))
     return archive.read_ranges(found).select("pk", "status", F.sha2("raw", 256).alias("sha256"))
 
@@ -105,7 +105,7 @@ def k12_segmented_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s28_prepared_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders' mailboxes but the quarantined one, split into messages; as many as there are orders of the others, or nothing is published."""
     root = _folder(spark, "prepared")
-    expected = _framed(spark, sf_dir).filter("mailbox <> 'INFECTED1.mbox'").count()
+    expected = _placed(spark, sf_dir).filter(sinks.mailbox_name(F.col("date"), F.col("category")) != "INFECTED1.mbox").count()
     prepare.prepare(spark, _mailboxes(spark, sf_dir), root, "messages", include=("**/part-*",), exclude=("mailbox=INFECTED1.mbox/*",), expected=expected)
     return versions.read(spark, root, "prepared").select(F.regexp_extract("source", "/mailbox=([^/]+)/", 1).alias("mailbox"), F.sha2("raw", 256).alias("sha256"), "form")
 
