@@ -90,7 +90,10 @@ def relations(messages: DataFrame) -> dict[str, DataFrame]:
 
 def merge(messages: DataFrame, shard: str, root: str) -> None:
     """Evidence of one shard's messages into the tables below root: what a shard had before is replaced, so that a run may be repeated; other shards aren't touched."""
-    for name, rows in relations(messages).items():
+    tables = relations(messages)
+    tables["signature_blocks"] = cut(tables["signature_blocks"])  # found once, for themselves and for the facts in them
+    tables["signature_facts"] = facts(tables["signature_blocks"])
+    for name, rows in tables.items():
         # a shard without rows leaves nothing behind either: it gets one row of nulls, which `read` passes over
         marked = rows.withColumn("shard", F.lit(shard))
         spark = rows.sparkSession
