@@ -14,21 +14,23 @@ _OUT = "container string, position long, date string, date_source string"
 
 
 def _carry(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs)).sort_values("position", kind="stable")
+    # a container has a few rows in a batch: plain lists cost less than frames of them
+    rows = sorted((row for p in pdfs for row in zip(p["position"].tolist(), p["own_date"].tolist(), p["path_year"].tolist(), strict=True)), key=lambda row: row[0])
     last, cursor = state.get if state.exists else (None, None)
-    if cursor is not None and rows["position"].iloc[0] <= cursor:  # the container is read anew
+    if cursor is not None and rows[0][0] <= cursor:  # the container is read anew
         last = cursor = None
-    own = rows["own_date"].where(rows["own_date"].notna(), None)
-    source = pd.Series("date", index=rows.index).where(own.notna(), "previous-message")
-    given = own.copy()
-    if cursor is None and own.iloc[0] is None:
-        source.iloc[0] = "path-year"
-        given.iloc[0] = f"{int(rows['path_year'].iloc[0]):04d}-01-01 00:00:00"
-    elif given.iloc[0] is None:
-        given.iloc[0] = last
-    date = given.ffill()
-    state.update((date.iloc[-1], int(rows["position"].iloc[-1])))
-    yield pd.DataFrame({"container": key[0], "position": rows["position"], "date": date, "date_source": source})
+    dates, sources = [], []
+    for position, own, year in rows:
+        if isinstance(own, str):
+            last, source = own, "date"
+        elif cursor is None and not dates:
+            last, source = f"{int(year):04d}-01-01 00:00:00", "path-year"
+        else:
+            source = "previous-message"
+        dates.append(last)
+        sources.append(source)
+    state.update((last, int(rows[-1][0])))
+    yield pd.DataFrame({"container": key[0], "position": [row[0] for row in rows], "date": dates, "date_source": sources})
 
 
 def carried(stream: DataFrame) -> DataFrame:
