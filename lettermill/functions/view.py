@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from email.message import Message
 
 import pyarrow as pa
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.charset import decode
 from lettermill.functions.html import sanitized
-from lettermill.functions.mail import header_text, message, part_text, raw_fields
+from lettermill.functions.mail import Simple, header_text, message, part_text, raw_fields
 from lettermill.functions.text import safe_filename
 from lettermill.operators.export import is_risky
 
+#: What of a message is shown: its headers, and parts of these roles.
+SHOWN = ("headers", "text", "html", "attachment", "other")
 #: Numbers that stand for the whole source and for a body that is one x-html element.
 RAW, LEGACY = -1, -2
 X_HTML = re.compile(rb"[ \t\r\n]*<x-html>[ \t\r\n]*(.*?)[ \t\r\n]*</x-html>[ \t\r\n]*", re.I | re.S)
@@ -41,9 +44,9 @@ def legacy_html(raw: bytes, m: Message) -> str | None:
     return decode(found[1], m.get_content_charset())[0] if found else None
 
 
-def show_message(raw: bytes, remote: bool = False) -> dict:
-    """A row of SCHEMA. Parts have the role text, html, attachment or other; images of content ids are put into the html."""
-    m = message(raw)
+def _headers(raw: bytes, m: Message) -> list[tuple[str, int, str]]:
+    if isinstance(m, Simple):
+        return m.head.texts
     values: dict[bytes, list[bytes]] = defaultdict(list)
     for name, value in raw_fields(raw):
         values[name].append(value)
@@ -54,10 +57,16 @@ def show_message(raw: bytes, remote: bool = False) -> dict:
         key = name.lower().encode("utf-8", "surrogateescape")
         k = seen[key]
         seen[key] += 1
-        headers.append({"name": name, "occurrence": k, "value": header_text(values[key][k], charset)[0] if k < len(values[key]) else ""})
+        headers.append((name, k, header_text(values[key][k], charset)[0] if k < len(values[key]) else ""))
+    return headers
+
+
+def show_message(raw: bytes, remote: bool = False, only: Collection[str] = SHOWN) -> tuple[list[tuple], list[tuple]]:
+    """A row of SCHEMA, its structs as tuples. Parts have the role text, html, attachment or other; images of content ids are put into the html. What isn't in `only` is not read."""
+    m = message(raw)
     leaves = [(k, p) for k, p in enumerate(m.walk()) if not p.is_multipart()]
     images = {}
-    for _, p in leaves:
+    for _, p in leaves if "html" in only else ():
         cid = str(p.get("Content-ID", "")).strip("<>")
         if cid and p.get_content_maintype() == "image":
             images[cid] = f"data:{p.get_content_type()};base64,{base64.b64encode(_content(p)).decode('ascii')}"
@@ -67,20 +76,30 @@ def show_message(raw: bytes, remote: bool = False) -> dict:
         kind = p.get_content_type()
         given, disposition = p.get_filename(), p.get_content_disposition()
         role = "attachment" if disposition == "attachment" or given is not None or kind.startswith("image/") or kind == "application/pdf" else {"text/plain": "text", "text/html": "html"}.get(kind, "other")
-        text, blocked = (None, False) if role in ("attachment", "other") else (part_text(p), False)
+        legacy = old is not None and role != "attachment"
+        if legacy:
+            role, k = "html", LEGACY
+        if role not in only:
+            continue
+        text, blocked = (None, False) if role in ("attachment", "other") else (old if legacy else part_text(p), False)
         if role == "html":
             text, blocked = sanitized(text, images, remote)
-        if old is not None and role != "attachment":
-            role, k = "html", LEGACY
-            text, blocked = sanitized(old, images, remote)
-        name = header_text((given or "").encode("utf-8", "surrogateescape"))[0]
+        name = header_text(given.encode("utf-8", "surrogateescape"))[0] if given else ""
         inline = disposition == "inline" or p.get("Content-ID") is not None
-        parts.append({"part": k, "role": role, "mime_type": kind, "filename": name, "inline": inline, "text": text, "remote_blocked": blocked, "content": _content(p) if role == "attachment" else None})
-    return {"headers": headers, "parts": parts}
+        parts.append((k, role, kind, name, inline, text, blocked, _content(p) if role == "attachment" else None))
+    return _headers(raw, m) if "headers" in only else [], parts
+
+
+def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    """Lists of tuples as lists of structs, built by columns, as Arrow takes far longer over a dict for each struct."""
+    flat = list(itertools.chain.from_iterable(rows))
+    columns = zip(*flat, strict=True) if flat else [()] * kind.value_type.num_fields
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(itertools.accumulate(map(len, rows), initial=0), pa.int32()), structs, type=kind)
 
 
-def shown(records: DataFrame, raw: str = "raw", remote: bool = False) -> DataFrame:
-    """records with `v`, a struct of SCHEMA. Null bytes: null. remote: remote images stay in html."""
+def shown(records: DataFrame, raw: str = "raw", remote: bool = False, only: Collection[str] = SHOWN) -> DataFrame:
+    """records with `v`, a struct of SCHEMA. Null bytes: null. remote: remote images stay in html. only: whether headers are read, and parts of which roles; the others are left out."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
@@ -89,7 +108,10 @@ def shown(records: DataFrame, raw: str = "raw", remote: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("v", pa.array([None if x is None else show_message(bytes(x), remote) for x in b.column(raw).to_pylist()], arrow))
+            data = b.column(raw).to_pylist()
+            found = [([], []) if x is None else show_message(bytes(x), remote, only) for x in data]
+            columns = [_lists([x[k] for x in found], f.type) for k, f in enumerate(arrow)]
+            yield b.append_column("v", pa.StructArray.from_arrays(columns, fields=list(arrow), mask=pa.array([x is None for x in data], pa.bool_())))
 
     return records.mapInArrow(run, StructType([*records.schema.fields, StructType().add("v", kind)["v"]]))
 
