@@ -108,4 +108,4 @@ def p12_message_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS pk, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS part, 'a_b.png' AS filename, 'image/png' AS mime_type, CAST(length(CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS bytes,
 FALSE AS inline, 'image' AS preview, FALSE AS risky, base64(encode(CAST(o_orderkey AS VARCHAR))) AS content_base64 FROM orders""")
 def p21_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.attachments(_mixed(spark, sf_dir, *view.SHOWN), "pk")
+    return view.attachments(_mixed(spark, sf_dir, "attachment"), "pk")
