@@ -6,7 +6,7 @@ import base64
 import itertools
 import re
 from collections import Counter, defaultdict
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from email.message import Message
 
 import pyarrow as pa
@@ -91,11 +91,14 @@ def show_message(raw: bytes, remote: bool = False, only: Collection[str] = SHOWN
 
 
 def _lists(rows: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
-    """Lists of tuples as lists of structs, built by columns, as Arrow takes far longer over a dict for each struct."""
-    flat = list(itertools.chain.from_iterable(rows))
+    return struct_lists(list(itertools.chain.from_iterable(rows)), map(len, rows), kind)
+
+
+def struct_lists(flat: list[tuple], lengths: Iterable[int], kind: pa.ListType) -> pa.ListArray:
+    """Tuples as lists of structs, of these lengths, built by columns, as Arrow takes far longer over a dict for each struct."""
     columns = zip(*flat, strict=True) if flat else [()] * kind.value_type.num_fields
     structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
-    return pa.ListArray.from_arrays(pa.array(itertools.accumulate(map(len, rows), initial=0), pa.int32()), structs, type=kind)
+    return pa.ListArray.from_arrays(pa.array(itertools.accumulate(lengths, initial=0), pa.int32()), structs, type=kind)
 
 
 def shown(records: DataFrame, raw: str = "raw", remote: bool = False, only: Collection[str] = SHOWN) -> DataFrame:

@@ -6,15 +6,18 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions import mail, signature
+from lettermill.functions.view import struct_lists
 from lettermill.tables import cut
 
 # The header fields with people, and those that mark list and automatic mail.
 ROLES = ("from", "to", "cc", "bcc")
 MARKERS = ("List-Id", "List-Post", "List-Unsubscribe", "Mailing-List", "Precedence", "Auto-Submitted", "X-BeenThere", "Sender", "Reply-To")
+_MARKERS = tuple(map(str.lower, MARKERS))
+_pick = mail.picker((*ROLES, *_MARKERS))
 _PERSON = pa.struct([("role", pa.string()), ("ordinal", pa.int32()), ("address", pa.string()), ("display_name", pa.string())])
 _MARKER = pa.struct([("header", pa.string()), ("ordinal", pa.int32()), ("value", pa.string())])
 PARSED = "pk long, sha256 string, people array<struct<role: string, ordinal: int, address: string, display_name: string>>, markers array<struct<header: string, ordinal: int, value: string>>, body string, error string"
@@ -24,11 +27,16 @@ def _one(raw: bytes, expected: str | None) -> tuple:
     digest = hashlib.sha256(raw).hexdigest()
     if expected is not None and expected != digest:
         raise ValueError("digest differs from the catalogue")
-    m = mail.message(raw)
+    if (picked := _pick(raw)) is not None:
+        found, body = picked
+        values, body = (lambda name: found.get(name, ())), mail.decode(body)[0]
+    else:
+        m = mail.message(raw)
+        values, body = (lambda name: m.get_all(name, [])), mail.preferred_text(m)
     text = lambda v: mail.header_text(str(v).encode("utf-8", "surrogateescape"))[0].strip()
-    people = [{"role": role, "ordinal": k, "address": a.strip().casefold(), "display_name": text(name)} for role in ROLES for k, (name, a) in enumerate(mail.addresses(m.get_all(role, []))) if a.strip()]
-    markers = [{"header": name.lower(), "ordinal": k, "value": text(v)} for name in MARKERS for k, v in enumerate(m.get_all(name, []))]
-    return digest, people, markers, mail.preferred_text(m), None
+    people = [(role, k, a.strip().casefold(), text(name) if name else "") for role in ROLES for k, (name, a) in enumerate(mail.addresses(values(role))) if a.strip()]
+    markers = [(name, k, text(v)) for name in _MARKERS for k, v in enumerate(values(name))]
+    return digest, people, markers, body, None
 
 
 def extracted(messages: DataFrame) -> DataFrame:
@@ -37,14 +45,20 @@ def extracted(messages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            digests, people, markers, bodies, errors, n_people, n_markers = ([] for _ in range(7))
             for raw, expected in zip(b.column("raw").to_pylist(), b.column("expected").to_pylist(), strict=True):
                 try:
-                    out.append(_one(raw or b"", expected))
+                    digest, p, m, body, error = _one(raw or b"", expected)
                 except Exception as e:  # noqa: BLE001  of any kind: the row tells which
-                    out.append((expected, [], [], None, f"{type(e).__name__}: {e}"))
-            digests, people, markers, bodies, errors = zip(*out, strict=True) if out else ([],) * 5
-            columns = [b.column("pk"), pa.array(digests, pa.string()), pa.array(people, pa.list_(_PERSON)), pa.array(markers, pa.list_(_MARKER)), pa.array(bodies, pa.string()), pa.array(errors, pa.string())]
+                    digest, p, m, body, error = expected, [], [], None, f"{type(e).__name__}: {e}"
+                digests.append(digest)
+                people += p
+                n_people.append(len(p))
+                markers += m
+                n_markers.append(len(m))
+                bodies.append(body)
+                errors.append(error)
+            columns = [b.column("pk"), pa.array(digests, pa.string()), struct_lists(people, n_people, pa.list_(_PERSON)), struct_lists(markers, n_markers, pa.list_(_MARKER)), pa.array(bodies, pa.string()), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["pk", "sha256", "people", "markers", "body", "error"])
 
     return rows.mapInArrow(run, PARSED)
@@ -59,7 +73,7 @@ def evidence(bodies: DataFrame) -> DataFrame:
 
 def facts(found: DataFrame) -> DataFrame:
     """(pk, ordinal, line, kind, value, normalized, confidence) of `evidence`: texts, addresses, links, numbers and the first line that may be a name."""
-    each = F.flatten(F.transform("lines", lambda x, i: signature.line_facts(x, i, F.col("confidence"))))
+    each = F.flatten(F.transform(F.transform("lines", signature.stripped), lambda x, i: signature.line_facts(x, i, F.col("confidence"))))
     first = F.array_min(F.transform(F.filter("f", lambda f: f["kind"] == "name-candidate"), lambda f: f["line"]))
     kept = found.select("pk", each.alias("f")).withColumn("name", first)
     kept = kept.select("pk", F.posexplode(F.filter("f", lambda f: (f["kind"] != "name-candidate") | (f["line"] == F.col("name")))).alias("ordinal", "f"))
@@ -94,11 +108,12 @@ def merge(messages: DataFrame, shard: str, root: str) -> None:
     tables["signature_blocks"] = cut(tables["signature_blocks"])  # found once, for themselves and for the facts in them
     tables["signature_facts"] = facts(tables["signature_blocks"])
     for name, rows in tables.items():
-        # a shard without rows leaves nothing behind either: it gets one row of nulls, which `read` passes over
-        marked = rows.withColumn("shard", F.lit(shard))
-        spark = rows.sparkSession
-        none = spark.createDataFrame([(shard,)], "shard string").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields], "shard")
-        marked.unionByName(none).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{root}/{name}")
+        write = lambda t, name=name: t.withColumn("shard", F.lit(shard)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{root}/{name}")
+        seen = Observation()
+        write(rows.observe(seen, F.count(F.lit(1)).alias("n")))  # the shard is a plain constant, as the writer would sort by anything else
+        if not seen.get["n"]:
+            # a shard without rows leaves nothing behind either: it gets one row of nulls, which `read` passes over
+            write(rows.sparkSession.range(1, numPartitions=1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]))
 
 
 def read(spark: SparkSession, root: str, name: str) -> DataFrame:
